@@ -61,17 +61,18 @@ MISSING_TOKENS = [
 
 # --- End of fixed values. ----------------------------------------------------
 
+UNREADABLE = "image cannot be read"
 BOX = ["bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2"]
 RUN = ["model_key", "context"]
 
 
 def class_array() -> Column:
-    return F.array(*[F.lit(c) for c in CLASSES])
+    return F.expr("array(" + ", ".join(f"'{c}'" for c in CLASSES) + ")")
 
 
 def class_index(label: Column) -> Column:
     """0-based position in the class order, -1 for anything else or null."""
-    return F.coalesce(F.array_position(class_array(), label), F.lit(0)).cast("int") - 1
+    return F.coalesce(F.array_position(class_array(), label).cast("int"), F.lit(0)) - 1
 
 
 def models(spark: SparkSession) -> DataFrame:

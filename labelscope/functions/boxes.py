@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from labelscope.domain import BOX, MAX_IMAGE_SIDE
+from labelscope.domain import BOX, INVALID_BOX, MAX_IMAGE_SIDE, UNREADABLE
 
 
 def whole_number(name: str, missing: str = "raise") -> Column:
@@ -16,54 +14,48 @@ def whole_number(name: str, missing: str = "raise") -> Column:
     ``missing='raise'`` fails the job on a null; ``'quarantine'`` turns nulls and
     unreadable text into null instead.
     """
-    value = F.col(name)
     if missing == "quarantine":
-        return value.try_cast("double").try_cast("bigint")
+        return F.expr(f"try_cast(try_cast({name} AS double) AS bigint)")
     if missing != "raise":
         raise ValueError(f"missing must be 'raise' or 'quarantine', not {missing!r}")
-    error = F.raise_error(F.lit(f"{name} is missing; box coordinates must be numbers"))
-    return F.when(value.isNull(), error.cast("bigint")).otherwise(value.cast("double").cast("bigint"))
-
-
-def is_valid(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    return F.coalesce((x2 > x1) & (y2 > y1), F.lit(False))
-
-
-@dataclass(frozen=True)
-class Clamped:
-    """A box cut to the image."""
-
-    x1: Column
-    y1: Column
-    x2: Column
-    y2: Column
-
-    @classmethod
-    def of(cls, width: Column, height: Column) -> Clamped:
-        x1, y1, x2, y2 = (F.col(c) for c in BOX)
-        zero = F.lit(0).cast("bigint")
-        return cls(
-            F.greatest(zero, x1), F.greatest(zero, y1),
-            F.least(width.cast("bigint"), x2), F.least(height.cast("bigint"), y2),
-        )
-
-    @property
-    def empty(self) -> Column:
-        return (self.x2 <= self.x1) | (self.y2 <= self.y1)
-
-    @property
-    def message(self) -> Column:
-        return F.format_string(
-            "Bbox clamped to empty region (%d,%d,%d,%d)", self.x1, self.y1, self.x2, self.y2
+    error = f"raise_error('{name} is missing; box coordinates must be numbers')"
+    return F.expr(f"CASE WHEN {name} IS NULL THEN {error} ELSE cast(cast({name} AS double) AS bigint) END")
+
+
+def valid_box() -> Column:
+    x1, y1, x2, y2 = BOX
+    return F.expr(f"coalesce({x2} > {x1} AND {y2} > {y1}, false)")
+
+
+def clamped(width: str, height: str) -> list[str]:
+    """SQL of the four sides of the box cut to the image."""
+    x1, y1, x2, y2 = BOX
+    return [
+        f"greatest(0L, {x1})", f"greatest(0L, {y1})",
+        f"least(cast({width} AS bigint), {x2})", f"least(cast({height} AS bigint), {y2})",
+    ]
+
+
+def crop_fail_reason(width: str, height: str, cached: str = "false") -> Column:
+    """Why a box cannot be cut, null when it can; checked in this order."""
+    x1, y1, x2, y2 = clamped(width, height)
+    return (
+        F.when(~valid_box(), INVALID_BOX)
+        .when(F.expr(cached), None)
+        .when(F.expr(f"{width} IS NULL OR {width} < 0"), UNREADABLE)
+        .when(
+            F.expr(f"{x2} <= {x1} OR {y2} <= {y1}"),
+            F.expr(f"concat('Bbox clamped to empty region (', {x1}, ',', {y1}, ',', {x2}, ',', {y2}, ')')"),
         )
+    )
 
 
-def target_size(width: Column, height: Column, limit: int = MAX_IMAGE_SIDE) -> tuple[Column, Column]:
+def target_size(width: str, height: str, limit: int = MAX_IMAGE_SIDE) -> tuple[Column, Column]:
     """Size after shrinking the longest side to ``limit``; smaller images stay."""
-    longest = F.greatest(width, height)
-    scale = F.lit(float(limit)) / longest.cast("double")
+    longest = f"greatest({width}, {height})"
 
-    def fit(side: Column) -> Column:
-        return F.when(longest > limit, (side * scale).cast("bigint")).otherwise(side.cast("bigint"))
+    def fit(side: str) -> Column:
+        small = f"cast({side} * (double({limit}) / {longest}) AS bigint)"
+        return F.expr(f"CASE WHEN {longest} > {limit} THEN {small} ELSE cast({side} AS bigint) END")
 
     return fit(width), fit(height)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from labelscope.domain import DEFAULT_EXTENSION
+from labelscope.domain import BOX, DEFAULT_EXTENSION
 from labelscope.functions.text import as_text, strip
 
 # Everything after the last dot of the file name; leading dots do not count.
@@ -22,18 +24,15 @@ def resolve_path(path: Column, root: str) -> Column:
     return join_path(root, strip(as_text(path)))
 
 
-def path_key(path: Column) -> Column:
-    """Path without empty, ``.`` and ``..`` steps, so spellings of one file agree."""
-    def step(done: Column, part: Column) -> Column:
-        return (
-            F.when(part.isin("", "."), done)
-            .when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
-            .otherwise(F.concat(done, F.array(part)))
-        )
-
-    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
-    tidy = F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(parts, "/"))
-    return F.when(path.rlike(r"//|(^|/)\.\.?(/|$)"), tidy).otherwise(path)
+def path_key(path: str) -> Column:
+    """Path column without empty, ``.`` and ``..`` steps, so spellings of one file agree."""
+    parts = f"""aggregate(split({path}, '/'), cast(array() as array<string>), (done, part) -> CASE
+        WHEN part IN ('', '.') THEN done
+        WHEN part = '..' THEN slice(done, 1, greatest(size(done) - 1, 0))
+        ELSE concat(done, array(part)) END)"""
+    odd = r"//|(^|/)[.][.]?(/|$)"
+    return F.expr(f"""CASE WHEN NOT {path} RLIKE '{odd}' THEN {path}
+        ELSE concat(if(startswith({path}, '/'), '/', ''), array_join({parts}, '/')) END""")
 
 
 def local_path(uri: Column) -> Column:
@@ -51,10 +50,7 @@ def extension(path: Column) -> Column:
     return F.when(found == "", DEFAULT_EXTENSION).otherwise(found)
 
 
-def crop_name(path: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+def crop_name(path: str = "image_path", box: Sequence[str] = BOX) -> Column:
     """File name of a crop, from the resolved path and the unclamped box."""
-    sep = F.lit("_")
-    key = F.concat(path, sep, *[
-        part for v in (x1, y1, x2) for part in (v.cast("string"), sep)
-    ], y2.cast("string"))
-    return F.concat(F.lit("crop_"), F.substring(F.md5(key), 1, 12), extension(path))
+    key = f"concat({path}, '_', " + ", '_', ".join(box) + ")"
+    return F.concat(F.expr(f"concat('crop_', substring(md5({key}), 1, 12))"), extension(F.col(path)))

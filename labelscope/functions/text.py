@@ -25,27 +25,25 @@ def as_text(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("nan"))
 
 
-def parse_label(lowered: Column) -> Column:
+def parse_label(lowered: str) -> Column:
     """First class, in class order, whose name occurs in a lower-cased answer.
 
     No class name occurs inside another one, so an answer that equals a class
     once blanks and dots are stripped contains that class and no other: the
     containment test alone decides both cases.
     """
-    first, *rest = CLASSES
-    parsed = F.when(F.contains(lowered, F.lit(first.lower())), first)
-    for name in rest:
-        parsed = parsed.when(F.contains(lowered, F.lit(name.lower())), name)
-    return parsed.otherwise(UNKNOWN)
+    tests = " ".join(f"WHEN contains({lowered}, '{c.lower()}') THEN '{c}'" for c in CLASSES)
+    return F.expr(f"CASE {tests} ELSE '{UNKNOWN}' END")
 
 
 def with_parsed_label(df: DataFrame, raw: str = "raw_output", out: str = "predicted_label") -> DataFrame:
-    """Add the parsed label; the answer is lower-cased once, in a step of its own."""
-    return (
-        df.withColumn("_lowered", F.lower(raw))
-        .withColumn(out, parse_label(F.col("_lowered")))
-        .drop("_lowered")
-    )
+    """Add the parsed label.
+
+    The lower-cased answer comes out of a generator, which keeps later filters on
+    the label from being rewritten into 26 evaluations of ``lower``.
+    """
+    lowered = df.select("*", F.explode(F.array(F.lower(raw))).alias("_lowered"))
+    return lowered.withColumn(out, parse_label("_lowered")).drop("_lowered")
 
 
 def prompt_text(context: Column) -> Column:

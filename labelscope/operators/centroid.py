@@ -15,8 +15,8 @@ def fit_centroids(vectors: DataFrame, dims: int) -> DataFrame:
     Places are averaged as plain columns with partial aggregation: one row per
     label is shuffled, and the result is bounded by labels x dims.
     """
-    means = [F.avg(F.element_at("embedding", i + 1).cast("double")) for i in range(dims)]
-    per_label = vectors.groupBy("label").agg(F.array(*means).alias("center"))
+    means = ", ".join(f"avg(double(embedding[{i}]))" for i in range(dims))
+    per_label = vectors.groupBy("label").agg(F.expr(f"array({means})").alias("center"))
     return per_label.agg(F.array_sort(F.collect_list(F.struct("label", "center"))).alias("centroids"))
 
 

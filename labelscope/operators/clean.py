@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.domain import BOX, CLASSES
@@ -39,12 +39,17 @@ def _prepared(raw: DataFrame, root: str) -> DataFrame:
     return (
         raw.withColumn("image_path", resolve_path(F.col("image_path"), root))
         .withColumn("label", strip(as_text(F.col("label"))))
-        .withColumn("_file", path_key(F.col("image_path")))
+        .withColumn("_file", _file_key())
     )
 
 
+def _file_key() -> Column:
+    # Never null, so a join on it adds no null test of the whole expression.
+    return F.coalesce(path_key("image_path"), F.lit(""))
+
+
 def _files(images: DataFrame) -> DataFrame:
-    return images.select(path_key(F.col("image_path")).alias("_file"))
+    return images.where(F.col("image_path").isNotNull()).select(_file_key().alias("_file"))
 
 
 def hot_images(raw: DataFrame, root: str = "") -> DataFrame:
@@ -68,10 +73,10 @@ def clean_annotations(
     """
     known = _prepared(raw, root).where(F.col("label").isin(CLASSES))
     kept = lookup_join(known, _files(images), ["_file"], "left_semi", hot).drop("_file")
-    for name in BOX:
-        value = whole_number(name, missing_box) if name in raw.columns else F.lit(0).cast("bigint")
-        kept = kept.withColumn(name, value)
-    return kept
+    return kept.withColumns({
+        name: whole_number(name, missing_box) if name in raw.columns else F.expr("0L")
+        for name in BOX
+    })
 
 
 def load_audit(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscope.domain import CASES_SHOWN, CLASSES, FACE, FULL, TASK_NAMES, models
+from labelscope.domain import CASES_SHOWN, FACE, FULL, TASK_NAMES, class_array, models
 from labelscope.operators.joins import lookup_join
 
 _BROADCAST_ROWS = 1000
@@ -13,7 +13,7 @@ _BROADCAST_ROWS = 1000
 
 def _at(context: str, value: str) -> Column:
     """Value of the row of one context when rows are grouped by model."""
-    return F.max(F.when(F.col("context") == context, F.col(value)))
+    return F.expr(f"max(CASE WHEN context = '{context}' THEN {value} END)")
 
 
 def comparison(metrics: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def recall_compare(recall: DataFrame) -> DataFrame:
         .join(names, "model_key")
         .select(
             "ord", "model_key", "name", "idx",
-            F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("idx") + 1).alias("cls"),
+            F.element_at(class_array(), F.col("idx") + 1).alias("cls"),
             "recall_full", "recall_face",
         )
         .orderBy("ord", "idx")
@@ -91,7 +91,7 @@ def context_pairs(results: DataFrame) -> DataFrame:
 
 
 def _hit(side: str) -> Column:
-    return F.coalesce(F.col(f"predicted_label_{side}") == F.col("label"), F.lit(False))
+    return F.expr(f"coalesce(predicted_label_{side} = label, false)")
 
 
 def _first(df: DataFrame, n: int, *order: str) -> DataFrame:

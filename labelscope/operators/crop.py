@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.domain import BOX, INVALID_BOX
-from labelscope.functions.boxes import Clamped, is_valid
+from labelscope.functions.boxes import clamped, crop_fail_reason, valid_box
 from labelscope.functions.paths import crop_name, join_path
 from labelscope.operators.joins import lookup_join
 
@@ -21,23 +21,8 @@ PIXELS = "struct<height:int,width:int,nChannels:int,mode:int,data:binary>"
 _BGR_MODE = 16  # CV_8UC3, three bytes per pixel
 
 
-def valid_box() -> Column:
-    return is_valid(*(F.col(c) for c in BOX))
-
-
 def _crop_path(crop_root: str) -> Column:
-    return join_path(crop_root, crop_name(F.col("image_path"), *(F.col(c) for c in BOX)))
-
-
-def _reason(cached: Column, width: Column, height: Column, unreadable: str) -> Column:
-    """Why a box cannot be cut, null when it can; checked in this order."""
-    clamped = Clamped.of(width, height)
-    return (
-        F.when(~valid_box(), INVALID_BOX)
-        .when(cached, None)
-        .when(width.isNull() | (width < 0), unreadable)
-        .when(clamped.empty, clamped.message)
-    )
+    return join_path(crop_root, crop_name())
 
 
 def crop_plan(
@@ -58,7 +43,7 @@ def crop_plan(
         sized = sized.withColumn("_cached", F.lit(False))
     else:
         sized = with_cache_flag(sized, cached, "_cached")
-    reason = _reason(F.col("_cached"), F.col("width"), F.col("height"), "image cannot be read")
+    reason = crop_fail_reason("width", "height", "_cached")
     return (
         sized.withColumn("crop_fail_reason", reason)
         .withColumn("crop_failed", F.col("crop_fail_reason").isNotNull())
@@ -82,10 +67,10 @@ def with_cache_flag(
 def cut_regions(plan: DataFrame, images: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Add the region of each box that lies inside its image."""
     sizes = images.select("image_path", "width", "height")
-    box = Clamped.of(F.col("width"), F.col("height"))
+    sides = zip(("cut_x1", "cut_y1", "cut_x2", "cut_y2"), clamped("width", "height"), strict=True)
     return (
         lookup_join(plan, sizes, ["image_path"], hot=hot)
-        .withColumns({f"cut_{side}": getattr(box, side) for side in ("x1", "y1", "x2", "y2")})
+        .withColumns({name: F.expr(side) for name, side in sides})
         .drop("width", "height")
     )
 
@@ -165,14 +150,11 @@ def cut_crops(
         boxes = lookup_join(boxes, cached.select(*CROP_KEY).distinct(), CROP_KEY, "left_anti")
     pictures = images.select("image_path", "image")
     joined = lookup_join(boxes, pictures, ["image_path"], hot=hot, spread=CROP_KEY)
-    width, height = F.col("image.width"), F.col("image.height")
-    clamped = Clamped.of(width, height)
+    size = ("image.width", "image.height")
     ready = (
-        joined.withColumn(
-            "crop_fail_reason", _reason(F.lit(False), width, height, "image cannot be read")
-        )
+        joined.withColumn("crop_fail_reason", crop_fail_reason(*size))
         .withColumn("cropped_path", _crop_path(crop_root))
-        .withColumn("cut", F.array(clamped.x1, clamped.y1, clamped.x2, clamped.y2))
+        .withColumn("cut", F.array(*[F.expr(side) for side in clamped(*size)]))
         .withColumn("image", F.when(F.col("crop_fail_reason").isNull(), F.col("image")))
     )
     schema = (

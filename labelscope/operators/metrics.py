@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.domain import CLASSES, METRICS, RUN, UNKNOWN, class_index
+from labelscope.domain import CLASSES, METRICS, RUN, UNKNOWN, class_array, class_index
 
 _SIZE = len(CLASSES)
 
 
-def _ratio(part: Column, whole: Column) -> Column:
-    return F.when(whole == 0, 0.0).otherwise(part.cast("double") / whole)
+def _ratio(part: str, whole: str) -> Column:
+    """Quotient as double, 0 over an empty base."""
+    return F.expr(f"CASE WHEN ({whole}) = 0 THEN 0D ELSE cast({part} AS double) / ({whole}) END")
 
 
 def answer_cells(results: DataFrame, requested: DataFrame | None = None) -> DataFrame:
@@ -31,10 +32,10 @@ def answer_cells(results: DataFrame, requested: DataFrame | None = None) -> Data
         *RUN,
         class_index(F.col("label")).alias("t"),
         class_index(F.col("predicted_label")).alias("p"),
-        F.col("predicted_label").eqNullSafe(UNKNOWN).alias("unknown"),
-        F.coalesce(F.col("label") == F.col("predicted_label"), F.lit(False)).alias("same"),
+        F.expr(f"predicted_label <=> '{UNKNOWN}'").alias("unknown"),
+        F.expr("coalesce(label = predicted_label, false)").alias("same"),
     ).agg(F.count("*").alias("n"))
-    cell = F.when(~F.col("unknown"), F.struct("t", "p", "same", "n"))
+    cell = F.expr("CASE WHEN NOT unknown THEN struct(t, p, same, n) END")
     per_run = pairs.groupBy(*RUN).agg(F.collect_list(cell).alias("cells"))
     if requested is None:
         return per_run
@@ -45,23 +46,23 @@ def answer_cells(results: DataFrame, requested: DataFrame | None = None) -> Data
     )
 
 
-def _total(cells: Column, keep) -> Column:  # noqa: ANN001 - a lambda over cells
-    zero = F.lit(0).cast("bigint")
-    return F.aggregate(F.filter(cells, keep), zero, lambda acc, c: acc + c["n"])
+def _total(condition: str) -> Column:
+    """Rows in the cells for which ``condition`` on ``c`` holds."""
+    return F.expr(f"aggregate(filter(cells, c -> {condition}), 0L, (sum, c) -> sum + c.n)")
+
+
+def _positions() -> Column:
+    return F.expr(f"explode(sequence(0, {_SIZE - 1}))")
 
 
 def confusion(results: DataFrame, requested: DataFrame | None = None) -> DataFrame:
     """Dense matrix in long form: label position, prediction position, count."""
-    by_label = (
+    return (
         answer_cells(results, requested)
-        .withColumn("true_idx", F.explode(F.sequence(F.lit(0), F.lit(_SIZE - 1))))
+        .select("*", _positions().alias("true_idx"))
         .withColumn("cells", F.expr("filter(cells, c -> c.t = true_idx)"))
-    )
-    return by_label.withColumn(
-        "pred_idx", F.explode(F.sequence(F.lit(0), F.lit(_SIZE - 1)))
-    ).select(
-        *RUN, "true_idx", "pred_idx",
-        _total(F.col("cells"), lambda c: c["p"] == F.col("pred_idx")).alias("n"),
+        .select("*", _positions().alias("pred_idx"))
+        .select(*RUN, "true_idx", "pred_idx", _total("c.p = pred_idx").alias("n"))
     )
 
 
@@ -72,7 +73,7 @@ def confusion_rates(matrix: DataFrame) -> DataFrame:
         F.sum("n").alias("row_n"), F.collect_list(F.struct("pred_idx", "n")).alias("cells")
     )
     return rows.select(*RUN, "true_idx", "row_n", F.inline("cells")).select(
-        *RUN, "true_idx", "pred_idx", _ratio(F.col("n"), F.col("row_n")).alias("rate")
+        *RUN, "true_idx", "pred_idx", _ratio("n", "row_n").alias("rate")
     )
 
 
@@ -82,38 +83,30 @@ def class_scores(results: DataFrame, requested: DataFrame | None = None) -> Data
     ``answered`` and ``correct`` repeat the totals of the run, which also count
     rows outside the class domain.
     """
-    cells = F.col("cells")
-    counted = (
-        answer_cells(results, requested)
-        .withColumn("answered", _total(cells, lambda c: F.lit(True)))
-        .withColumn("correct", _total(cells, lambda c: c["same"]))
-        .withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(_SIZE - 1))))
-        .select(
-            *RUN, "answered", "correct", "idx",
-            _total(cells, lambda c: c["t"] == F.col("idx")).alias("support"),
-            _total(cells, lambda c: c["p"] == F.col("idx")).alias("predicted"),
-            _total(cells, lambda c: (c["t"] == F.col("idx")) & (c["p"] == F.col("idx"))).alias("hits"),
-        )
+    counted = answer_cells(results, requested).select(
+        "*", _total("true").alias("answered"), _total("c.same").alias("correct")
+    ).select(
+        *RUN, "answered", "correct", "cells", _positions().alias("idx")
+    ).select(
+        *RUN, "answered", "correct", "idx",
+        _total("c.t = idx").alias("support"),
+        _total("c.p = idx").alias("predicted"),
+        _total("c.t = idx AND c.p = idx").alias("hits"),
     )
-    hits, support, predicted = F.col("hits"), F.col("support"), F.col("predicted")
-    names = F.array(*[F.lit(c) for c in CLASSES])
     return counted.select(
         "*",
-        F.element_at(names, F.col("idx") + 1).alias("cls"),
-        _ratio(hits, predicted).alias("precision"),
-        _ratio(hits, support).alias("recall"),
-        _ratio(2 * hits, support + predicted).alias("f1"),
+        F.element_at(class_array(), F.col("idx") + 1).alias("cls"),
+        _ratio("hits", "predicted").alias("precision"),
+        _ratio("hits", "support").alias("recall"),
+        _ratio("2 * hits", "support + predicted").alias("f1"),
     )
 
 
 def _averages() -> dict[str, Column]:
-    support = F.sum("support")
-    means: dict[str, Column] = {
-        "accuracy": _ratio(F.max("correct"), F.max("answered")),
-    }
+    means: dict[str, Column] = {"accuracy": _ratio("max(correct)", "max(answered)")}
     for name in ("precision", "recall", "f1"):
-        means[f"{name}_macro"] = F.avg(name)
-        means[f"{name}_weighted"] = _ratio(F.sum(F.col(name) * F.col("support")), support)
+        means[f"{name}_macro"] = F.expr(f"avg({name})")
+        means[f"{name}_weighted"] = _ratio(f"sum({name} * support)", "sum(support)")
     return means
 
 
@@ -132,29 +125,22 @@ def metrics(results: DataFrame, requested: DataFrame | None = None) -> DataFrame
 def class_report(results: DataFrame, requested: DataFrame | None = None) -> DataFrame:
     """Per-class rows, then accuracy, macro average, weighted average; two places."""
     # One aggregation per run gathers its 26 class rows and all averages.
-    row = F.struct(F.col("idx").alias("position"), F.col("cls").alias("name"), "precision", "recall", "f1", "support")
-    means = _averages()
     runs = class_scores(results, requested).groupBy(*RUN).agg(
-        F.collect_list(row).alias("classes"),
+        F.expr("collect_list(struct(idx, cls, precision, recall, f1, support))").alias("classes"),
         F.sum("support").alias("total"),
-        *[column.alias(name) for name, column in means.items()],
-    )
-    nothing = F.lit(None).cast("double")
-
-    def summary(position: int, name: str, p: Column, r: Column, f1: Column) -> Column:
-        return F.struct(
-            F.lit(position).alias("position"), F.lit(name).alias("name"), p.alias("precision"),
-            r.alias("recall"), f1.alias("f1"), F.col("total").alias("support"),
-        )
-
-    summaries = F.array(
-        summary(_SIZE, "accuracy", nothing, nothing, F.col("accuracy")),
-        *[
-            summary(_SIZE + i, f"{kind} avg", *[F.col(f"{m}_{kind}") for m in ("precision", "recall", "f1")])
-            for i, kind in enumerate(("macro", "weighted"), start=1)
-        ],
+        *[column.alias(name) for name, column in _averages().items()],
     )
-    return runs.select(*RUN, F.inline(F.concat("classes", summaries))).select(
+    def summary(position: int, name: str, p: str, r: str, f1: str) -> str:
+        return f"""named_struct('idx', {position}, 'cls', '{name}', 'precision', {p},
+            'recall', {r}, 'f1', {f1}, 'support', total)"""
+
+    summaries = [summary(_SIZE, "accuracy", "cast(null AS double)", "cast(null AS double)", "accuracy")]
+    for i, kind in enumerate(("macro", "weighted"), start=1):
+        means = (f"{m}_{kind}" for m in ("precision", "recall", "f1"))
+        summaries.append(summary(_SIZE + i, f"{kind} avg", *means))
+    rows = F.expr(f"concat(classes, array({', '.join(summaries)}))")
+    names = ("position", "name", "precision", "recall", "f1", "support")
+    return runs.select(*RUN, F.inline(rows).alias(*names)).select(
         *RUN, "position", "name",
         *[F.bround(c, 2).alias(c) for c in ("precision", "recall", "f1")],
         "support",
@@ -163,9 +149,8 @@ def class_report(results: DataFrame, requested: DataFrame | None = None) -> Data
 
 def class_recall(matrix: DataFrame) -> DataFrame:
     """Diagonal over row sum of a stored matrix, per (model, context, class)."""
-    diagonal = F.when(F.col("true_idx") == F.col("pred_idx"), F.col("n")).otherwise(0)
     return matrix.groupBy(*RUN, F.col("true_idx").alias("idx")).agg(
-        _ratio(F.sum(diagonal), F.sum("n")).alias("recall")
+        _ratio("sum(if(true_idx = pred_idx, n, 0L))", "sum(n)").alias("recall")
     )
 
 
@@ -173,8 +158,8 @@ def filled_matrix(stored: DataFrame, runs: DataFrame) -> DataFrame:
     """Stored matrix of each run, with zeros for cells and runs it lacks."""
     grid = (
         runs.select(*RUN).distinct()
-        .withColumn("true_idx", F.explode(F.sequence(F.lit(0), F.lit(_SIZE - 1))))
-        .withColumn("pred_idx", F.explode(F.sequence(F.lit(0), F.lit(_SIZE - 1))))
+        .select(*RUN, _positions().alias("true_idx"))
+        .select("*", _positions().alias("pred_idx"))
     )
     cells = [*RUN, "true_idx", "pred_idx"]
     return grid.join(stored.select(*cells, "n"), cells, "left").withColumn(

@@ -6,10 +6,10 @@ arithmetic, so the same frames can be written in any SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.domain import CLASSES, FACE, FULL, class_array, models
+from labelscope.domain import CLASSES, FACE, FULL, models
 from labelscope.functions.text import with_parsed_label
 from labelscope.operators.clean import clean_annotations, hot_images
 from labelscope.operators.crop import crop_plan
@@ -21,66 +21,56 @@ ROOT, CROP_ROOT = "/data", "/crops"
 RUNS = [("qwen", FULL, 3), ("qwen", FACE, 6), ("llava", FULL, 7), ("llava", FACE, 10), ("internvl", FULL, 11)]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "vec_id bigint, embedding array<float>, label int"
+    return spark.read.schema(schema).parquet(f"{sf_dir}/embeddings.parquet")
 
 
-def _class_at(index: Column) -> Column:
-    return F.element_at(class_array(), (index % 26 + 1).cast("int"))
+_NAMES = "array(" + ", ".join(f"'{c}'" for c in CLASSES) + ")"
+_SUFFIX = "CASE WHEN no % 5 = 0 THEN '' WHEN no % 7 = 0 THEN '.tar.PNG' ELSE '.jpg' END"
+_LISTED = f"concat('{ROOT}/img/', no, {_SUFFIX}) AS image_path"
 
 
-def _file_name(number: Column, folder: Column | str) -> Column:
-    suffix = F.when(number % 5 == 0, "").when(number % 7 == 0, ".tar.PNG").otherwise(".jpg")
-    return F.concat(F.lit(folder) if isinstance(folder, str) else folder, number.cast("string"), suffix)
+def _class_at(number: str) -> str:
+    return f"element_at({_NAMES}, cast(({number}) % 26 + 1 AS int))"
 
 
-def _image_number() -> Column:
-    return F.col("event_id") - F.col("event_id") % 3
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the number of the image they belong to, three events each."""
+    schema = "event_id bigint, user_id bigint, event_type string, props string"
+    events = spark.read.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    return events.withColumn("no", F.expr("event_id - event_id % 3"))
 
 
 def raw_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One loosely formatted annotation per event; some point at files never listed."""
-    number, event, user = _image_number(), F.col("event_id"), F.col("user_id")
-    name = _class_at(event)
-    x1, y1 = (event * 7 + user) % 420 - 40, (event * 5 + user) % 300 - 30
-    return table(spark, sf_dir, "events").select(
-        event.alias("row_id"),
-        F.concat(
-            F.when(event % 17 == 0, "  ").otherwise(""),
-            _file_name(number, F.when(number % 37 == 1, "lost/").otherwise("img/")),
-        ).alias("image_path"),
-        F.when(event % 29 == 0, "Boredom")
-        .when(event % 31 == 0, F.concat(F.lit("\t"), name, F.lit("\u00a0")))
-        .otherwise(name).alias("label"),
-        (x1.cast("double") + 0.5).alias("bbox_x1"),
-        y1.cast("double").alias("bbox_y1"),
-        (x1 + (event * 13) % 200 - 10).cast("double").alias("bbox_x2"),
-        (y1 + (event * 11) % 150 - 5).cast("double").alias("bbox_y2"),
+    x1, y1 = "(event_id * 7 + user_id) % 420 - 40", "(event_id * 5 + user_id) % 300 - 30"
+    name = _class_at("event_id")
+    return _events(spark, sf_dir).selectExpr(
+        "event_id AS row_id",
+        f"""concat(if(event_id % 17 = 0, '  ', ''), if(no % 37 = 1, 'lost/', 'img/'), no, {_SUFFIX})
+            AS image_path""",
+        f"""CASE WHEN event_id % 29 = 0 THEN 'Boredom'
+            WHEN event_id % 31 = 0 THEN concat('\t', {name}, '\u00a0') ELSE {name} END AS label""",
+        f"cast({x1} AS double) + 0.5D AS bbox_x1",
+        f"cast({y1} AS double) AS bbox_y1",
+        f"cast({x1} + (event_id * 13) % 200 - 10 AS double) AS bbox_x2",
+        f"cast({y1} + (event_id * 11) % 150 - 5 AS double) AS bbox_y2",
         "event_type",
     )
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing of image files with their sizes."""
-    number = F.col("number")
-    return (
-        table(spark, sf_dir, "events").select(_image_number().alias("number")).distinct()
-        .select(
-            _file_name(number, f"{ROOT}/img/").alias("image_path"),
-            (320 + 80 * (number % 5)).cast("int").alias("width"),
-            (240 + 60 * (number % 4)).cast("int").alias("height"),
-        )
+    return _events(spark, sf_dir).select("no").distinct().selectExpr(
+        _LISTED, "cast(320 + 80 * (no % 5) AS int) AS width", "cast(240 + 60 * (no % 4) AS int) AS height"
     )
 
 
 def image_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text per image in place of its pixels: the props of its first event."""
-    return (
-        table(spark, sf_dir, "events")
-        .groupBy(_image_number().alias("number"))
-        .agg(F.min_by("props", "event_id").alias("image"))
-        .select(_file_name(F.col("number"), f"{ROOT}/img/").alias("image_path"), "image")
-    )
+    first = _events(spark, sf_dir).groupBy("no").agg(F.min_by("props", "event_id").alias("image"))
+    return first.selectExpr(_LISTED, "image")
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,37 +83,25 @@ def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crop_plan(annotations(spark, sf_dir), images(spark, sf_dir), CROP_ROOT, hot=hot)
 
 
-def _answer(shift: Column) -> Column:
-    row = F.col("row_id")
-    right, other = _class_at(row), _class_at(row * 7 + 3)
-    kind = (row * 7 + shift) % 10
-    return (
-        F.when(kind == 0, right)
-        .when(kind == 1, F.concat(F.lower(right), F.lit(".")))
-        .when(kind == 2, F.concat(F.lit("The person shows "), F.upper(right), F.lit(" clearly.")))
-        .when(kind == 3, other)
-        .when(kind == 4, F.concat(F.lit("Not "), other, F.lit(" but "), right))
-        .when(kind == 5, "I cannot tell")
-        .when(kind == 6, None)
-        .when(kind == 7, F.concat(F.lit(" .."), other, F.lit(".. ")))
-        .when(kind == 8, right)
-        .otherwise("")
-    )
-
-
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw answers of every run: full for each annotation, face for each usable crop."""
-    runs = F.array(*[
-        F.struct(F.lit(m).alias("model_key"), F.lit(c).alias("context"), F.lit(s).alias("shift"))
-        for m, c, s in RUNS
-    ])
-    scored = F.filter(runs, lambda r: (r["context"] == FULL) | ~F.col("crop_failed"))
-    return (
-        crops(spark, sf_dir)
-        .select("*", F.inline(scored))
-        .withColumn("raw_output", _answer(F.col("shift")))
-        .drop("shift")
+    runs = ", ".join(
+        f"named_struct('model_key', '{m}', 'context', '{c}', 'shift', {s})" for m, c, s in RUNS
     )
+    right, other = _class_at("row_id"), _class_at("row_id * 7 + 3")
+    scored = f"inline(filter(array({runs}), r -> r.context = '{FULL}' OR NOT crop_failed))"
+    raw = f"""CASE (row_id * 7 + shift) % 10
+        WHEN 0 THEN {right}
+        WHEN 1 THEN concat(lower({right}), '.')
+        WHEN 2 THEN concat('The person shows ', upper({right}), ' clearly.')
+        WHEN 3 THEN {other}
+        WHEN 4 THEN concat('Not ', {other}, ' but ', {right})
+        WHEN 5 THEN 'I cannot tell'
+        WHEN 6 THEN NULL
+        WHEN 7 THEN concat(' ..', {other}, '.. ')
+        WHEN 8 THEN {right}
+        ELSE '' END AS raw_output"""
+    return crops(spark, sf_dir).selectExpr("*", scored).selectExpr("*", raw).drop("shift")
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.domain import BOX, FACE, FULL, MODELS, RUN
-from labelscope.functions.boxes import target_size
+from labelscope.functions.boxes import target_size, valid_box
 from labelscope.functions.paths import resolve_path
 from labelscope.functions.text import base64_line, prompt_text, request_payload, with_parsed_label
 from labelscope.operators import centroid, clean, compare, crop, metrics, resume, sample, score
@@ -90,19 +90,19 @@ def crop_audit(spark: SparkSession, sf: str) -> DataFrame:
 def crop_cache(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes an earlier run has cut against all valid boxes of this one."""
     stored = crop.usable_crops(fx.crops(spark, sf)).where(_EARLIER)
-    valid = fx.annotations(spark, sf).where(crop.valid_box())
+    valid = fx.annotations(spark, sf).where(valid_box())
     return crop.with_cache_flag(valid, stored).select("row_id", "image_path", *BOX, "cached")
 
 
 @_query
 def resize_plan(spark: SparkSession, sf: str) -> DataFrame:
     # Stretched so that many sides exceed the limit, with odd ratios.
-    stretched = fx.images(spark, sf).select(
+    stretched = fx.images(spark, sf).selectExpr(
         "image_path",
-        (F.col("width") * (1 + F.col("height") % 7) + F.length("image_path")).alias("width"),
-        (F.col("height") * (1 + F.col("width") % 9) + F.length("image_path")).alias("height"),
+        "width * (1 + height % 7) + length(image_path) AS width",
+        "height * (1 + width % 9) + length(image_path) AS height",
     )
-    width, height = target_size(F.col("width"), F.col("height"))
+    width, height = target_size("width", "height")
     return stretched.select("*", width.alias("new_width"), height.alias("new_height"))
 
 
@@ -165,7 +165,7 @@ def score_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def score_centroid(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = fx.table(spark, sf, "embeddings")
+    vectors = fx.embeddings(spark, sf)
     columns = ["vec_id", "label", "context", "raw_output", "predicted_label"]
     full = centroid.score_centroid(vectors, 64).withColumn("context", F.lit(FULL))
     face = centroid.score_centroid(vectors, 16).withColumn("context", F.lit(FACE))
