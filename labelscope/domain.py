@@ -84,6 +84,15 @@ def models(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS m(ord, model_key, name, hf_id, loader)")
 
 
+def runs(
+    spark: SparkSession, keys: list[str] | None = None, contexts: tuple[str, ...] = (FULL, FACE)
+) -> DataFrame:
+    """Every (model, context) of the named models, all by default."""
+    keys = select_models() if keys is None else keys
+    rows = ", ".join(f"('{k}', '{c}')" for k in keys for c in contexts)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS r(model_key, context)")
+
+
 def select_models(key: str = "all") -> list[str]:
     """Registry keys meant by one key or by ``all``."""
     known = [m[0] for m in MODELS]

@@ -43,6 +43,11 @@ def _prepared(raw: DataFrame, root: str) -> DataFrame:
     )
 
 
+def resolved_paths(raw: DataFrame, root: str = "") -> DataFrame:
+    """Full path of every annotation, before any row is dropped."""
+    return raw.select(resolve_path(F.col("image_path"), root).alias("image_path"))
+
+
 def _file_key() -> Column:
     # Never null, so a join on it adds no null test of the whole expression.
     return F.coalesce(path_key("image_path"), F.lit(""))

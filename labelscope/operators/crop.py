@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +105,7 @@ def rgb_array(image: dict) -> np.ndarray:
     return bgr_array(image)[:, :, ::-1]
 
 
-def _cut(image: dict, box: tuple[int, int, int, int]) -> dict:
+def _cut(image: dict, box: list[int]) -> dict:
     x1, y1, x2, y2 = box
     part = np.ascontiguousarray(bgr_array(image)[y1:y2, x1:x2])
     return {
@@ -114,22 +114,30 @@ def _cut(image: dict, box: tuple[int, int, int, int]) -> dict:
     }
 
 
-def _cut_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        cut, reasons = [], []
-        for image, box, reason in zip(pdf["image"], pdf["cut"], pdf["crop_fail_reason"], strict=True):
-            pixels = None
+_PIXELS_ARROW = pa.struct([
+    ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()),
+    ("data", pa.binary()),
+])
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cuts, reasons = [], []
+        # One image at a time: only the cut parts of a batch are held together.
+        for image, box, known in zip(batch["image"], batch["cut"], batch["crop_fail_reason"], strict=True):
+            part, reason = None, known.as_py()
             if reason is None:
                 try:
-                    pixels = _cut(image, tuple(box))
+                    part = _cut(image.as_py(), box.as_py())
                 except Exception as error:  # one bad image must not end the job
                     reason = str(error) or type(error).__name__
-            cut.append(pixels)
+            cuts.append(part)
             reasons.append(reason)
-        out = pdf[[*CROP_KEY, "cropped_path"]].copy()
-        out["crop_fail_reason"] = pd.Series(reasons, index=out.index, dtype=object)
-        out["image"] = pd.Series(cut, index=out.index, dtype=object)
-        yield out
+        kept = batch.select([*CROP_KEY, "cropped_path"])
+        yield pa.RecordBatch.from_arrays(
+            [*kept.columns, pa.array(reasons, pa.string()), pa.array(cuts, _PIXELS_ARROW)],
+            [*kept.schema.names, "crop_fail_reason", "image"],
+        )
 
 
 def cut_crops(
@@ -142,8 +150,8 @@ def cut_crops(
     """Pixels of every distinct box not cut yet, one row per box.
 
     ``images`` comes from ``read_images``. Rows that cannot be cut carry a reason
-    and no pixels. Repeated boxes collapse before any pixel moves, and only boxes
-    that pass the column checks reach Python.
+    and no pixels. Repeated boxes collapse before any pixel moves, and the pixels of
+    an image go to Python only for boxes that pass the column checks.
     """
     boxes = annotations.select(*CROP_KEY).where(valid_box()).distinct()
     if cached is not None:
@@ -161,7 +169,7 @@ def cut_crops(
         "image_path string, bbox_x1 bigint, bbox_y1 bigint, bbox_x2 bigint, bbox_y2 bigint, "
         f"cropped_path string, crop_fail_reason string, image {PIXELS}"
     )
-    return ready.select(*CROP_KEY, "cropped_path", "crop_fail_reason", "cut", "image").mapInPandas(
+    return ready.select(*CROP_KEY, "cropped_path", "crop_fail_reason", "cut", "image").mapInArrow(
         _cut_batches, schema
     )
 

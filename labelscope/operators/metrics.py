@@ -1,7 +1,7 @@
 """Confusion counts and the metrics drawn from them.
 
-Everything rests on one aggregation of the results to at most a few hundred cells
-per (model, context); what follows works on those cells.
+``answer_cells`` aggregates the results once, to at most a few hundred cells per
+(model, context); everything else is drawn from those cells.
 """
 
 from __future__ import annotations
@@ -55,11 +55,10 @@ def _positions() -> Column:
     return F.expr(f"explode(sequence(0, {_SIZE - 1}))")
 
 
-def confusion(results: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+def confusion(cells: DataFrame) -> DataFrame:
     """Dense matrix in long form: label position, prediction position, count."""
     return (
-        answer_cells(results, requested)
-        .select("*", _positions().alias("true_idx"))
+        cells.select("*", _positions().alias("true_idx"))
         .withColumn("cells", F.expr("filter(cells, c -> c.t = true_idx)"))
         .select("*", _positions().alias("pred_idx"))
         .select(*RUN, "true_idx", "pred_idx", _total("c.p = pred_idx").alias("n"))
@@ -77,13 +76,13 @@ def confusion_rates(matrix: DataFrame) -> DataFrame:
     )
 
 
-def class_scores(results: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+def class_scores(cells: DataFrame) -> DataFrame:
     """One row per (model, context, class): counts, precision, recall, F1.
 
     ``answered`` and ``correct`` repeat the totals of the run, which also count
     rows outside the class domain.
     """
-    counted = answer_cells(results, requested).select(
+    counted = cells.select(
         "*", _total("true").alias("answered"), _total("c.same").alias("correct")
     ).select(
         *RUN, "answered", "correct", "cells", _positions().alias("idx")
@@ -110,22 +109,22 @@ def _averages() -> dict[str, Column]:
     return means
 
 
-def metrics(results: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+def metrics(cells: DataFrame) -> DataFrame:
     """The seven metrics of every (model, context), to four places, half to even.
 
     Macro values average all classes, absent ones included; a ratio without a base
     is 0, so a run without answered rows has seven zeros.
     """
     means = _averages()
-    return class_scores(results, requested).groupBy(*RUN).agg(
+    return class_scores(cells).groupBy(*RUN).agg(
         *[F.bround(means[name], 4).alias(name) for name in METRICS]
     )
 
 
-def class_report(results: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+def class_report(cells: DataFrame) -> DataFrame:
     """Per-class rows, then accuracy, macro average, weighted average; two places."""
     # One aggregation per run gathers its 26 class rows and all averages.
-    runs = class_scores(results, requested).groupBy(*RUN).agg(
+    runs = class_scores(cells).groupBy(*RUN).agg(
         F.expr("collect_list(struct(idx, cls, precision, recall, f1, support))").alias("classes"),
         F.sum("support").alias("total"),
         *[column.alias(name) for name, column in _averages().items()],

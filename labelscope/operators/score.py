@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +36,15 @@ def answered(results: DataFrame) -> DataFrame:
 
 
 def with_status(
-    rows: DataFrame, images: DataFrame, image_col: str = "image_path", hot: DataFrame | None = None
+    rows: DataFrame,
+    images: DataFrame,
+    key: Sequence[str] = ("image_path",),
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Flag rows whose image can be opened; the others get no answer and Unknown."""
-    found = images.select(F.col("image_path").alias(image_col)).withColumn("_hit", F.lit(True))
+    found = images.select(*key).withColumn("_hit", F.lit(True))
     return (
-        lookup_join(rows, found, [image_col], hot=hot)
+        lookup_join(rows, found, key, hot=hot)
         .withColumn("scorable", F.col("_hit").isNotNull())
         .drop("_hit")
     )
@@ -49,26 +52,27 @@ def with_status(
 
 def _answers(
     factory: Callable[[], Predictor], prompt: str, keep: list[str]
-) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = None
-        for pdf in batches:
+        for batch in batches:
             if predictor is None:
                 predictor = factory()
                 predictor.load()
             texts, errors = [], []
-            for image in pdf["image"]:
+            for image in batch["image"]:
                 text = error = None
                 try:
-                    text = predictor.predict(image, prompt)
-                except Exception as failure:  # noqa: BLE001 - the job goes on
+                    text = predictor.predict(image.as_py(), prompt)
+                except Exception as failure:  # one bad row must not end the job
                     error = str(failure) or type(failure).__name__
                 texts.append(text)
                 errors.append(error)
-            out = pdf[keep].copy()
-            out["raw_output"] = pd.Series(texts, index=out.index, dtype=object)
-            out["error"] = pd.Series(errors, index=out.index, dtype=object)
-            yield out
+            kept = batch.select(keep)
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(texts, pa.string()), pa.array(errors, pa.string())],
+                [*kept.schema.names, "raw_output", "error"],
+            )
 
     return run
 
@@ -78,33 +82,33 @@ def score(
     images: DataFrame,
     factory: Callable[[], Predictor],
     context: str,
-    image_col: str = "image_path",
+    key: Sequence[str] = ("image_path",),
     tasks: int | None = None,
     once_per_image: bool = True,
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add raw_output, predicted_label and error to every row.
 
-    ``images`` has one row per readable image: ``image_path`` (compared with
-    ``image_col``) and ``image``, whatever the predictor takes. A row without an
-    image never reaches the predictor.
+    ``images`` has one row per readable image: the ``key`` columns and ``image``,
+    whatever the predictor takes. A row without an image never reaches the
+    predictor.
 
     Requests are sent at temperature 0, so an image is asked about once and the
     answer is shared by its rows; pass ``once_per_image=False`` for a predictor that
     must see every row. ``tasks`` bounds how many predictors work at a time.
     """
-    pictures = images.select(F.col("image_path").alias(image_col), "image")
+    pictures = images.select(*key, "image")
     if once_per_image:
-        asked = rows.select(image_col).distinct().join(pictures, image_col)
-        keep = [image_col]
+        keep = list(key)
+        asked = rows.select(keep).distinct().join(pictures, keep)
     else:
-        asked = lookup_join(rows.select("row_id", image_col), pictures, [image_col], "inner", hot)
         keep = ["row_id"]
+        asked = lookup_join(rows.select("row_id", *key), pictures, key, "inner", hot)
     asked = asked.select(*keep, "image")
     if tasks:
         asked = asked.repartition(tasks)
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    answers = asked.mapInPandas(
+    answers = asked.mapInArrow(
         _answers(factory, prompt_for(context), keep),
         ", ".join([*fields, "raw_output string", "error string"]),
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.domain import CLASSES, FACE, FULL, models
+from labelscope.domain import CLASSES, FACE, FULL
 from labelscope.functions.text import with_parsed_label
 from labelscope.operators.clean import clean_annotations, hot_images
 from labelscope.operators.crop import crop_plan
@@ -108,12 +108,6 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_parsed_label(answers(spark, sf_dir))
 
 
-def models_and_contexts(spark: SparkSession) -> DataFrame:
-    """Every run that can be asked for."""
-    both = F.explode(F.array(F.lit(FULL), F.lit(FACE)))
-    return models(spark).select("model_key", both.alias("context"))
-
-
 class PropsPredictor(Predictor):
     """Answers from the number in an image's text; refuses some images."""
 

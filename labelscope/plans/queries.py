@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.domain import BOX, FACE, FULL, MODELS, RUN
+from labelscope.domain import BOX, FACE, FULL, MODELS, RUN, runs
 from labelscope.functions.boxes import target_size, valid_box
 from labelscope.functions.paths import resolve_path
 from labelscope.functions.text import base64_line, prompt_text, request_payload, with_parsed_label
@@ -176,8 +176,7 @@ def score_centroid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf: str) -> DataFrame:
-    runs = fx.results(spark, sf).where((F.col("model_key") == "qwen") & (F.col("context") == FULL))
-    return runs.where(_EARLIER)
+    return fx.results(spark, sf).where(f"model_key = 'qwen' AND context = '{FULL}' AND {_EARLIER}")
 
 
 @_query
@@ -214,27 +213,31 @@ def resume_union(spark: SparkSession, sf: str) -> DataFrame:
 # --- metrics ----------------------------------------------------------------
 
 
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.answer_cells(fx.results(spark, sf))
+
+
 @_query
 def confusion_dense(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.confusion(fx.results(spark, sf))
+    return metrics.confusion(_cells(spark, sf))
 
 
 @_query
 def confusion_norm(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.confusion_rates(metrics.confusion(fx.results(spark, sf)))
+    return metrics.confusion_rates(metrics.confusion(_cells(spark, sf)))
 
 
 @_query
 def confusion_reload(spark: SparkSession, sf: str) -> DataFrame:
     """Matrices of which only the full ones were kept, filled up with zeros."""
-    results = fx.results(spark, sf)
-    kept = metrics.confusion(results.where(F.col("context") == FULL))
-    return metrics.filled_matrix(kept, metrics.metrics(results))
+    cells = _cells(spark, sf)
+    kept = metrics.confusion(cells.where(F.col("context") == FULL))
+    return metrics.filled_matrix(kept, metrics.metrics(cells))
 
 
 @_query
 def metrics_all(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.metrics(fx.results(spark, sf))
+    return metrics.metrics(_cells(spark, sf))
 
 
 @_query
@@ -245,13 +248,12 @@ def metrics_empty(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("context") == FULL) & F.col("model_key").isin("qwen", "llava")
     )
     results = with_parsed_label(given.withColumn("raw_output", raw))
-    requested = fx.models_and_contexts(spark)
-    return metrics.metrics(results, requested)
+    return metrics.metrics(metrics.answer_cells(results, runs(spark)))
 
 
 @_query
 def class_report(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.class_report(fx.results(spark, sf))
+    return metrics.class_report(_cells(spark, sf))
 
 
 # --- comparison -------------------------------------------------------------
@@ -259,17 +261,17 @@ def class_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def comparison(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.comparison(metrics.metrics(fx.results(spark, sf)))
+    return compare.comparison(metrics.metrics(_cells(spark, sf)))
 
 
 @_query
 def f1_compare(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.f1_compare(metrics.metrics(fx.results(spark, sf)))
+    return compare.f1_compare(metrics.metrics(_cells(spark, sf)))
 
 
 @_query
 def recall_compare(spark: SparkSession, sf: str) -> DataFrame:
-    matrix = metrics.confusion(fx.results(spark, sf))
+    matrix = metrics.confusion(_cells(spark, sf))
     return compare.recall_compare(metrics.class_recall(matrix))
 
 
