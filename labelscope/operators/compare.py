@@ -1,14 +1,19 @@
-"""Comparing models and contexts."""
+"""Comparing models and contexts.
+
+The tables here have a few rows per model; they are put in order within one task.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscope.domain import CASES_SHOWN, FACE, FULL, TASK_NAMES, class_array, models
+from labelscope.domain import BOX, CASES_SHOWN, FACE, FULL, TASK_NAMES, class_array, models
 from labelscope.operators.joins import lookup_join
+from labelscope.operators.resume import PERSON_KEY
 
 _BROADCAST_ROWS = 1000
+_ORDER = ("row_id", "image_path")  # input order; the path settles rows of several inputs
 
 
 def _at(context: str, value: str) -> Column:
@@ -32,7 +37,7 @@ def comparison(metrics: DataFrame) -> DataFrame:
             F.col("f1_macro").alias("F1(M)"),
             F.col("f1_weighted").alias("F1(W)"),
         )
-        .orderBy("ord", "task_ord")
+        .coalesce(1).sortWithinPartitions("ord", "task_ord")
     )
 
 
@@ -47,7 +52,7 @@ def f1_compare(metrics: DataFrame) -> DataFrame:
         both.where(F.col("f1_full").isNotNull())
         .join(names, "model_key")
         .select("ord", "model_key", "name", "f1_full", "f1_face")
-        .orderBy("ord")
+        .coalesce(1).sortWithinPartitions("ord")
     )
 
 
@@ -66,7 +71,7 @@ def recall_compare(recall: DataFrame) -> DataFrame:
             F.element_at(class_array(), F.col("idx") + 1).alias("cls"),
             "recall_full", "recall_face",
         )
-        .orderBy("ord", "idx")
+        .coalesce(1).sortWithinPartitions("ord", "idx")
     )
 
 
@@ -77,17 +82,23 @@ def _context(results: DataFrame, context: str) -> DataFrame:
     return results.where(F.col("context") == context)
 
 
-def context_pairs(results: DataFrame) -> DataFrame:
-    """Full and face result of the same annotation, per model; both must exist."""
-    faces = _context(results, FACE).select(
-        "model_key", "row_id",
-        F.col("predicted_label").alias("predicted_label_face"), "cropped_path",
-    )
+def context_pairs(results: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Full row and face answer of the same person, per model; both must exist.
+
+    A person is an image and a box. Should one occur several times, each full row is
+    paired with its first face row, so that copies never multiply. ``hot`` holds hot
+    hashes of the model and the person.
+    """
+    key = ["model_key", *PERSON_KEY]
+    first = F.expr("min_by(struct(predicted_label, cropped_path), row_id)")
+    faces = _context(results, FACE).groupBy(*key).agg(first.alias("face"))
     full = _context(results, FULL).select(
-        "model_key", "row_id", "image_path", "label",
-        F.col("predicted_label").alias("predicted_label_full"),
+        "row_id", *key, "label", F.col("predicted_label").alias("predicted_label_full")
+    )
+    return lookup_join(full, faces, key, "inner", hot).select(
+        "model_key", "row_id", "image_path", *BOX, "label", "predicted_label_full",
+        F.col("face.predicted_label").alias("predicted_label_face"), "face.cropped_path",
     )
-    return full.join(faces, ["model_key", "row_id"])
 
 
 def _hit(side: str) -> Column:
@@ -102,12 +113,12 @@ def _first(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 def context_helped(pairs: DataFrame, n: int = CASES_SHOWN) -> DataFrame:
     """First ``n`` pairs per model where the full image is right and the face wrong."""
-    return _first(pairs.where(_hit("full") & ~_hit("face")), n, "row_id")
+    return _first(pairs.where(_hit("full") & ~_hit("face")), n, *_ORDER)
 
 
 def context_hurt(pairs: DataFrame, n: int = CASES_SHOWN) -> DataFrame:
     """First ``n`` pairs per model where the full image is wrong and the face right."""
-    return _first(pairs.where(~_hit("full") & _hit("face")), n, "row_id")
+    return _first(pairs.where(~_hit("full") & _hit("face")), n, *_ORDER)
 
 
 def context_cases(pairs: DataFrame) -> DataFrame:
@@ -172,7 +183,7 @@ def cases_by_image(
         if helped
         else ~_hit("full") & (F.col("n_face_right") > 0)
     )
-    chosen = _first(pairs.where(matching), n, "row_id").drop("rank", "n_pairs", "n_face_right")
+    chosen = _first(pairs.where(matching), n, *_ORDER).drop("rank", "n_pairs", "n_face_right")
     faces = _context(results, FACE).select(
         "model_key", "image_path", F.col("row_id").alias("face_row_id"),
         F.col("predicted_label").alias("predicted_label_face"), "cropped_path",
@@ -180,4 +191,5 @@ def cases_by_image(
     if n <= _BROADCAST_ROWS:  # n rows per registered model
         chosen = F.broadcast(chosen)
     joined = faces.join(chosen, ["model_key", "image_path"])
-    return _first(joined.where(~_hit("face") if helped else _hit("face")), n, "row_id", "face_row_id")
+    wanted = joined.where(~_hit("face") if helped else _hit("face"))
+    return _first(wanted, n, *_ORDER, "face_row_id")

@@ -69,7 +69,9 @@ def first_per_label(results: DataFrame) -> DataFrame:
     columns = ["row_id", "image_path", "cropped_path", "label"]
     faces = results.where(F.col("context") == "face").where(F.col("label").isin(CLASSES))
     firsts = faces.groupBy("model_key", "label").agg(
-        F.min_by(F.struct(*[c for c in columns if c != "label"]), "row_id").alias("first")
+        F.min_by(
+            F.struct(*[c for c in columns if c != "label"]), F.struct("row_id", "image_path")
+        ).alias("first")
     )
     by_model = (
         firsts.join(models(spark).select("model_key", "ord"), "model_key")
@@ -85,5 +87,5 @@ def first_per_label(results: DataFrame) -> DataFrame:
             file_safe(F.col("label")).alias("file_label"),
             "first.*",
         )
-        .orderBy("idx")
+        .sortWithinPartitions("idx")
     )

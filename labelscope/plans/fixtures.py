@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from labelscope.domain import CLASSES, FACE, FULL
 from labelscope.functions.text import with_parsed_label
-from labelscope.operators.clean import clean_annotations, hot_images
+from labelscope.operators.clean import clean_annotations
 from labelscope.operators.crop import crop_plan
 from labelscope.operators.score import Predictor
 
@@ -74,13 +74,11 @@ def image_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_annotations(spark, sf_dir)
-    return clean_annotations(raw, images(spark, sf_dir), ROOT, hot=hot_images(raw, ROOT))
+    return clean_annotations(raw_annotations(spark, sf_dir), images(spark, sf_dir), ROOT)
 
 
 def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hot = hot_images(raw_annotations(spark, sf_dir), ROOT)
-    return crop_plan(annotations(spark, sf_dir), images(spark, sf_dir), CROP_ROOT, hot=hot)
+    return crop_plan(annotations(spark, sf_dir), images(spark, sf_dir), CROP_ROOT)
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,9 +140,12 @@ _CTES = {
     "full_rows": f"select * from results where context = '{FULL}'",
     "face_rows": f"select * from results where context = '{FACE}'",
     "pairs": """
-        select f.model_key, f.row_id, f.image_path, f.label,
+        select f.model_key, f.row_id, f.image_path, f.bbox_x1, f.bbox_y1, f.bbox_x2, f.bbox_y2, f.label,
           f.predicted_label as predicted_label_full, c.predicted_label as predicted_label_face, c.cropped_path
-        from full_rows f join face_rows c using (model_key, row_id)""",
+        from full_rows f join (
+          select * from face_rows qualify row_number() over (
+            partition by model_key, image_path, bbox_x1, bbox_y1, bbox_x2, bbox_y2 order by row_id) = 1) c
+        using (model_key, image_path, bbox_x1, bbox_y1, bbox_x2, bbox_y2)""",
     "image_pairs": """
         select f.model_key, f.row_id, f.image_path, f.label, c.row_id as face_row_id, c.cropped_path,
           f.predicted_label as predicted_label_full, c.predicted_label as predicted_label_face

@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
 
 
 def _hot(spark: SparkSession, sf: str) -> DataFrame:
+    """Hot images, taken from the scan; the queries given it slice their joins explicitly."""
     return clean.hot_images(fx.raw_annotations(spark, sf), fx.ROOT)
 
 
@@ -69,9 +70,8 @@ def crop_plan(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def crop_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Size of the region each usable crop keeps."""
-    hot = _hot(spark, sf)
     plan = crop.usable_crops(fx.crops(spark, sf))
-    return crop.cut_regions(plan, fx.images(spark, sf), hot).select(
+    return crop.cut_regions(plan, fx.images(spark, sf)).select(
         "row_id", "cropped_path", "cut_x1", "cut_y1", "cut_x2", "cut_y2"
     )
 
@@ -153,9 +153,8 @@ def score_status(spark: SparkSession, sf: str) -> DataFrame:
 def score_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Both contexts through the Python predictor contract, errors included."""
     rows, pictures = fx.annotations(spark, sf), fx.image_contents(spark, sf)
-    hot = _hot(spark, sf)
-    full = score.score(rows, pictures, fx.PropsPredictor, FULL, hot=hot)
-    face = score.score(rows, pictures, fx.PropsPredictor, FACE, hot=hot)
+    full = score.score(rows, pictures, fx.PropsPredictor, FULL)
+    face = score.score(rows, pictures, fx.PropsPredictor, FACE)
     columns = ["row_id", "context", "raw_output", "predicted_label", "error"]
     return (
         full.withColumn("context", F.lit(FULL)).select(columns)

@@ -19,6 +19,8 @@ def build_session(app: str = "labelscope", master: str | None = None, **conf: st
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Split a hot join key even where that costs a shuffle further on.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         # Image rows are large: cap a Python batch by bytes as well as by rows.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
