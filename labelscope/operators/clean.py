@@ -93,7 +93,7 @@ def load_audit(
 ) -> DataFrame:
     """One row of counts: raw, missing image, unknown label, usable, subset."""
     check_sample_size(sample)
-    listed = _files(images).withColumn("found", F.lit(True))
+    listed = _files(images).distinct().withColumn("found", F.lit(True))
     flags = lookup_join(_prepared(raw, root), listed, ["_file"], hot=hot).select(
         F.col("found").isNotNull().alias("found"), F.col("label").isin(CLASSES).alias("known")
     )

@@ -160,12 +160,20 @@ def pairs_by_image(results: DataFrame, hot: DataFrame | None = None) -> DataFram
 
 
 def context_cases_by_image(pairs: DataFrame) -> DataFrame:
-    """Counts per model over ``pairs_by_image``: all pairs, helped, hurt."""
-    wrong = F.col("n_pairs") - F.col("n_face_right")
-    return pairs.groupBy("model_key").agg(
-        F.sum("n_pairs").alias("n_pairs"),
-        F.sum(F.when(_hit("full"), wrong).otherwise(0)).alias("n_helped"),
-        F.sum(F.when(~_hit("full"), F.col("n_face_right")).otherwise(0)).alias("n_hurt"),
+    """Counts per model over ``pairs_by_image``: all pairs, helped, hurt.
+
+    As wide decimals: one image with a third of the rows may have more pairs than a
+    bigint holds.
+    """
+    wide = pairs.withColumns({
+        "total": F.expr("cast(n_pairs AS decimal(38, 0))"),
+        "right": F.expr("cast(n_face_right AS decimal(38, 0))"),
+        "hit": _hit("full"),
+    })
+    return wide.groupBy("model_key").agg(
+        F.sum("total").alias("n_pairs"),
+        F.expr("coalesce(sum(total - right) FILTER (WHERE hit), 0)").alias("n_helped"),
+        F.expr("coalesce(sum(right) FILTER (WHERE NOT hit), 0)").alias("n_hurt"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.domain import CLASSES, SAMPLE_SEED, class_index, models
+from labelscope.domain import CLASSES, FACE, SAMPLE_SEED, class_index, models, select_models
 from labelscope.functions.text import file_safe
 from labelscope.operators.clean import check_sample_size
 
@@ -62,30 +62,31 @@ def _up_to(drawn: DataFrame, prefix: str) -> DataFrame:
 def first_per_label(results: DataFrame) -> DataFrame:
     """First face row per label, in class order, of the first model having any.
 
-    One pass with a partial minimum per (model, label): at most one row per model
-    and class is shuffled, however the labels are distributed.
+    The lowest row_id per model and label comes from a hash aggregation; the at most
+    one per class and model are then picked out of the results, so nothing is sorted
+    or sent around but a few dozen rows.
     """
-    spark = results.sparkSession
-    columns = ["row_id", "image_path", "cropped_path", "label"]
-    faces = results.where(F.col("context") == "face").where(F.col("label").isin(CLASSES))
-    firsts = faces.groupBy("model_key", "label").agg(
-        F.min_by(
-            F.struct(*[c for c in columns if c != "label"]), F.struct("row_id", "image_path")
-        ).alias("first")
+    known = F.col("label").isin(CLASSES) & F.col("model_key").isin(select_models())
+    faces = results.where((F.col("context") == FACE) & known)
+    firsts = faces.groupBy("model_key", "label").agg(F.min("row_id").alias("row_id"))
+    per_model = (
+        firsts.join(models(results.sparkSession).select("model_key", "ord"), "model_key")
+        .groupBy("ord", "model_key")
+        .agg(F.collect_list(F.struct("label", "row_id")).alias("rows"))  # one per class
     )
-    by_model = (
-        firsts.join(models(spark).select("model_key", "ord"), "model_key")
-        .groupBy("ord")
-        .agg(F.collect_list(F.struct("label", "first")).alias("rows"))  # at most one per class
-    )
-    chosen = by_model.agg(F.min_by("rows", "ord").alias("rows"))
+    chosen = per_model.agg(F.expr("min_by(struct(model_key, rows), ord)").alias("model"))
+    wanted = chosen.select("model.model_key", F.inline("model.rows"))
+    rows = faces.join(F.broadcast(wanted), ["model_key", "label", "row_id"])
+    # row_id can repeat in results of several inputs: the path settles it.
+    first = F.expr("min_by(struct(row_id, image_path, cropped_path), image_path)")
     return (
-        chosen.select(F.inline("rows"))
+        rows.groupBy("label").agg(first.alias("first"))
         .select(
             class_index(F.col("label")).alias("idx"),
             "label",
             file_safe(F.col("label")).alias("file_label"),
             "first.*",
         )
+        .coalesce(1)
         .sortWithinPartitions("idx")
     )

@@ -112,4 +112,6 @@ def score(
         _answers(factory, prompt_for(context), keep),
         ", ".join([*fields, "raw_output string", "error string"]),
     )
+    # Never a broadcast: answers may take longer to come than a broadcast may wait.
+    answers = answers.hint("merge")
     return with_parsed_label(lookup_join(rows, answers, keep, hot=hot if once_per_image else None))

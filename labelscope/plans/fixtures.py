@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.domain import CLASSES, FACE, FULL
+from labelscope.domain import BOX, CLASSES, FACE, FULL
 from labelscope.functions.text import with_parsed_label
 from labelscope.operators.clean import clean_annotations
 from labelscope.operators.crop import crop_plan
 from labelscope.operators.score import Predictor
 
 ROOT, CROP_ROOT = "/data", "/crops"
+EVENTS = "event_id bigint, user_id bigint, event_type string, props string"
 
 # model, context and the shift of its answers; one model has no face run.
 RUNS = [("qwen", FULL, 3), ("qwen", FACE, 6), ("llava", FULL, 7), ("llava", FACE, 10), ("internvl", FULL, 11)]
@@ -35,18 +36,24 @@ def _class_at(number: str) -> str:
     return f"element_at({_NAMES}, cast(({number}) % 26 + 1 AS int))"
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _numbered(events: DataFrame) -> DataFrame:
     """Events with the number of the image they belong to, three events each."""
-    schema = "event_id bigint, user_id bigint, event_type string, props string"
-    events = spark.read.schema(schema).parquet(f"{sf_dir}/events.parquet")
     return events.withColumn("no", F.expr("event_id - event_id % 3"))
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"))
+
+
 def raw_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_annotations(spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_annotations(events: DataFrame) -> DataFrame:
     """One loosely formatted annotation per event; some point at files never listed."""
     x1, y1 = "(event_id * 7 + user_id) % 420 - 40", "(event_id * 5 + user_id) % 300 - 30"
     name = _class_at("event_id")
-    return _events(spark, sf_dir).selectExpr(
+    return _numbered(events).selectExpr(
         "event_id AS row_id",
         f"""concat(if(event_id % 17 = 0, '  ', ''), if(no % 37 = 1, 'lost/', 'img/'), no, {_SUFFIX})
             AS image_path""",
@@ -73,6 +80,25 @@ def image_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.selectExpr(_LISTED, "image")
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels per image file at a twentieth of its size: byte i is (7 i + number) mod 256."""
+    sized = _events(spark, sf_dir).select("no").distinct().selectExpr(
+        "no", _LISTED, "cast(16 + 4 * (no % 5) AS int) AS width", "cast(12 + 3 * (no % 4) AS int) AS height"
+    )
+    byte = "lpad(hex((7 * i + no) % 256), 2, '0')"
+    data = f"unhex(array_join(transform(sequence(0, width * height * 3 - 1), i -> {byte}), ''))"
+    return sized.selectExpr(
+        "image_path",
+        f"""named_struct('height', height, 'width', width, 'nChannels', 3, 'mode', 16, 'data', {data})
+            AS image""",
+    )
+
+
+def small_boxes(rows: DataFrame) -> DataFrame:
+    """Annotations with their boxes at a twentieth of the size, to match ``pictures``."""
+    return rows.withColumns({c: F.expr(f"cast({c} / 20 AS bigint)") for c in BOX})
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_annotations(raw_annotations(spark, sf_dir), images(spark, sf_dir), ROOT)
 

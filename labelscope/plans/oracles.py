@@ -26,7 +26,7 @@ def _class_at(index: str) -> str:
 _SUFFIX = "case when no % 5 = 0 then '' when no % 7 = 0 then '.tar.PNG' else '.jpg' end"
 
 _CTES = {
-    "classes": f"select unnest(range(26)) as idx, unnest({_NAMES}) as cls",
+    "classes": f"select unnest(range(26))::int as idx, unnest({_NAMES}) as cls",
     "numbered": "select *, event_id - event_id % 3 as no from events",
     "raw": f"""
         select event_id as row_id, event_type,
@@ -43,7 +43,7 @@ _CTES = {
         from numbered""",
     "images": f"""
         select concat('{ROOT}/img/', no::varchar, {_SUFFIX}) as image_path,
-          320 + 80 * (no % 5) as width, 240 + 60 * (no % 4) as height
+          (320 + 80 * (no % 5))::int as width, (240 + 60 * (no % 4))::int as height
         from (select distinct no from numbered)""",
     "contents": f"""
         select concat('{ROOT}/img/', no::varchar, {_SUFFIX}) as image_path, first_props as image
@@ -169,7 +169,7 @@ _HURT = "predicted_label_full <> label and predicted_label_face = label"
 
 def _first_pairs(source: str, condition: str, order: str) -> str:
     return f"""
-        select * from (select *, row_number() over (partition by model_key order by {order}) as rank
+        select * from (select *, (row_number() over (partition by model_key order by {order}))::int as rank
           from {source} where {condition}) where rank <= 6"""
 
 
@@ -214,6 +214,31 @@ _SELECTS = {
         select row_id, image_path, {_BOX}, cropped_path, crop_failed, crop_fail_reason from crops""",
     "crop_regions": """
         select row_id, cropped_path, cut_x1, cut_y1, cut_x2, cut_y2 from crops where not crop_failed""",
+    "cut_pixels": f"""
+        select image_path, {_BOX}, reason as crop_fail_reason,
+          case when reason is null then (x2 - x1)::int end as width,
+          case when reason is null then (y2 - y1)::int end as height,
+          case when reason is null then md5(array_to_string(list_transform(range((y2 - y1) * (x2 - x1) * 3),
+            lambda i: printf('%02X', (7 * (((y1 + i // ((x2 - x1) * 3)) * w + x1) * 3
+              + i % ((x2 - x1) * 3)) + no) % 256)), '')) end as digest
+        from (select *, case when x2 <= x1 or y2 <= y1 then
+                  format('Bbox clamped to empty region ({{}},{{}},{{}},{{}})', x1, y1, x2, y2) end as reason
+              from (select s.*, no, w, greatest(0, bbox_x1) as x1, greatest(0, bbox_y1) as y1,
+                      least(w, bbox_x2) as x2, least(h, bbox_y2) as y2
+                    from (select distinct image_path, {", ".join(f"trunc({c} / 20.0)::bigint as {c}" for c in BOX)}
+                          from clean) s
+                    join (select distinct no, 16 + 4 * (no % 5) as w, 12 + 3 * (no % 4) as h,
+                            concat('{ROOT}/img/', no::varchar, {_SUFFIX}) as image_path from numbered)
+                    using (image_path)
+                    where bbox_x2 > bbox_x1 and bbox_y2 > bbox_y1))""",
+    "csv_annotations": f"""
+        select row_id, image_path, label, {_BOX}, concat('said "', event_type, '", or so') as note,
+          nullif(event_type, 'view') as kind from clean""",
+    "incremental_scores": f"""
+        select row_id, image_path, label, raw_output, predicted_label, error,
+          'qwen' as model_key, '{FULL}' as context
+        from clean join replies using (image_path) where context = '{FULL}'""",
+    "metrics_stored": "select * from metrics",
     "crop_failures": f"select image_path, label, crop_fail_reason, {_BOX} from crops where crop_failed",
     "crop_audit": """
         select case when crop_fail_reason is null then 'ok'
@@ -230,8 +255,8 @@ _SELECTS = {
             then trunc(width * (512::double / greatest(width, height)))::bigint else width end as new_width,
           case when greatest(width, height) > 512
             then trunc(height * (512::double / greatest(width, height)))::bigint else height end as new_height
-        from (select image_path, width * (1 + height % 7) + length(image_path) as width,
-                height * (1 + width % 9) + length(image_path) as height from images)""",
+        from (select image_path, (width * (1 + height % 7) + length(image_path))::int as width,
+                (height * (1 + width % 9) + length(image_path))::int as height from images)""",
     "prompts": f"""
         select row_id, context, case when context = '{FULL}' then {_PROMPTS[FULL]} else {_PROMPTS[FACE]} end as prompt
         from clean, (values ('{FULL}'), ('{FACE}')) c(context)""",

@@ -14,6 +14,10 @@ from labelscope.functions.text import base64_line, prompt_text, request_payload,
 from labelscope.operators import centroid, clean, compare, crop, metrics, resume, sample, score
 from labelscope.operators.joins import hot_hashes
 from labelscope.plans import fixtures as fx
+from labelscope.session import shared_folder
+from labelscope.sources.annotations import read_annotations
+from labelscope.sources.stores import read_metrics, read_results, write_metrics, write_results
+from labelscope.streaming.incremental import score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -57,6 +61,22 @@ def sample_n(spark: SparkSession, sf: str) -> DataFrame:
     return sample.sample_rows(rows, 500).select("row_id", "image_path", "label", *BOX)
 
 
+@_query
+def csv_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotations written as loosely headed CSV, read back and cleaned."""
+    folder = shared_folder(spark, "csv")
+    loose = fx.raw_annotations(spark, sf).selectExpr(
+        "row_id", "image_path AS `Image Path`", "label AS ` Emotion `", "bbox_x1 AS `X1`",
+        "bbox_y1 AS `Y1`", "bbox_x2 AS `BBox X2`", "bbox_y2 AS `y2`",
+        """concat('said "', event_type, '", or so') AS Note""", "if(event_type = 'view', 'N/A', event_type) AS Kind",
+    )
+    loose.write.csv(
+        folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    rows = clean.clean_annotations(read_annotations(spark, folder), fx.images(spark, sf), fx.ROOT)
+    return rows.select("row_id", "image_path", "label", *BOX, "note", "kind")
+
+
 # --- crops ------------------------------------------------------------------
 
 
@@ -94,6 +114,16 @@ def crop_cache(spark: SparkSession, sf: str) -> DataFrame:
     return crop.with_cache_flag(valid, stored).select("row_id", "image_path", *BOX, "cached")
 
 
+@_query
+def cut_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels of every distinct box, as a digest, or the reason there are none."""
+    boxes = fx.small_boxes(fx.annotations(spark, sf))
+    return crop.cut_crops(boxes, fx.pictures(spark, sf), fx.CROP_ROOT).select(
+        "image_path", *BOX, "crop_fail_reason", "image.width", "image.height",
+        F.expr("md5(hex(image.data))").alias("digest"),
+    )
+
+
 @_query
 def resize_plan(spark: SparkSession, sf: str) -> DataFrame:
     # Stretched so that many sides exceed the limit, with odd ratios.
@@ -171,6 +201,28 @@ def score_centroid(spark: SparkSession, sf: str) -> DataFrame:
     return full.select(columns).unionByName(face.select(columns))
 
 
+@_query
+def incremental_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The event file taken as a stream, scored, stored and read back."""
+    folder = shared_folder(spark, "stream")
+    files, contents = fx.images(spark, sf), fx.image_contents(spark, sf)
+
+    def score_events(batch: DataFrame) -> DataFrame:
+        return score.score(batch, contents, fx.PropsPredictor, FULL)
+
+    def prepared(events: DataFrame) -> DataFrame:
+        return clean.clean_annotations(fx.as_annotations(events), files, fx.ROOT)
+
+    query = score_stream(
+        spark, sf, fx.EVENTS, score_events, f"{folder}/results", "qwen", FULL,
+        checkpoint=f"{folder}/progress", prepare=prepared, pattern="events.parquet",
+    )
+    query.awaitTermination()
+    return read_results(spark, f"{folder}/results", "qwen", FULL).select(
+        "row_id", "image_path", "label", "raw_output", "predicted_label", "error", "model_key", "context"
+    )
+
+
 # --- resuming ---------------------------------------------------------------
 
 
@@ -255,6 +307,16 @@ def class_report(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.class_report(_cells(spark, sf))
 
 
+@_query
+def metrics_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Results stored, measured from the store, written as JSON and reloaded."""
+    folder = shared_folder(spark, "metrics")
+    write_results(fx.results(spark, sf), f"{folder}/results", "first")
+    stored = read_results(spark, f"{folder}/results")
+    write_metrics(metrics.metrics(metrics.answer_cells(stored)), f"{folder}/metrics")
+    return read_metrics(spark, f"{folder}/metrics")
+
+
 # --- comparison -------------------------------------------------------------
 
 
@@ -317,7 +379,9 @@ def context_pairs_by_image(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def context_cases_by_image(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.context_cases_by_image(_by_image(spark, sf))
+    counts = compare.context_cases_by_image(_by_image(spark, sf))
+    # Tables of this size fit the type SQL counts have.
+    return counts.select("model_key", *[F.col(c).cast("bigint") for c in ("n_pairs", "n_helped", "n_hurt")])
 
 
 @_query

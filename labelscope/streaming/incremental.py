@@ -15,7 +15,7 @@ from labelscope.sources.stores import read_results, write_results
 def checkpoint_folder(spark: SparkSession, name: str) -> str:
     """Folder for a stream's progress below the cluster's shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if not base:  # a new folder would forget what was scored
         raise ValueError("set spark.checkpoint.dir to a shared folder, or pass checkpoint=")
     return f"{base.rstrip('/')}/{name}"
 
@@ -31,21 +31,23 @@ def score_stream(
     key: Sequence[str] = PERSON_KEY,
     checkpoint: str | None = None,
     files_per_batch: int = 1000,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    pattern: str = "*.parquet",
 ) -> StreamingQuery:
     """Score every annotation file in ``source`` that no earlier run has seen.
 
     Progress is committed per batch of files, so a stopped run goes on with the next
     one. A batch repeated after a failure replaces its own output; rows whose key an
-    earlier batch has scored are left out.
+    earlier batch has scored are left out. ``prepare`` cleans a batch beforehand.
     """
     checkpoint = checkpoint or checkpoint_folder(spark, f"score-{model_key}-{context}")
 
     def handle(batch: DataFrame, number: int) -> None:
         name = f"stream-{number}"
         stored = read_results(batch.sparkSession, store, model_key, context, without_batch=name)
-        left = batch
+        left = prepare(batch) if prepare else batch
         if stored is not None:
-            left = remaining(batch, stored, key)
+            left = remaining(left, stored, key)
         run = score_rows(left).withColumns({
             "model_key": F.lit(model_key), "context": F.lit(context)
         })
@@ -54,6 +56,7 @@ def score_stream(
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", str(files_per_batch))
+        .option("pathGlobFilter", pattern)
         .parquet(source)
         .writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
