@@ -10,14 +10,17 @@ from labelscope.domain import (
     REQUEST_TEMPERATURE, REQUEST_TOKENS, UNKNOWN,
 )
 
-# Unicode white space plus the four separators \x1c-\x1f, which Python's
-# str.strip() also removes; Spark's trim() removes the space character only.
-_BLANK = r"[\s\x1c-\x1f]"
+# Every character Python's str.strip() takes for blank, where Spark's trim() takes
+# the space character only: Unicode white space and the separators \x1c to \x1f.
+_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(F.regexp_replace(text, rf"(?U)\A{_BLANK}+", ""), rf"(?U){_BLANK}+\z", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def as_text(value: Column) -> Column:

@@ -81,12 +81,13 @@ def image_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels per image file at a twentieth of its size: byte i is (7 i + number) mod 256."""
+    """Pixels per image file at a twentieth of its size: byte i is (i + number) mod 256."""
     sized = _events(spark, sf_dir).select("no").distinct().selectExpr(
         "no", _LISTED, "cast(16 + 4 * (no % 5) AS int) AS width", "cast(12 + 3 * (no % 4) AS int) AS height"
     )
-    byte = "lpad(hex((7 * i + no) % 256), 2, '0')"
-    data = f"unhex(array_join(transform(sequence(0, width * height * 3 - 1), i -> {byte}), ''))"
+    ramp = "".join(f"{byte:02X}" for byte in range(256))
+    hexes = f"substring(repeat('{ramp}', 10), cast(2 * (no % 256) + 1 AS int), 2 * width * height * 3)"
+    data = f"unhex({hexes})"
     return sized.selectExpr(
         "image_path",
         f"""named_struct('height', height, 'width', width, 'nChannels', 3, 'mode', 16, 'data', {data})

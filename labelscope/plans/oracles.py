@@ -219,7 +219,7 @@ _SELECTS = {
           case when reason is null then (x2 - x1)::int end as width,
           case when reason is null then (y2 - y1)::int end as height,
           case when reason is null then md5(array_to_string(list_transform(range((y2 - y1) * (x2 - x1) * 3),
-            lambda i: printf('%02X', (7 * (((y1 + i // ((x2 - x1) * 3)) * w + x1) * 3
+            lambda i: printf('%02X', ((((y1 + i // ((x2 - x1) * 3)) * w + x1) * 3
               + i % ((x2 - x1) * 3)) + no) % 256)), '')) end as digest
         from (select *, case when x2 <= x1 or y2 <= y1 then
                   format('Bbox clamped to empty region ({{}},{{}},{{}},{{}})', x1, y1, x2, y2) end as reason

@@ -87,7 +87,7 @@ PATHS = [
 
 def test_extension_and_crop_name(spark):
     rows = spark.createDataFrame([(p, -1, 2, 30, 4) for p in PATHS], "p string, a long, b long, c long, d long")
-    got = rows.select("p", extension(F.col("p")).alias("e"), crop_name("p", list("abcd")).alias("n")).collect()
+    got = rows.select("p", extension("p").alias("e"), crop_name("p", list("abcd")).alias("n")).collect()
     for r in got:
         ext = os.path.splitext(r.p)[1] or ".jpg"
         assert r.e == ext
