@@ -31,3 +31,19 @@ def test_query_matches_oracle(name, spark, duck, sf_dir):
 
 def test_entry_has_rows(spark):
     assert entry_file.entry(spark).count() == 5
+
+
+# Counts worked out beforehand for the derived annotations, per scale factor.
+COUNTS = {
+    "sf0.001": (938, {"ok": 839, "invalid_bbox": 87, "clamped_empty": 12}, 658, 280),
+    "sf0.01": (9394, {"ok": 8016, "invalid_bbox": 881, "clamped_empty": 497}, 6577, 2817),
+}
+
+
+def test_derived_counts(spark, sf_dir):
+    rows, crops, parsed, unknown = COUNTS[sf_dir.rstrip("/").rsplit("/", 1)[-1]]
+    assert QUERIES["clean_annotations"](spark, sf_dir).count() == rows
+    assert {r.outcome: r.n_rows for r in QUERIES["crop_audit"](spark, sf_dir).collect()} == crops
+    answers = QUERIES["parse_labels"](spark, sf_dir).where("model_key = 'qwen' AND context = 'full'")
+    assert answers.where("predicted_label <> 'Unknown'").count() == parsed
+    assert answers.where("predicted_label = 'Unknown'").count() == unknown
