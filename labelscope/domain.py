@@ -99,5 +99,5 @@ def select_models(key: str = "all") -> list[str]:
     if key == "all":
         return known
     if key not in known:
-        raise ValueError(f"Unknown model key {key!r}; choose one of {known} or 'all'")
+        raise ValueError(f"no model is named {key!r}; there are {', '.join(known)}, or 'all'")
     return [key]

@@ -29,6 +29,12 @@ def hot_hashes(df: DataFrame, on: Sequence[str]) -> DataFrame:
     )
 
 
+def settled(hot: DataFrame) -> DataFrame:
+    """The same at most 200 numbers as a constant, for use in several jobs."""
+    hashes = ", ".join(f"bigint('{h}')" for h in hot.first()["hot"])
+    return hot.sparkSession.sql(f"SELECT cast(array({hashes}) AS array<bigint>) AS hot")
+
+
 def lookup_join(
     fact: DataFrame,
     lookup: DataFrame,

@@ -79,7 +79,7 @@ def _answers(
 
 def score(
     rows: DataFrame,
-    images: DataFrame,
+    images: DataFrame | Callable[[DataFrame], DataFrame],
     factory: Callable[[], Predictor],
     context: str,
     key: Sequence[str] = ("image_path",),
@@ -90,22 +90,28 @@ def score(
     """Add raw_output, predicted_label and error to every row.
 
     ``images`` has one row per readable image: the ``key`` columns and ``image``,
-    whatever the predictor takes. A row without an image never reaches the
-    predictor.
+    whatever the predictor takes. It can also be a function from distinct keys to such
+    rows, like ``fetch_images``, which saves shuffling the images. A row without an
+    image never reaches the predictor.
 
     Requests are sent at temperature 0, so an image is asked about once and the
     answer is shared by its rows; pass ``once_per_image=False`` for a predictor that
     must see every row. ``tasks`` bounds how many predictors work at a time.
     """
+    rows = rows.drop("raw_output", "predicted_label", "error")
+    keys = rows.select(*key).distinct()
+    fetched = callable(images)
+    if fetched:
+        images = images(keys.repartition(tasks) if tasks else keys)
     pictures = images.select(*key, "image")
     if once_per_image:
         keep = list(key)
-        asked = rows.select(keep).distinct().join(pictures, keep)
+        asked = pictures if fetched else keys.join(pictures, keep)
     else:
         keep = ["row_id"]
         asked = lookup_join(rows.select("row_id", *key), pictures, key, "inner", hot)
     asked = asked.select(*keep, "image")
-    if tasks:
+    if tasks and not (fetched and once_per_image):
         asked = asked.repartition(tasks)
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
     answers = asked.mapInArrow(

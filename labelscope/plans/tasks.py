@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from labelscope.domain import FACE, FULL, RUN, SAMPLE_SEED, runs, select_models
 from labelscope.operators import clean, compare, crop, metrics, resume, sample
-from labelscope.operators.joins import hot_hashes
+from labelscope.operators.joins import hot_hashes, settled
 from labelscope.operators.score import Predictor, answered, score
 from labelscope.sources import stores
 from labelscope.sources.annotations import read_annotations
-from labelscope.sources.images import existing_images, list_images, read_images
+from labelscope.sources.images import existing_images, fetch_images, list_images, read_images
 
 Factories = Mapping[str, Callable[[], Predictor]]
 
@@ -45,13 +45,13 @@ def prepare(
     image_root: str,
     sample_size: int | None = None,
     seed: int = SAMPLE_SEED,
-    listing: bool = True,
+    listing: bool = False,
     missing_box: str = "raise",
 ) -> DataFrame:
     """Ingest, clean and sample the annotations; returns the stored table.
 
-    ``listing=False`` asks for each annotated file in tasks instead of listing the
-    image folder on the driver.
+    Tasks ask for each annotated file; ``listing=True`` lists the image folder on the
+    driver instead, which suits small folders.
     """
     read_annotations(spark, csv).write.mode("overwrite").parquet(work.path("raw"))
     raw = spark.read.parquet(work.path("raw"))
@@ -74,7 +74,7 @@ def _score_runs(
     spark: SparkSession,
     work: Workspace,
     rows: DataFrame,
-    images: DataFrame,
+    images: DataFrame | Callable[[DataFrame], DataFrame],
     factories: Factories,
     model: str,
     context: str,
@@ -83,10 +83,12 @@ def _score_runs(
     tasks: int | None,
 ) -> DataFrame:
     keys = select_models(model)
-    hot = hot_hashes(rows, key)
+    hot = settled(hot_hashes(rows, key))
     for name in keys:
         stored = stores.read_results(spark, work.path("results"), name, context, without_batch=batch)
         left = rows if stored is None else resume.remaining(rows, stored)
+        if stored is not None and left.isEmpty():  # done: no image is opened for it
+            continue
         scored = score(left, images, factories[name], context, key, tasks, hot=hot)
         run = scored.withColumn("model_key", F.lit(name)).withColumn("context", F.lit(context))
         stores.write_results(run, work.path("results"), batch)
@@ -115,14 +117,17 @@ def run_full(
     model: str = "all",
     batch: str | None = None,
     tasks: int | None = None,
+    encoded: bool = False,
 ) -> DataFrame:
     """Score whole images, going on from stored results; returns all of them.
 
+    Predictors get decoded pixels, or with ``encoded=True`` the bytes of the file, read
+    in the task that scores them: no folder is listed and no pixels are shuffled.
     Rows are stored under ``batch``, a new name by default. Naming the batch of a run
     that failed replaces what that run has stored.
     """
     rows = spark.read.parquet(work.path("annotations"))
-    images = read_images(spark, image_root)
+    images = fetch_images if encoded else read_images(spark, image_root)
     return _score_runs(
         spark, work, rows, images, factories, model, FULL, ["image_path"], _name(batch), tasks
     )
@@ -136,7 +141,11 @@ def cut(
     rows = spark.read.parquet(work.path("annotations"))
     done = stores.read_crops(spark, work.path("crops"), without_batch=batch)
     cuts = crop.cut_crops(
-        rows, read_images(spark, image_root), crop_root, done, hot_hashes(rows, ["image_path"])
+        rows,
+        read_images(spark, image_root),
+        crop_root,
+        done,
+        settled(hot_hashes(rows, ["image_path"])),
     )
     stores.write_crops(cuts, work.path("crops"), batch)
     outcomes = stores.read_outcomes(spark, work.path("crops"), batch)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from labelscope.functions.paths import decoded_path, local_path
 
+_CONTENT_BYTES = 32 * 2**20  # content handed on at once
+
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
     """Path and length of every file below ``root``; contents are not read.
@@ -22,18 +24,67 @@ def list_images(spark: SparkSession, root: str) -> DataFrame:
     return files.select(local_path(F.col("path")).alias("image_path"), "length")
 
 
+class _Files:
+    """Plain paths and URIs looked up in the file systems they belong to."""
+
+    def __init__(self) -> None:
+        self.systems: dict[str, fs.FileSystem] = {"": fs.LocalFileSystem()}
+
+    def locate(self, path: str) -> tuple[str, str]:
+        """File system key and the path inside it."""
+        scheme, mark, rest = path.partition("://")
+        if not mark:
+            return "", path
+        key = f"{scheme}://{rest.partition('/')[0]}"
+        system, inside = fs.FileSystem.from_uri(path)
+        self.systems.setdefault(key, system)
+        return key, inside
+
+    def existing(self, paths: list[str]) -> list[bool]:
+        """Which of the paths are files, asked for in one call per file system."""
+        places = [self.locate(p) for p in paths]
+        found = [False] * len(paths)
+        for key in {k for k, _ in places}:
+            mine = [i for i, (k, _) in enumerate(places) if k == key]
+            infos = self.systems[key].get_file_info([places[i][1] for i in mine])
+            for i, info in zip(mine, infos, strict=True):
+                found[i] = info.type == fs.FileType.File
+        return found
+
+    def content(self, path: str) -> bytes | None:
+        key, inside = self.locate(path)
+        try:
+            with self.systems[key].open_input_stream(inside) as stream:
+                return stream.read()
+        except OSError:  # a missing or unreadable file has no content
+            return None
+
+
 def _only_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    systems: dict[str, fs.FileSystem] = {"": fs.LocalFileSystem()}
+    files = _Files()
+    for batch in batches:
+        yield batch.filter(pa.array(files.existing(batch.column(0).to_pylist()), type=pa.bool_()))
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    files = _Files()
     for batch in batches:
-        found = []
+        paths, contents, size = [], [], 0
         for path in batch.column(0).to_pylist():
-            scheme, mark, rest = path.partition("://")
-            host = f"{scheme}://{rest.partition('/')[0]}" if mark else ""
-            if host not in systems:
-                systems[host] = fs.FileSystem.from_uri(path)[0]
-            plain = systems[host].from_uri(path)[1] if mark else path
-            found.append(systems[host].get_file_info(plain).type == fs.FileType.File)
-        yield batch.filter(pa.array(found, type=pa.bool_()))
+            content = files.content(path)
+            if content is not None:
+                paths.append(path)
+                contents.append(content)
+                size += len(content)
+            if size >= _CONTENT_BYTES:
+                yield _content_batch(paths, contents)
+                paths, contents, size = [], [], 0
+        yield _content_batch(paths, contents)
+
+
+def _content_batch(paths: list[str], contents: list[bytes]) -> pa.RecordBatch:
+    arrays = [pa.array(paths, pa.string()), pa.array(contents, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, ["image_path", "image"])
 
 
 def existing_images(paths: DataFrame) -> DataFrame:
@@ -42,6 +93,16 @@ def existing_images(paths: DataFrame) -> DataFrame:
     return asked.mapInArrow(_only_files, "image_path string")
 
 
+def fetch_images(paths: DataFrame) -> DataFrame:
+    """Encoded content of each ``image_path``, read where the row is.
+
+    Nothing is listed on the driver and no content is shuffled; paths without a
+    readable file are left out. Give ``paths`` without repeats.
+    """
+    asked = paths.select("image_path").where(F.col("image_path").isNotNull())
+    return asked.mapInArrow(_contents, "image_path string, image binary")
+
+
 def read_images(spark: SparkSession, root: str) -> DataFrame:
     """Decoded pixels of every readable image below ``root``.
 

@@ -5,7 +5,9 @@ import pytest
 
 from labelscope.operators import crop
 from labelscope.operators.joins import hot_hashes
-from labelscope.sources.images import existing_images, image_sizes, list_images, read_images
+from labelscope.sources.images import (
+    existing_images, fetch_images, image_sizes, list_images, read_images,
+)
 from tests.png import gradient, png
 
 ROWS = "row_id long, image_path string, label string, bbox_x1 long, bbox_y1 long, bbox_x2 long, bbox_y2 long"
@@ -38,6 +40,31 @@ def test_listing_and_asking_agree(spark, folder):
     assert existing_images(by_uri).count() == 1
 
 
+def test_contents_are_read_in_tasks(spark, folder):
+    asked = spark.createDataFrame(
+        [(p,) for p in [*files(folder), "/nowhere", None, str(folder), f"file://{folder}/solid.png"]], "image_path string"
+    )
+    got = {r.image_path: bytes(r.image) for r in fetch_images(asked).collect()}
+    assert set(got) == files(folder) | {f"file://{folder}/solid.png"}
+    assert got[f"{folder}/solid.png"] == (folder / "solid.png").read_bytes()
+
+
+def test_contents_come_in_bounded_batches(folder):
+    import pyarrow as pa
+
+    from labelscope.sources import images
+
+    names = sorted(files(folder))
+    batch = pa.RecordBatch.from_arrays([pa.array(names)], ["image_path"])
+    old, images._CONTENT_BYTES = images._CONTENT_BYTES, 1
+    try:
+        out = list(images._contents(iter([batch])))
+    finally:
+        images._CONTENT_BYTES = old
+    assert [b.num_rows for b in out] == [1] * len(names) + [0]
+    assert [p for b in out for p in b.column(0).to_pylist()] == names
+
+
 def test_listing_reads_no_contents(spark, folder):
     plan = list_images(spark, str(folder))._jdf.queryExecution().toString()
     assert "ReadSchema: struct<path:string,length:bigint>" in plan or "content" not in plan.split("Physical")[1]

@@ -2,6 +2,7 @@
 
 import json
 from functools import partial
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from labelscope.operators.crop import rgb_array
 from labelscope.operators.score import Predictor, score
 from labelscope.plans import tasks
 from labelscope.sources import stores
+from labelscope.sources.images import fetch_images
 from labelscope.streaming.incremental import checkpoint_folder, score_stream
 from tests.png import png
 
@@ -26,6 +28,14 @@ class RedMeans(Predictor):
         return f"It is {CLASSES[red % 26].lower()}."
 
 
+class Sizes(Predictor):
+    """Takes encoded files; names the class at the length of the file."""
+
+    def predict(self, image, prompt):
+        assert isinstance(image, bytes)
+        return CLASSES[len(image) % 26]
+
+
 FACTORIES = {"qwen": RedMeans, "llava": partial(RedMeans, 1), "internvl": partial(RedMeans, 0)}
 
 
@@ -97,6 +107,18 @@ def test_empty_study(spark, study, tmp_path):
     assert (row.model_key, row.context, row.accuracy, row.f1_weighted) == ("qwen", FULL, 0.0, 0.0)
 
 
+@pytest.mark.parametrize("once", [True, False])
+def test_encoded_images(spark, study, once):
+    work, csv, images = study
+    rows = tasks.prepare(spark, work, csv, images)
+    full = tasks.run_full(spark, work, images, {"qwen": Sizes}, "qwen", encoded=True, tasks=2)
+    want = {p.name: CLASSES[len(p.read_bytes()) % 26] for p in Path(images).iterdir()}
+    got = {(r.row_id, r.predicted_label) for r in full.collect()}
+    assert got == {(r.row_id, want[Path(r.image_path).name]) for r in rows.collect()}
+    direct = score(rows, fetch_images, Sizes, FULL, once_per_image=once, tasks=3)
+    assert {(r.row_id, r.predicted_label) for r in direct.collect()} == got
+
+
 def test_sampled_study(spark, study):
     work, csv, images = study
     assert tasks.prepare(spark, work, csv, images, sample_size=5).count() == 5
