@@ -106,7 +106,11 @@ def _hit(side: str) -> Column:
 
 
 def _first(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """First ``n`` rows per model; each task passes on its own first ``n`` at most."""
+    """First ``n`` rows per model.
+
+    Each task passes on its own first ``n`` at most, as long as ``n`` does not exceed
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000); raise that for longer lists.
+    """
     window = Window.partitionBy("model_key").orderBy(*order)
     return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
 

@@ -121,9 +121,12 @@ _CTES = {
         select model_key, context, sum(support)::bigint as total,
           case when sum(support) = 0 then 0.0::double else sum(hits)::double / sum(support)::double end as accuracy,
           avg(p) as precision_macro, avg(r) as recall_macro, avg(f) as f1_macro,
-          case when sum(support) = 0 then 0.0::double else sum(p * support) / sum(support)::double end as precision_weighted,
-          case when sum(support) = 0 then 0.0::double else sum(r * support) / sum(support)::double end as recall_weighted,
-          case when sum(support) = 0 then 0.0::double else sum(f * support) / sum(support)::double end as f1_weighted
+          case when sum(support) = 0 then 0.0::double
+            else sum(p * support) / sum(support)::double end as precision_weighted,
+          case when sum(support) = 0 then 0.0::double
+            else sum(r * support) / sum(support)::double end as recall_weighted,
+          case when sum(support) = 0 then 0.0::double
+            else sum(f * support) / sum(support)::double end as f1_weighted
         from class_scores group by model_key, context""",
     "metrics": "select model_key, context, "
         + ", ".join(f"round_even({m}, 4) as {m}" for m in METRICS)

@@ -182,6 +182,9 @@ def run_analysis(spark: SparkSession, work: Workspace) -> dict[str, DataFrame]:
     results = stores.read_results(spark, work.path("results"))
     matrix = stores.read_confusion(spark, work.path("confusion"), measured)
     pairs = compare.context_pairs(results)
+    by_image = compare.pairs_by_image(
+        results, settled(hot_hashes(results, ["model_key", "image_path"]))
+    )
     stores.write_comparison(measured, work.path("comparison"))
     return {
         "comparison": compare.comparison(measured),
@@ -191,6 +194,9 @@ def run_analysis(spark: SparkSession, work: Workspace) -> dict[str, DataFrame]:
         "context_helped": compare.context_helped(pairs),
         "context_hurt": compare.context_hurt(pairs),
         "context_cases": compare.context_cases(pairs),
+        "context_helped_by_image": compare.cases_by_image(results, by_image, helped=True),
+        "context_hurt_by_image": compare.cases_by_image(results, by_image, helped=False),
+        "context_cases_by_image": compare.context_cases_by_image(by_image),
         "sample_per_label": sample.first_per_label(results),
         "answered": answered(results),
     }

@@ -85,6 +85,10 @@ def test_full_face_and_analysis(spark, study, listing):
     csv_rows = spark.read.option("header", "true").csv(work.path("comparison")).collect()
     assert [(r.Model, r.Task, float(r.Accuracy)) for r in csv_rows] == table
     assert frames["context_cases"].collect()[0].n_pairs == 11
+    by_image = frames["context_cases_by_image"].collect()[0]
+    # Images 0, 1, 3, 4, 5 have two persons with crops, image 2 has two with one crop.
+    assert (by_image.n_pairs, by_image.n_helped, by_image.n_hurt) == (22, 0, 0)
+    assert frames["context_helped_by_image"].isEmpty() and frames["context_hurt_by_image"].isEmpty()
     assert [r.label for r in frames["sample_per_label"].collect()] == CLASSES[:6]
     assert frames["recall_compare"].count() == 3 * 26
     assert frames["confusion_rates"].count() == 4 * 676
