@@ -1 +1,9 @@
 """Label evaluation on Spark: clean, crop, score, measure and compare."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run in tasks travel with their jobs, so executors
+# need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
