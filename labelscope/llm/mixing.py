@@ -6,7 +6,8 @@ membership pattern (the set of sources), and only these sums reach the driver, a
 first use of a word costs nothing, each further use one more (convex, so nothing is
 repeated while something unused fits), up to ``repeats`` uses. Each pattern's flow is
 then drawn as whole documents in a seeded order: all of them as many times as the flow
-covers the pattern fully, and one time more up to the remaining words.
+covers the pattern fully, one time more up to the remaining words, and then at most
+``_FILLS`` later ones that fit into what the last whole document left open.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from labelscope.llm.common import stored, word_count
 
 MAX_PATTERNS = 100_000
 WEIGHTS = (5, 2, 1)
+_FILLS = 2  # documents beyond the cut a pattern may take to come nearer to its target
 _BINS = 1 << 16  # of the seeded order; only documents of one bin a pattern are sorted
 
 
@@ -136,7 +138,7 @@ def _cuts(sized: DataFrame, quotas: DataFrame) -> DataFrame:
 
     ``quotas``: pattern, rest (words to draw). Prefix sums run over bins of the order
     first, _BINS a pattern at most, then over the places of the one bin where the rest
-    runs out. A place goes in if that ends nearer to the rest than leaving it out.
+    runs out; the cut is the last that fits. ``gap`` are the words still missing then.
     """
     binned = sized.withColumn("bin", F.shiftright("draw", 60 - 16))
     sums = binned.groupBy("pattern", "bin").agg(F.sum("size").alias("words"))
@@ -152,16 +154,30 @@ def _cuts(sized: DataFrame, quotas: DataFrame) -> DataFrame:
         .groupBy("pattern", "bin", "left", "draw").agg(F.sum("size").alias("size"))
     )
     inside = Window.partitionBy("pattern").orderBy("draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = places.withColumn("upto", F.sum("size").over(inside)).where("2 * upto - size <= 2 * left")
-    last = taken.groupBy("pattern").agg(F.max("draw").alias("last"))
+    taken = places.withColumn("upto", F.sum("size").over(inside)).where("upto <= left")
+    last = taken.groupBy("pattern").agg(F.max("draw").alias("last"), F.max("upto").alias("upto"))
     start = F.shiftleft(F.col("bin"), 60 - 16) - 1
-    return edges.join(last, "pattern", "left").select("pattern", F.coalesce("last", start).alias("cut"))
+    return edges.join(last, "pattern", "left").select(
+        "pattern", F.coalesce("last", start).alias("cut"), (F.col("left") - F.coalesce("upto", F.lit(0))).alias("gap"),
+        F.array().cast("array<bigint>").alias("extra"),
+    )
+
+
+def _filled(sized: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``cuts`` with one more place each: the largest beyond the cut that fits into the gap."""
+    places = sized.join(F.broadcast(cuts), "pattern").where("draw > cut AND NOT array_contains(extra, draw)")
+    sums = places.groupBy("pattern", "draw", "gap").agg(F.sum("size").alias("size")).where("size > 0 AND size <= gap")
+    best = sums.groupBy("pattern").agg(F.max(F.struct("size", "draw")).alias("best"))
+    return cuts.join(F.broadcast(best), "pattern", "left").select(
+        "pattern", "cut", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
+        F.when(F.col("best").isNull(), F.col("extra")).otherwise(F.concat("extra", F.array("best.draw"))).alias("extra"),
+    )
 
 
 @dataclass
 class Mixture:
-    """``patterns``: members, full, cut (a row for each, MAX_PATTERNS at most); ``sources``:
-    source, source_size, target, sent."""
+    """``patterns``: members, full, cut, extra (a row for each, MAX_PATTERNS at most);
+    ``sources``: source, source_size, target, sent."""
 
     patterns: DataFrame
     sources: DataFrame
@@ -169,9 +185,10 @@ class Mixture:
 
     def uses(self, rows: DataFrame, members: Column, id_col: Column, size: Column) -> DataFrame:
         """``rows`` with ``uses``, how often each is taken; decided row by row, without a shuffle."""
-        limits = self.patterns.select(F.col("members").alias("_members"), F.struct("full", "cut").alias("_limits"))
+        limits = self.patterns.select(F.col("members").alias("_members"), F.struct("full", "cut", "extra").alias("_limits"))
         placed = rows.join(F.broadcast(limits), members == F.col("_members"), "left")
-        more = (_draw(id_col, self.seed) <= F.col("_limits.cut")).cast("int")
+        draw = _draw(id_col, self.seed)
+        more = ((draw <= F.col("_limits.cut")) | F.array_contains("_limits.extra", draw)).cast("int")
         uses = F.when(size > 0, F.col("_limits.full") + more).otherwise(0)
         return placed.withColumn("uses", uses).drop("_members", "_limits")
 
@@ -201,8 +218,13 @@ def mixture(sized: DataFrame, seed: int, weights: Sequence[float], share: float,
         rows.append((p, r["members"], full, flows[p] - full * r["words"]))
     patterns = spark.createDataFrame(rows, "pattern int, members array<string>, full int, rest bigint")
     placed = sized.join(F.broadcast(patterns.select("pattern", "members")), "members").withColumn("draw", _draw(F.col("id"), seed))
-    cuts = _cuts(placed, patterns.select("pattern", "rest"))
-    limits = patterns.join(cuts, "pattern", "left").select("members", "full", F.coalesce("cut", F.lit(-1).cast("bigint")).alias("cut"))
+    cuts = stored(_cuts(placed, patterns.select("pattern", "rest")), "mix-cuts")
+    for _ in range(_FILLS):
+        cuts = _filled(placed, cuts)
+    limits = patterns.join(cuts, "pattern", "left").select(
+        "members", "full", F.coalesce("cut", F.lit(-1).cast("bigint")).alias("cut"),
+        F.coalesce("extra", F.array().cast("array<bigint>")).alias("extra"),
+    )
     table = [(s, sizes[s], float(wanted[s]), sent[i]) for s, i in order.items()]
     return Mixture(
         stored(limits, "mix-limits"),

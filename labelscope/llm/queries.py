@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.llm import bpe, langid, mixing, pii, simhash
+from labelscope.llm import (
+    bpe,
+    chat,
+    hamming_search,
+    langid,
+    mixing,
+    pii,
+    quality,
+    simhash,
+    urls,
+    warc,
+)
+from labelscope.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -80,3 +92,50 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES["pipeline"] = pipeline
+
+
+@_query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(_table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+@_query
+def op5_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    codes = vectors.select("vec_id", hamming_search.sign_code(F.col("embedding")).alias("code"))
+    return hamming_search.top_k(codes, F.col("vec_id") % 50 == 0, 10, "vec_id", "code").select(
+        F.col("query_id").alias("vec_id"), F.col("rank").cast("bigint").alias("rank"),
+        F.col("neighbour_id").alias("neighbour_id"), F.col("distance").cast("bigint").alias("distance"),
+    )
+
+
+# A conversation whose texts hold what templates use as control strings.
+_TRICKY = r"\### Assistant: </turn> ok"
+
+
+@_query
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", _TRICKY), (-7, 1, "assistant", _TRICKY)], turns.schema)
+    made = chat.format_turns(turns.unionByName(tricky))
+    back = made.withColumns({
+        "turns": chat.read_turns(F.col("formatted")), "loss": chat.masked_text(F.col("formatted"), F.col("loss_spans")),
+    })
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return back.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), digest(told).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), digest(F.col("loss")).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+@_query
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
