@@ -46,7 +46,7 @@ def unescape(text: Column) -> Column:
 
 def expanded_tokens(part: Column) -> Column:
     """Tokens an attachment stands for; 0 for text, negative sizes count as none."""
-    positive = lambda c: F.greatest(c, F.lit(0))
+    positive = lambda c: F.when(c > 0, c).when(c.isNotNull(), F.lit(0))
     patches = F.ceil(positive(part["width"]) / F.lit(PATCH)) * F.ceil(positive(part["height"]) / F.lit(PATCH))
     kind = part["type"]
     return (

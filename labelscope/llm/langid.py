@@ -111,7 +111,7 @@ def _examples(sample: list[tuple[str, str]], index: dict[str, int], rng: np.rand
     return out
 
 
-def train(sample: list[tuple[str, str]], epochs: int = 4, batch: int = 64, rate: float = 12.0, seed: int = 7) -> Model:
+def train(sample: list[tuple[str, str]], steps: int = 500, batch: int = 64, rate: float = 12.0, seed: int = 7) -> Model:
     """Fit the model; every fifth sampled text is held back for calibration."""
     languages = sorted({lang for lang, _ in sample})
     index, k = {lang: i for i, lang in enumerate(languages)}, len(languages)
@@ -122,6 +122,7 @@ def train(sample: list[tuple[str, str]], epochs: int = 4, batch: int = 64, rate:
     examples = _examples([x for i, x in enumerate(sample) if i % 5 != 4], index, rng)
     embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     layer, bias = rng.normal(0, 0.1, (DIMENSIONS, k)), np.zeros(k)
+    epochs = -(-steps // max(1, -(-len(examples) // batch)))
     steps, step = epochs * -(-len(examples) // batch), 0
     for _ in range(epochs):
         order = rng.permutation(len(examples))

@@ -7,7 +7,7 @@ check stays as it is.
 
 Numbers and dates are permuted by a keyed Feistel network over exactly the values of
 their format: digits over 10^a x 10^b, an address over 2^16 x 2^16, a date over the 73,049
-days of two centuries (229 x 319), a social security number over its valid ranges. So the
+days of two centuries (17 x 4,297), a social security number over its valid ranges. So the
 pseudonym is valid, keeps separators, and equal values get equal pseudonyms in every
 document while different values stay different. E-mail addresses and secrets, which are
 neither, get a keyed hash in their own shape.
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8  # even, so that both halves end where they began
-_DAYS = (229, 319)
+_DAYS = (17, 4297)
 _FIRST_DAY = "1900-01-01"
 
 # What candidates look like, tried in this order at each place.

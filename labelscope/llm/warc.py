@@ -149,7 +149,7 @@ class _Archives:
     def add(self, data: bytes, samples: list[bytes]) -> tuple[str, int, int] | None:
         if self.out is None:
             self.name, self.written, self.records = f"{uuid.uuid4().hex}.warc.zst", 0, 0
-            self.out = self.system.open_output_stream(f"{self.folder}/_{self.name}")
+            self.out = self.system.open_output_stream(f"{self.folder}/_{self.name}", compression=None)
             shared = dictionary(samples)
             self.packer = zstandard.ZstdCompressor(level=3, dict_data=_as_dictionary(shared) if shared else None, write_content_size=True)
             self._put(leading_frame(shared))
@@ -281,7 +281,7 @@ def read(archives: DataFrame, path_col: str = "path", payloads: bool = True) ->
     def records(path: str) -> Iterator[dict]:
         try:
             system, inside = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
-            with system.open_input_stream(inside) as stream:
+            with system.open_input_stream(inside, compression=None) as stream:
                 for data in frames(stream):
                     yield parse(data)
         except (OSError, ValueError, zstandard.ZstdError) as wrong:

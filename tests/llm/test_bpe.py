@@ -1,0 +1,65 @@
+import hashlib
+import random
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from labelscope.llm import bpe
+from labelscope.llm.queries import queries
+from tests.llm.helpers import docs, edge_rows
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+LIBRARY, CODEC = Tokenizer.from_file(PATH), bpe.Codec(PATH)
+
+
+def expected(text):
+    ids = LIBRARY.encode(text or "", add_special_tokens=False).ids
+    return ids, LIBRARY.decode(ids, skip_special_tokens=False)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text())
+def test_any_text_like_the_library(text):
+    ids, decoded = expected(text)
+    assert CODEC.encode(text) == ids
+    assert CODEC.decode(ids) == decoded
+
+
+@pytest.mark.parametrize("text", [
+    "<|endoftext|>", "a<|startoftext|>b <|endoftext", "it's 'LL they're", "ΑΣ İstanbul ß", "a" * 5000, "\x1c\x85 ", "Ᲊ Ɤ",
+])
+def test_chosen_texts(text):
+    assert CODEC.encode(text) == expected(text)[0]
+
+
+def test_both_ways_of_merging_agree():
+    rng = random.Random(3)
+    for n in (1, 2, 7, 100, 400):
+        word = "".join(rng.choice("thean") for _ in range(n))
+        bounds = [*range(n), n + 4]
+        assert bpe.merge_short(word + "</w>", bounds, CODEC.ranks) == bpe.merge_long(word + "</w>", bounds, CODEC.ranks)
+
+
+def test_edges(spark):
+    rows = edge_rows()
+    got = sorted((tuple(r) for r in bpe.encode(docs(spark, rows), PATH, decoded=True).collect()), key=repr)
+    want = sorted(((i, *expected(t)) for i, t in rows), key=repr)
+    assert got == want
+    assert bpe.encode(docs(spark, []), PATH).collect() == []
+    back = bpe.decode(spark.createDataFrame([(1, [320]), (2, None), (3, [])], "doc_id bigint, ids array<int>"), PATH)
+    assert {r.doc_id: r.decoded for r in back.collect()} == {1: "a</w>", 2: "", 3: ""}
+
+
+def test_query(spark, sf_dir):
+    rows = {r.doc_id: r for r in queries()["op1_bpe"](spark, sf_dir).collect()}
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(texts)
+    for r in texts:
+        ids, decoded = expected(r.text)
+        got = rows[r.doc_id]
+        assert got.n_tokens == len(ids)
+        assert got.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()

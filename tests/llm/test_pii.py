@@ -1,0 +1,75 @@
+import re
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from labelscope.llm import pii
+from tests.llm.helpers import docs, edge_rows
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed([int(c) for c in digits])):
+        total += d if i % 2 == 0 else sum(divmod(2 * d, 10))
+    return total % 10 == 0
+
+
+def run(spark, texts, key="k"):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return [(r.text, r.found) for r in pii.pseudonymise(table, key, found="found").orderBy("doc_id").collect()]
+
+
+def test_kinds_keep_their_format(spark):
+    texts = [
+        "pay 4111 1111 1111 1111 now", "card 4785-3805-9239-1139.", "on 2021-02-28.", "on 31.12.1999", "from 10.0.0.255,",
+        "ssn 123-45-6789", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "+1 (743) 555-3824!!", 'token = "24be64439e3e49cf46b2d7c90f"',
+        "write to ann.lee@mail5.example.com###",
+    ]
+    shape = lambda t: re.sub(r"[0-9]", "9", t)
+    for (text, found), old in zip(run(spark, texts), texts, strict=True):
+        assert text != old and len(found) == 1 or found == [], (old, text, found)
+        if found[0] not in ("email", "secret", "ip"):
+            assert shape(text) == shape(old)
+        if found[0] == "card":
+            assert luhn(re.sub(r"\D", "", text))
+        if found[0] == "iban":
+            c = re.sub(r"[^A-Z0-9]", "", text)
+            assert int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1
+        if found[0] == "date" and "-" in text:
+            assert 1900 <= date.fromisoformat(text[3:13]).year <= 2099
+        if found[0] == "ip":
+            assert all(int(o) < 256 for o in re.search(r"\d+(\.\d+){3}", text).group().split("."))
+
+
+def test_what_fails_its_check_stays(spark):
+    texts = ["4111111111111112", "2021-02-30", "256.1.1.1", "666-45-6789 000-12-3456", "DE88370400440532013000", "version 1.2.3.4.5", "12 apples and 345678"]
+    assert [(t, f) for t, f in run(spark, texts)] == [(t, []) for t in texts]
+
+
+def test_equal_values_stay_linked_and_keys_matter(spark):
+    (a, _), (b, _) = run(spark, ["x 4111111111111111 y", "z 4111-1111-1111-1111"])
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
+    (c, _), _ = run(spark, ["x 4111111111111111 y", ""], key="other")
+    assert a != c
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_digits_are_permuted(spark, width):
+    n = 10 ** width
+    rows = spark.range(n).select(pii.permuted_digits(F.lpad(F.col("id").cast("string"), width, "0"), "k", "t").alias("d")).collect()
+    assert sorted(r.d for r in rows) == [str(i).zfill(width) for i in range(n)]
+
+
+def test_dates_are_permuted(spark):
+    days = spark.sql("SELECT explode(sequence(date'1900-01-01', date'2099-12-31')) AS d")
+    out = days.select(pii._date(F.col("d").cast("string"), "k").alias("p")).agg(F.countDistinct("p"), F.min("p"), F.max("p")).first()
+    assert tuple(out) == (73049, "1900-01-01", "2099-12-31")
+
+
+def test_edges(spark):
+    rows = edge_rows() + [(20, "9" * 100_000), (21, "a@" * 50_000), (22, "1.2" * 50_000)]
+    made = pii.pseudonymise(docs(spark, rows), "k", found="found")
+    got = sorted(((r.doc_id, r.text, r.found) for r in made.select("doc_id", "text", "found").collect()), key=repr)
+    assert got == sorted(((i, t, []) for i, t in rows), key=repr)
+    assert pii.pseudonymise(docs(spark, []), "k").collect() == []

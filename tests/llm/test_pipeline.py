@@ -1,0 +1,67 @@
+from collections import Counter
+
+import public_tokenizers
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from labelscope.llm import langid, mixing, pii
+from tests.llm.test_simhash import components, fingerprint
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages_against_brute_force(spark, sf_dir, tmp_path):
+    """Each stage on what its predecessor kept."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before, kept = {r.doc_id: r for r in docs.collect()}, {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        kept[name] = docs.collect()
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == COLUMNS
+    spoken = {r.doc_id: r for r in kept["language_id"]}
+    assert all(spoken[i] == before[i] for i in spoken)
+    assert len(spoken) >= 0.95 * len(before)
+    ids = sorted(spoken)
+    groups = components([fingerprint(spoken[i].text) for i in ids])
+    assert sorted(r.doc_id for r in kept["simhash_dedup"]) == sorted({ids[c] for c in groups})
+    unique = {r.doc_id: r for r in kept["simhash_dedup"]}
+    table = spark.createDataFrame(kept["simhash_dedup"], spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    private = {r.doc_id: r for r in kept["pii"]}
+    want = {r.doc_id: r.text for r in pii.pseudonymise(table, corpus_pipeline.queries.PII_KEY).collect()}
+    assert {i: r.text for i, r in private.items()} == want and set(private) == set(unique)
+    assert all(r.n_chars == len(r.text) for r in kept["pii"])
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    times = Counter(r.doc_id for r in kept["mixing"])
+    for r in kept["pii"]:
+        sizes[r.source] += len(r.text.split())
+        taken[r.source] += times[r.doc_id] * len(r.text.split())
+        largest[r.source] = max(largest[r.source], len(r.text.split()))
+    targets = mixing.targets(sizes)
+    assert max(times.values()) <= 2
+    assert all(abs(taken[s] - targets[s]) <= largest[s] for s in targets)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text for r in kept["mixing"]}
+    assert Counter(r.doc_id for r in kept["bpe"]) == times
+    assert all(r.ids == library.encode(texts[r.doc_id], add_special_tokens=False).ids for r in kept["bpe"])
+
+
+def test_run_is_the_stages(spark, sf_dir):
+    rows = corpus_pipeline.run(spark, sf_dir).select("doc_id", "n_tokens").collect()
+    assert rows and all(r.n_tokens >= 0 for r in rows)
+    assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_rejected_documents_go(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    junk = spark.createDataFrame([(10**9, "12 34 *** 56", None, "src0", 12), (10**9 + 1, None, "en", None, None)], docs.schema)
+    left = corpus_pipeline.language_id(spark, docs.unionByName(junk), sf_dir)
+    assert left.where("doc_id >= 1000000000").count() == 0
+    assert langid.UNKNOWN not in {r.lang for r in left.collect()}
+
+
+def test_empty_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).collect() == []
