@@ -12,7 +12,6 @@ from labelscope.domain import BOX, CASES_SHOWN, FACE, FULL, TASK_NAMES, class_ar
 from labelscope.operators.joins import lookup_join
 from labelscope.operators.resume import PERSON_KEY
 
-_BROADCAST_ROWS = 1000
 _ORDER = ("row_id", "image_path")  # input order; the path settles rows of several inputs
 
 
@@ -82,6 +81,11 @@ def _context(results: DataFrame, context: str) -> DataFrame:
     return results.where(F.col("context") == context)
 
 
+def _first_face(faces: DataFrame, keys: list[str]) -> DataFrame:
+    first = F.expr("min_by(struct(predicted_label, cropped_path), row_id)")
+    return faces.groupBy(*keys).agg(first.alias("face"))
+
+
 def context_pairs(results: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Full row and face answer of the same person, per model; both must exist.
 
@@ -90,12 +94,11 @@ def context_pairs(results: DataFrame, hot: DataFrame | None = None) -> DataFrame
     hashes of the model and the person.
     """
     key = ["model_key", *PERSON_KEY]
-    first = F.expr("min_by(struct(predicted_label, cropped_path), row_id)")
-    faces = _context(results, FACE).groupBy(*key).agg(first.alias("face"))
+    faces = _context(results, FACE).select(*key, "row_id", "predicted_label", "cropped_path")
     full = _context(results, FULL).select(
         "row_id", *key, "label", F.col("predicted_label").alias("predicted_label_full")
     )
-    return lookup_join(full, faces, key, "inner", hot).select(
+    return lookup_join(full, faces, key, "inner", hot, collapse=_first_face).select(
         "model_key", "row_id", "image_path", *BOX, "label", "predicted_label_full",
         F.col("face.predicted_label").alias("predicted_label_face"), "face.cropped_path",
     )
@@ -106,13 +109,17 @@ def _hit(side: str) -> Column:
 
 
 def _first(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """First ``n`` rows per model.
+    """First ``n`` rows per model, ranked, for any ``n``.
 
-    Each task passes on its own first ``n`` at most, as long as ``n`` does not exceed
-    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000); raise that for longer lists.
+    Rows are dealt over slices first; a slice passes on its own first ``n``, and only these
+    meet in the slice-free ranking: ``n`` rows a slice and model at most.
     """
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
+    inside = Window.partitionBy("model_key", "_slice").orderBy(*order)
+    few = dealt.withColumn("rank", F.row_number().over(inside)).where(F.col("rank") <= n)
     window = Window.partitionBy("model_key").orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
+    return few.drop("_slice").withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
 
 
 def context_helped(pairs: DataFrame, n: int = CASES_SHOWN) -> DataFrame:
@@ -134,6 +141,16 @@ def context_cases(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _per_image(by_answer: DataFrame, keys: list[str]) -> DataFrame:
+    # At most one entry per class and one for Unknown.
+    entries = F.filter(
+        F.collect_list(F.struct("predicted_label", "n")), lambda e: e["predicted_label"].isNotNull()
+    )
+    return by_answer.groupBy(*keys).agg(
+        F.sum("n").alias("n_pairs"), F.map_from_entries(entries).alias("n_by_label")
+    )
+
+
 def pairs_by_image(results: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Every full row against all face rows of its image, counted instead of listed.
 
@@ -144,20 +161,13 @@ def pairs_by_image(results: DataFrame, hot: DataFrame | None = None) -> DataFram
     """
     key = ["model_key", "image_path"]
     by_answer = _context(results, FACE).groupBy(*key, "predicted_label").agg(F.count("*").alias("n"))
-    # At most one entry per class and one for Unknown.
-    entries = F.filter(
-        F.collect_list(F.struct("predicted_label", "n")), lambda e: e["predicted_label"].isNotNull()
-    )
-    per_image = by_answer.groupBy(*key).agg(
-        F.sum("n").alias("n_pairs"), F.map_from_entries(entries).alias("n_by_label")
-    )
     full = _context(results, FULL).select(
         "model_key", "row_id", "image_path", "label",
         F.col("predicted_label").alias("predicted_label_full"),
     )
     right = F.coalesce(F.try_element_at("n_by_label", F.col("label")), F.lit(0).cast("bigint"))
     return (
-        lookup_join(full, per_image, key, "inner", hot)
+        lookup_join(full, by_answer, key, "inner", hot, collapse=_per_image)
         .withColumn("n_face_right", right)
         .drop("n_by_label")
     )
@@ -200,8 +210,6 @@ def cases_by_image(
         "model_key", "image_path", F.col("row_id").alias("face_row_id"),
         F.col("predicted_label").alias("predicted_label_face"), "cropped_path",
     )
-    if n <= _BROADCAST_ROWS:  # n rows per registered model
-        chosen = F.broadcast(chosen)
     joined = faces.join(chosen, ["model_key", "image_path"])
     wanted = joined.where(~_hit("face") if helped else _hit("face"))
     return _first(wanted, n, *_ORDER, "face_row_id")

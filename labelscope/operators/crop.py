@@ -31,18 +31,20 @@ def crop_plan(
     crop_root: str = "",
     cached: DataFrame | None = None,
     hot: DataFrame | None = None,
+    hot_boxes: DataFrame | None = None,
 ) -> DataFrame:
     """Add cropped_path, crop_failed, crop_fail_reason from image sizes alone.
 
     ``images`` has one row per image_path with width and height. ``cached`` holds
-    boxes cut before: they succeed without a look at the image.
+    boxes cut before: they succeed without a look at the image. ``hot`` has hot hashes of
+    image_path, ``hot_boxes`` of the image and box.
     """
     sizes = images.select("image_path", "width", "height")
     sized = lookup_join(annotations, sizes, ["image_path"], hot=hot)
     if cached is None:
         sized = sized.withColumn("_cached", F.lit(False))
     else:
-        sized = with_cache_flag(sized, cached, "_cached")
+        sized = with_cache_flag(sized, cached, "_cached", hot_boxes)
     reason = crop_fail_reason("width", "height", "_cached")
     return (
         sized.withColumn("crop_fail_reason", reason)
@@ -56,14 +58,17 @@ def with_cache_flag(
     annotations: DataFrame, cached: DataFrame, name: str = "cached", hot: DataFrame | None = None
 ) -> DataFrame:
     """Flag boxes that are already in the crop store."""
-    done = cached.select(*CROP_KEY).distinct().withColumn("_hit", F.lit(True))
     return (
-        lookup_join(annotations, done, CROP_KEY, hot=hot)
+        lookup_join(annotations, cached.select(*CROP_KEY), CROP_KEY, hot=hot, collapse=_hits)
         .withColumn(name, F.col("_hit").isNotNull())
         .drop("_hit")
     )
 
 
+def _hits(done: DataFrame, keys: list[str]) -> DataFrame:
+    return done.select(*keys).distinct().withColumn("_hit", F.lit(True))
+
+
 def cut_regions(plan: DataFrame, images: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Add the region of each box that lies inside its image."""
     sizes = images.select("image_path", "width", "height")
@@ -174,18 +179,22 @@ def cut_crops(
     )
 
 
-def with_crops(annotations: DataFrame, cuts: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """Add the outcome of ``cut_crops`` (stored or fresh) to every annotation."""
-    per_box = cuts.groupBy(*CROP_KEY).agg(
+def _per_box(outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    return outcomes.groupBy(*keys).agg(
         F.max("cropped_path").alias("_path"),
         F.bool_and(F.col("crop_fail_reason").isNotNull()).alias("_failed"),
         F.max("crop_fail_reason").alias("_why"),
     )
+
+
+def with_crops(annotations: DataFrame, cuts: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Add the outcome of ``cut_crops`` (stored or fresh) to every annotation."""
+    outcomes = cuts.select(*CROP_KEY, "cropped_path", "crop_fail_reason")
     reason = F.when(~valid_box(), INVALID_BOX).when(
         F.coalesce("_failed", F.lit(True)), F.coalesce("_why", F.lit("not cut"))
     )
     return (
-        lookup_join(annotations, per_box, CROP_KEY, hot=hot)
+        lookup_join(annotations, outcomes, CROP_KEY, hot=hot, collapse=_per_box)
         .withColumn("crop_fail_reason", reason)
         .withColumn("crop_failed", F.col("crop_fail_reason").isNotNull())
         .withColumn("cropped_path", F.when(~F.col("crop_failed"), F.col("_path")))

@@ -2,37 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot from one row in 200 on, so there are at most 200 of them. The
-# sketch tracks 1024 keys: enough to see every such key, and a bounded state.
-_HOT_SHARE = 200
-_TRACKED = 1024
+# The sketch tracks this many keys for each that can be hot, so that it sees them all.
+_TRACKED_PER_HOT = 5
+_SLICES = 4  # for each partition a key would fill, so that they spread evenly
+_MOST_TRACKED = 1_000_000  # what the sketch allows
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def hot_hashes(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """One row, ``hot``: hashes of the keys holding 1/200 of the rows or more.
+    """Hashes of the keys that would fill a shuffle partition of their own: ``hot``, ``slices``.
 
-    Reads the key columns of ``df`` once, so take it from a scan or a stored table,
-    not from the end of a long chain.
+    A key is hot if it holds more rows than an average partition, so there are no more of
+    them than partitions; it gets a few slices for each partition it would fill.
+    Reads the key columns of ``df`` once, so take it from a scan or a stored table, not
+    from the end of a long chain.
     """
-    key = F.xxhash64(*on).alias("k")
-    return df.select(key).agg(
-        F.expr(f"approx_top_k(k, {_HOT_SHARE}, {_TRACKED})").alias("top"), F.count("*").alias("n")
-    ).select(
-        F.transform(
-            F.filter("top", lambda t: t["count"] * _HOT_SHARE >= F.col("n")), lambda t: t["item"]
-        ).alias("hot")
+    most = _partitions(df)
+    tracked = min(_MOST_TRACKED, max(1024, most * _TRACKED_PER_HOT))
+    top = df.select(F.xxhash64(*on).alias("k")).agg(
+        F.expr(f"approx_top_k(k, {min(most, tracked)}, {tracked})").alias("top"), F.count("*").alias("n")
+    )
+    found = top.select("n", F.inline("top"))
+    filled = F.col("count") * most
+    return found.where(filled > F.col("n")).select(
+        F.col("item").alias("hot"), F.least(F.lit(most), F.ceil(filled / F.col("n")) * _SLICES).cast("int").alias("slices")
     )
 
 
 def settled(hot: DataFrame) -> DataFrame:
-    """The same at most 200 numbers as a constant, for use in several jobs."""
-    hashes = ", ".join(f"bigint('{h}')" for h in hot.first()["hot"])
-    return hot.sparkSession.sql(f"SELECT cast(array({hashes}) AS array<bigint>) AS hot")
+    """The same hashes, one per shuffle partition at most, as a constant for several jobs."""
+    return hot.sparkSession.createDataFrame(hot.collect(), "hot bigint, slices int")
 
 
 def lookup_join(
@@ -42,28 +49,31 @@ def lookup_join(
     how: str = "left",
     hot: DataFrame | None = None,
     spread: Sequence[str] = ("row_id",),
+    collapse: Callable[[DataFrame, list[str]], DataFrame] | None = None,
 ) -> DataFrame:
     """Join ``fact`` to ``lookup``, which has one row per key.
 
-    Only the fact side can be skewed then, which adaptive execution splits for
-    semi, anti, left and inner joins alike. With ``hot`` (see ``hot_hashes``) the
-    split is in the plan itself: rows of a hot key are dealt over as many slices as
-    there are shuffle partitions by a hash of ``spread``, and only the at most 200
-    matching lookup rows are repeated per slice. The sketch merely says which keys
-    to slice; the result is the same for any answer it gives.
+    ``collapse`` makes it so where it is not yet: a function of a table and its key columns,
+    such as a ``distinct`` or an aggregation.
+
+    Only the fact side can be skewed then. Adaptive execution splits it, as long as the
+    lookup is a plain table; it leaves joins alone whose lookup is aggregated by the key,
+    as the aggregate's shuffle serves the join. With ``hot`` (see ``hot_hashes``) the split
+    is in the plan itself: rows of a hot key are dealt over its slices by a hash of
+    ``spread``, and only the matching lookup rows are repeated per slice, before they are
+    collapsed, so that one shuffle serves both. The sketch merely says which keys to slice;
+    the result is the same for any answer it gives.
     """
+    on = list(on)
     if hot is None:
-        return fact.join(lookup, list(on), how)
-    slices = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hashes = hot.scalar()
-
-    def is_hot() -> Column:
-        return F.coalesce(F.array_contains(hashes, F.xxhash64(*on)), F.lit(False))
-
-    slice_of = F.pmod(F.xxhash64(*spread), F.lit(slices)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(slices - 1))
-    sliced = fact.withColumn("_slice", F.when(is_hot(), slice_of).otherwise(0))
-    repeated = lookup.withColumn(
-        "_slice", F.explode(F.when(is_hot(), every).otherwise(F.array(F.lit(0))))
-    )
-    return sliced.join(repeated, [*on, "_slice"], how).drop("_slice")
+        return fact.join(collapse(lookup, on) if collapse else lookup, on, how)
+    marks = F.broadcast(hot.select(F.col("hot").alias("_hot"), F.col("slices").alias("_slices")))
+
+    def marked(df: DataFrame, slice_of: Column) -> DataFrame:
+        return df.join(marks, F.xxhash64(*on) == F.col("_hot"), "left").withColumn("_slice", slice_of).drop("_hot", "_slices")
+
+    one = F.coalesce("_slices", F.lit(1))
+    sliced = marked(fact, F.pmod(F.xxhash64(*spread), one).cast("int"))
+    repeated = marked(lookup, F.explode(F.sequence(F.lit(0), one - 1)))
+    keys = [*on, "_slice"]
+    return sliced.join(collapse(repeated, keys) if collapse else repeated, keys, how).drop("_slice")

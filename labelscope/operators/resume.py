@@ -16,8 +16,12 @@ PERSON_KEY = ("image_path", *BOX)
 def _done(stored: DataFrame, key: Sequence[str], retry_unknown: bool) -> DataFrame:
     if retry_unknown:
         stored = stored.where(F.col("predicted_label") != UNKNOWN)
+    return stored.select(*key)
+
+
+def _distinct(done: DataFrame, keys: list[str]) -> DataFrame:
     # Copies of a key collapse map-side, so a hot stored key is one row per task.
-    return stored.select(*key).distinct()
+    return done.select(*keys).distinct()
 
 
 def remaining(
@@ -32,7 +36,7 @@ def remaining(
     The default key is the person (image and box). ``key=['image_path']`` treats an
     image as done once any person in it is. ``stored`` is one model and context.
     """
-    return lookup_join(rows, _done(stored, key, retry_unknown), key, "left_anti", hot)
+    return lookup_join(rows, _done(stored, key, retry_unknown), key, "left_anti", hot, collapse=_distinct)
 
 
 def resume_audit(

@@ -9,8 +9,7 @@ from labelscope.domain import CLASSES, FACE, SAMPLE_SEED, class_index, models, s
 from labelscope.functions.text import file_safe
 from labelscope.operators.clean import check_sample_size
 
-# Up to this many rows a plain top-n is used, which ends in one task.
-_TOP_N_LIMIT = 10_000
+TOP_N_ROWS = 10_000
 _DIGITS = 4  # hex digits settled per counting pass: at most 16**4 counts
 
 
@@ -18,23 +17,27 @@ def _draw(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}_"), F.col("row_id").cast("string")))
 
 
-def sample_rows(df: DataFrame, n: int | None, seed: int = SAMPLE_SEED) -> DataFrame:
+def sample_rows(
+    df: DataFrame, n: int | None, seed: int = SAMPLE_SEED, in_one_task: int = TOP_N_ROWS
+) -> DataFrame:
     """Exactly ``n`` rows without replacement, or all rows when there are fewer.
 
     Rows are ordered by a seeded hash of ``row_id``, so the sample does not depend
-    on partitioning. A large ``n`` is cut at the hash of its last row, found by
-    counting hash prefixes, so no task ever holds the sample.
+    on partitioning. Up to ``in_one_task`` rows are taken by a top-n, which ends in one
+    task. A larger ``n`` is cut at the hash of its last row, found by counting hash
+    prefixes: one pass for each four hex digits, at most 16**4 counts at a time, until at
+    most ``in_one_task`` rows share the prefix. Both ways give the same rows.
     """
     check_sample_size(n)
     if n is None:
         return df
     drawn = df.withColumn("_draw", _draw(seed))
-    if n <= _TOP_N_LIMIT:
+    if n <= in_one_task:
         return drawn.orderBy("_draw", "row_id").limit(n).drop("_draw")
-    return _cut_at_rank(drawn, n).drop("_draw")
+    return _cut_at_rank(drawn, n, in_one_task).drop("_draw")
 
 
-def _cut_at_rank(drawn: DataFrame, n: int) -> DataFrame:
+def _cut_at_rank(drawn: DataFrame, n: int, in_one_task: int) -> DataFrame:
     prefix, needed = "", n
     while True:
         length = len(prefix) + _DIGITS
@@ -49,7 +52,7 @@ def _cut_at_rank(drawn: DataFrame, n: int) -> DataFrame:
         if boundary is None:
             return drawn if not prefix else _up_to(drawn, prefix)
         prefix = boundary["p"]
-        if boundary["count"] <= _TOP_N_LIMIT or length >= 32:
+        if boundary["count"] <= in_one_task or length >= 32:
             below = drawn.where(F.substring("_draw", 1, length) < prefix)
             edge = drawn.where(F.startswith(F.col("_draw"), F.lit(prefix)))
             return below.unionByName(edge.orderBy("_draw", "row_id").limit(needed))

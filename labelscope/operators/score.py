@@ -64,6 +64,8 @@ def _answers(
                 text = error = None
                 try:
                     text = predictor.predict(image.as_py(), prompt)
+                    if not (text is None or isinstance(text, str)):
+                        error, text = f"an answer of type {type(text).__name__}", None
                 except Exception as failure:  # one bad row must not end the job
                     error = str(failure) or type(failure).__name__
                 texts.append(text)

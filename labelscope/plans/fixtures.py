@@ -75,9 +75,10 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text per image in place of its pixels: the props of its first event."""
-    first = _events(spark, sf_dir).groupBy("no").agg(F.min_by("props", "event_id").alias("image"))
-    return first.selectExpr(_LISTED, "image")
+    """A text per image in place of its pixels: the props of all its events, in event order."""
+    told = F.sort_array(F.collect_list(F.struct("event_id", "props")))  # three events an image
+    whole = F.array_join(F.transform(told, lambda e: e["props"]), "")
+    return _events(spark, sf_dir).groupBy("no").agg(whole.alias("image")).selectExpr(_LISTED, "image")
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:

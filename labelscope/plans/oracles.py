@@ -46,8 +46,8 @@ _CTES = {
           (320 + 80 * (no % 5))::int as width, (240 + 60 * (no % 4))::int as height
         from (select distinct no from numbered)""",
     "contents": f"""
-        select concat('{ROOT}/img/', no::varchar, {_SUFFIX}) as image_path, first_props as image
-        from (select no, arg_min(props, event_id) as first_props from numbered group by no)""",
+        select concat('{ROOT}/img/', no::varchar, {_SUFFIX}) as image_path, all_props as image
+        from (select no, string_agg(props, '' order by event_id) as all_props from numbered group by no)""",
     "resolved": f"""
         select row_id, event_type, '{ROOT}/' || trim(image_path) as image_path,
           trim(label, chr(9) || chr(32) || chr(160)) as label, {_BOX}
@@ -92,14 +92,16 @@ _CTES = {
             when 8 then {_class_at('row_id')}
             else '' end as raw_output
         from crops c, runs where context = '{FULL}' or not crop_failed""",
-    "matches": """
-        select row_id, model_key, context, arg_min(cls, idx - case when trim(trim(raw_output), '.')
-          ilike cls then 100 else 0 end) as cls
-        from answers join classes on contains(lower(raw_output), lower(cls))
-        group by all""",
+    "texts": """
+        select raw_output, lower(raw_output) as low, lower(trim(trim(raw_output), '.')) as bare
+        from (select distinct raw_output from answers where raw_output is not null)""",
+    "matches": f"""
+        select raw_output, coalesce(list_filter({_NAMES}, lambda c: lower(c) = bare)[1],
+          list_filter({_NAMES}, lambda c: contains(low, lower(c)))[1]) as cls
+        from texts""",
     "results": """
         select a.*, coalesce(m.cls, 'Unknown') as predicted_label
-        from answers a left join matches m using (row_id, model_key, context)""",
+        from answers a left join matches m using (raw_output)""",
     "shown": "select * from results where predicted_label <> 'Unknown'",
     "asked": "select distinct model_key, context from results",
     "class_counts": """
@@ -161,7 +163,7 @@ _CTES = {
           case when n % 13 <> 0 then ' ' || lower({_NAMES}[(n + shift) % 26 + 1]) || '. ' end as raw_output,
           case when n % 13 <> 0 then {_NAMES}[(n + shift) % 26 + 1] else 'Unknown' end as predicted_label,
           case when n % 13 = 0 then 'cannot look at ' || n::varchar end as error
-        from (select image_path, regexp_extract(image, '[0-9]+')::bigint as n from contents),
+        from (select image_path, regexp_replace(image, '[^0-9]', '', 'g')::bigint as n from contents),
           (values ('{FULL}', 1), ('{FACE}', 5)) c(context, shift)""",
 }
 
@@ -213,6 +215,9 @@ _SELECTS = {
     "sample_n": f"""
         select row_id, image_path, label, {_BOX} from clean
         order by md5(concat('42_', row_id::varchar)), row_id limit 500""",
+    "sample_large": f"""
+        select row_id, image_path, label, {_BOX} from clean
+        order by md5(concat('42_', row_id::varchar)), row_id limit 500""",
     "crop_plan": f"""
         select row_id, image_path, {_BOX}, cropped_path, crop_failed, crop_fail_reason from crops""",
     "crop_regions": """

@@ -61,6 +61,13 @@ def sample_n(spark: SparkSession, sf: str) -> DataFrame:
     return sample.sample_rows(rows, 500).select("row_id", "image_path", "label", *BOX)
 
 
+@_query
+def sample_large(spark: SparkSession, sf: str) -> DataFrame:
+    """More rows than one task may hold: cut by counting hash prefixes."""
+    rows = fx.annotations(spark, sf)
+    return sample.sample_rows(rows, 500, in_one_task=50).select("row_id", "image_path", "label", *BOX)
+
+
 @_query
 def csv_annotations(spark: SparkSession, sf: str) -> DataFrame:
     """Annotations written as loosely headed CSV, read back and cleaned."""

@@ -84,9 +84,11 @@ def _score_runs(
 ) -> DataFrame:
     keys = select_models(model)
     hot = settled(hot_hashes(rows, key))
+    person = list(resume.PERSON_KEY)
+    hot_boxes = hot if key == person else settled(hot_hashes(rows, person))
     for name in keys:
         stored = stores.read_results(spark, work.path("results"), name, context, without_batch=batch)
-        left = rows if stored is None else resume.remaining(rows, stored)
+        left = rows if stored is None else resume.remaining(rows, stored, hot=hot_boxes)
         if stored is not None and left.isEmpty():  # done: no image is opened for it
             continue
         scored = score(left, images, factories[name], context, key, tasks, hot=hot)
@@ -149,7 +151,7 @@ def cut(
     )
     stores.write_crops(cuts, work.path("crops"), batch)
     outcomes = stores.read_outcomes(spark, work.path("crops"), batch)
-    crop.with_crops(rows, outcomes).write.mode("overwrite").parquet(work.path("cropped"))
+    crop.with_crops(rows, outcomes, settled(hot_hashes(rows, crop.CROP_KEY))).write.mode("overwrite").parquet(work.path("cropped"))
     cropped = spark.read.parquet(work.path("cropped"))
     stores.write_csv(crop.crop_failures(cropped), work.path("crop_failures"))
     return cropped

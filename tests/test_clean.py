@@ -95,7 +95,7 @@ def test_hot_slicing_changes_nothing(spark, listed):
         "'Fear' AS label",
     )
     hot = clean.hot_images(rows, "/root")
-    assert len(hot.first().hot) == 2
+    assert hot.count() >= 2
     for how in (None, hot):
         kept = clean_annotations(rows, listed, "/root", hot=how)
         assert kept.count() == kept.select("row_id").distinct().count() == 2000
@@ -132,9 +132,8 @@ def test_sample_size_and_repeatability(spark):
 def test_large_samples_are_cut_at_the_same_rows(spark, monkeypatch, n):
     rows = spark.range(5000).withColumnRenamed("id", "row_id").cache()
     plain = {r.row_id for r in sample_rows(rows, n).collect()}
-    monkeypatch.setattr(sample, "_TOP_N_LIMIT", -1 if n == 0 else 0)
     monkeypatch.setattr(sample, "_DIGITS", 1)
-    cut = [r.row_id for r in sample_rows(rows, n).collect()]
+    cut = [r.row_id for r in sample_rows(rows, n, in_one_task=-1 if n == 0 else 0).collect()]
     assert len(cut) == len(plain) and set(cut) == plain
 
 

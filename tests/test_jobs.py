@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelscope.domain import CLASSES, FULL
 from labelscope.operators.crop import rgb_array
@@ -163,9 +164,36 @@ def test_stream_scores_each_file_once(spark, tmp_path):
     assert out.count() == out.select("row_id").distinct().count() == 30
     assert {r.predicted_label for r in out.collect()} == {CLASSES[5]}
     # A batch that runs again replaces what it wrote.
-    stores.write_results(out.where("batch = 'run-stream-0'").drop("batch"), store, "stream-0")
+    batch = out.where("row_id = 0").first()["batch"]
+    stores.write_results(out.where(F.col("batch") == batch).drop("batch"), store, batch.removeprefix("run-"))
     assert stores.read_results(spark, store).count() == 30
 
 
+def test_streams_share_a_store(spark, tmp_path):
+    """Two sources, and a new checkpoint whose source has lost its files, keep all rows."""
+    store = str(tmp_path / "store")
+    schema = "row_id long, image_path string, label string, bbox_x1 long, bbox_y1 long, bbox_x2 long, bbox_y2 long"
+
+    def run(first, source, progress):
+        rows = spark.range(first, first + 10).selectExpr(
+            "id AS row_id", "concat('i', id) AS image_path", "'Fear' AS label",
+            "0L AS bbox_x1", "0L AS bbox_y1", "1L AS bbox_x2", "1L AS bbox_y2",
+        )
+        rows.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / source))
+        images = rows.selectExpr("image_path", "named_struct('height', 1, 'width', 1, 'nChannels', 3, 'mode', 16,"
+                                 " 'data', unhex('000005')) AS image")
+        query = score_stream(
+            spark, str(tmp_path / source), schema, lambda batch: score(batch, images, RedMeans, FULL), store, "qwen", FULL,
+            checkpoint=str(tmp_path / progress),
+        )
+        query.awaitTermination(120)
+        assert query.exception() is None
+        return stores.read_results(spark, store).count()
+
+    assert run(0, "a", "pa") == 10
+    assert run(10, "b", "pb") == 20
+    assert run(20, "a", "pc") == 30
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert checkpoint_folder(spark, "x") == spark.conf.get("spark.checkpoint.dir") + "/x"
