@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.domain import BOX, DEFAULT_EXTENSION
@@ -22,15 +23,42 @@ def resolve_path(path: Column, root: str) -> Column:
 
 
 def path_key(path: str) -> Column:
-    """Path column without empty, ``.`` and ``..`` steps, so spellings of one file agree."""
-    parts = f"""aggregate(split({path}, '/'), cast(array() as array<string>), (done, part) -> CASE
+    """Path column without empty, ``.`` and ``..`` steps, so spellings of one file agree.
+
+    ``file:`` in front counts for nothing; other schemes and hosts stay as they are.
+    """
+    local = f"regexp_replace({path}, '^file:/+', '/')"
+    store = f"regexp_extract({local}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', 0)"
+    inside = f"substring({local}, length({store}) + 1)"
+    parts = f"""aggregate(split({inside}, '/'), cast(array() as array<string>), (done, part) -> CASE
         WHEN part IN ('', '.') THEN done
         WHEN part = '..' THEN slice(done, 1, greatest(size(done) - 1, 0))
         ELSE concat(done, array(part)) END)"""
-    # Most paths have no such step, which three cheap tests tell.
-    plain = f"NOT (contains({path}, '//') OR contains({path}, '/.') OR startswith({path}, '.'))"
+    # Most paths have no such step, which four cheap tests tell.
+    plain = f"""NOT (contains({path}, '//') OR contains({path}, '/.') OR startswith({path}, '.')
+        OR startswith({path}, 'file:'))"""
     return F.expr(f"""CASE WHEN {plain} THEN {path}
-        ELSE concat(if(startswith({path}, '/'), '/', ''), array_join({parts}, '/')) END""")
+        ELSE concat({store}, if(startswith({inside}, '/'), '/', ''), array_join({parts}, '/')) END""")
+
+
+def with_image_key(df: DataFrame) -> DataFrame:
+    """Add ``image_key``, the canonical path that joins on images use, if it is not there.
+
+    Never null, so a join on it adds no null test of the whole expression.
+    """
+    if "image_key" in df.columns:
+        return df
+    return df.withColumn("image_key", F.coalesce(path_key("image_path"), F.lit("")))
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` with the scheme and host of the store it lies in; local folders stay plain."""
+    if not root:
+        return root
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "/", whole)
 
 
 def local_path(uri: Column) -> Column:

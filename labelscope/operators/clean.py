@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.domain import BOX, CLASSES
 from labelscope.functions.boxes import whole_number
-from labelscope.functions.paths import path_key, resolve_path
+from labelscope.functions.paths import resolve_path, with_image_key
 from labelscope.functions.text import as_text, strip
 from labelscope.operators.joins import hot_hashes, lookup_join
 
@@ -39,7 +39,7 @@ def _prepared(raw: DataFrame, root: str) -> DataFrame:
     return (
         raw.withColumn("image_path", resolve_path(F.col("image_path"), root))
         .withColumn("label", strip(as_text(F.col("label"))))
-        .withColumn("_file", _file_key())
+        .transform(with_image_key)
     )
 
 
@@ -48,18 +48,13 @@ def resolved_paths(raw: DataFrame, root: str = "") -> DataFrame:
     return raw.select(resolve_path(F.col("image_path"), root).alias("image_path"))
 
 
-def _file_key() -> Column:
-    # Never null, so a join on it adds no null test of the whole expression.
-    return F.coalesce(path_key("image_path"), F.lit(""))
-
-
 def _files(images: DataFrame) -> DataFrame:
-    return images.where(F.col("image_path").isNotNull()).select(_file_key().alias("_file"))
+    return with_image_key(images.where(F.col("image_path").isNotNull()).select("image_path")).select("image_key")
 
 
 def hot_images(raw: DataFrame, root: str = "") -> DataFrame:
     """Hot image files of an annotation table, for the joins on image_path."""
-    return hot_hashes(_prepared(raw, root), ["_file"])
+    return hot_hashes(_prepared(raw, root), ["image_key"])
 
 
 def clean_annotations(
@@ -74,10 +69,11 @@ def clean_annotations(
     ``raw`` has the annotation schema and ``row_id``; ``images`` lists each existing
     file once in ``image_path``. Box columns that are absent become 0. With
     ``missing_box='quarantine'`` unreadable coordinates become null, and the crop
-    step reports those rows as invalid boxes.
+    step reports those rows as invalid boxes. ``image_path`` stays as it is spelled;
+    ``image_key`` is added, the canonical path by which images are found from here on.
     """
     known = _prepared(raw, root).where(F.col("label").isin(CLASSES))
-    kept = lookup_join(known, _files(images), ["_file"], "left_semi", hot).drop("_file")
+    kept = lookup_join(known, _files(images), ["image_key"], "left_semi", hot)
     return kept.withColumns({
         name: whole_number(name, missing_box) if name in raw.columns else F.expr("0L")
         for name in BOX
@@ -94,7 +90,7 @@ def load_audit(
     """One row of counts: raw, missing image, unknown label, usable, subset."""
     check_sample_size(sample)
     listed = _files(images).distinct().withColumn("found", F.lit(True))
-    flags = lookup_join(_prepared(raw, root), listed, ["_file"], hot=hot).select(
+    flags = lookup_join(_prepared(raw, root), listed, ["image_key"], hot=hot).select(
         F.col("found").isNotNull().alias("found"), F.col("label").isin(CLASSES).alias("known")
     )
     usable = F.count_if(F.col("found") & F.col("known"))

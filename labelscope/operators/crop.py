@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from labelscope.domain import BOX, INVALID_BOX
 from labelscope.functions.boxes import clamped, crop_fail_reason, valid_box
-from labelscope.functions.paths import crop_name, join_path
+from labelscope.functions.paths import crop_name, join_path, with_image_key
 from labelscope.operators.joins import lookup_join
 
 # A crop is told apart by its image and full box. The file name holds only 48
@@ -37,10 +37,9 @@ def crop_plan(
 
     ``images`` has one row per image_path with width and height. ``cached`` holds
     boxes cut before: they succeed without a look at the image. ``hot`` has hot hashes of
-    image_path, ``hot_boxes`` of the image and box.
+    image_key, ``hot_boxes`` of the image and box.
     """
-    sizes = images.select("image_path", "width", "height")
-    sized = lookup_join(annotations, sizes, ["image_path"], hot=hot)
+    sized = _sized(annotations, images, hot)
     if cached is None:
         sized = sized.withColumn("_cached", F.lit(False))
     else:
@@ -54,6 +53,13 @@ def crop_plan(
     )
 
 
+def _sized(rows: DataFrame, images: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Add the width and height of each row's image, however its path is spelled."""
+    sizes = with_image_key(images).select("image_key", "width", "height")
+    sized = lookup_join(with_image_key(rows), sizes, ["image_key"], hot=hot)
+    return sized if "image_key" in rows.columns else sized.drop("image_key")
+
+
 def with_cache_flag(
     annotations: DataFrame, cached: DataFrame, name: str = "cached", hot: DataFrame | None = None
 ) -> DataFrame:
@@ -71,10 +77,9 @@ def _hits(done: DataFrame, keys: list[str]) -> DataFrame:
 
 def cut_regions(plan: DataFrame, images: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Add the region of each box that lies inside its image."""
-    sizes = images.select("image_path", "width", "height")
     sides = zip(("cut_x1", "cut_y1", "cut_x2", "cut_y2"), clamped("width", "height"), strict=True)
     return (
-        lookup_join(plan, sizes, ["image_path"], hot=hot)
+        _sized(plan, images, hot)
         .withColumns({name: F.expr(side) for name, side in sides})
         .drop("width", "height")
     )
@@ -161,8 +166,8 @@ def cut_crops(
     boxes = annotations.select(*CROP_KEY).where(valid_box()).distinct()
     if cached is not None:
         boxes = lookup_join(boxes, cached.select(*CROP_KEY).distinct(), CROP_KEY, "left_anti")
-    pictures = images.select("image_path", "image")
-    joined = lookup_join(boxes, pictures, ["image_path"], hot=hot, spread=CROP_KEY)
+    pictures = with_image_key(images).select("image_key", "image")
+    joined = lookup_join(with_image_key(boxes), pictures, ["image_key"], hot=hot, spread=CROP_KEY)
     size = ("image.width", "image.height")
     ready = (
         joined.withColumn("crop_fail_reason", crop_fail_reason(*size))

@@ -14,6 +14,8 @@ PERSON_KEY = ("image_path", *BOX)
 
 
 def _done(stored: DataFrame, key: Sequence[str], retry_unknown: bool) -> DataFrame:
+    if "error" in stored.columns:  # a file that could not be read may be readable now
+        stored = stored.where(~F.coalesce(F.startswith("error", F.lit("read: ")), F.lit(False)))
     if retry_unknown:
         stored = stored.where(F.col("predicted_label") != UNKNOWN)
     return stored.select(*key)
@@ -34,7 +36,8 @@ def remaining(
     """Rows without a stored result; a null key never counts as done.
 
     The default key is the person (image and box). ``key=['image_path']`` treats an
-    image as done once any person in it is. ``stored`` is one model and context.
+    image as done once any person in it is. ``stored`` is one model and context. Rows
+    whose image could not be read (``error`` begins with "read: ") are not done.
     """
     return lookup_join(rows, _done(stored, key, retry_unknown), key, "left_anti", hot, collapse=_distinct)
 

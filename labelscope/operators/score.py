@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.domain import UNKNOWN
+from labelscope.functions.paths import with_image_key
 from labelscope.functions.text import prompt_for, with_parsed_label
 from labelscope.operators.joins import lookup_join
 
 
+_BY_FILE = ("image_path",)
+
+
 class Predictor(ABC):
     """Answers one prompt about one image.
 
@@ -41,13 +45,15 @@ def with_status(
     key: Sequence[str] = ("image_path",),
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Flag rows whose image can be opened; the others get no answer and Unknown."""
+    """Flag rows whose image can be opened; the others get no answer and Unknown.
+
+    A key of image_path only means the file, however it is spelled.
+    """
+    kept = rows.columns
+    if tuple(key) == _BY_FILE:
+        rows, images, key = with_image_key(rows), with_image_key(images), ["image_key"]
     found = images.select(*key).withColumn("_hit", F.lit(True))
-    return (
-        lookup_join(rows, found, key, hot=hot)
-        .withColumn("scorable", F.col("_hit").isNotNull())
-        .drop("_hit")
-    )
+    return lookup_join(rows, found, key, hot=hot).select(*kept, F.col("_hit").isNotNull().alias("scorable"))
 
 
 def _answers(
@@ -60,9 +66,11 @@ def _answers(
                 predictor = factory()
                 predictor.load()
             texts, errors = [], []
-            for image in batch["image"]:
-                text = error = None
+            for image, failed in zip(batch["image"], batch["read_error"].to_pylist(), strict=True):
+                text, error = None, failed
                 try:
+                    if failed is not None:
+                        raise OSError(failed)
                     text = predictor.predict(image.as_py(), prompt)
                     if not (text is None or isinstance(text, str)):
                         error, text = f"an answer of type {type(text).__name__}", None
@@ -99,20 +107,30 @@ def score(
     Requests are sent at temperature 0, so an image is asked about once and the
     answer is shared by its rows; pass ``once_per_image=False`` for a predictor that
     must see every row. ``tasks`` bounds how many predictors work at a time.
+
+    A key of image_path only means the file, however a row or the images spell it. Images
+    may come with ``read_error``: such a row is not asked about and gets that error.
     """
     rows = rows.drop("raw_output", "predicted_label", "error")
+    kept, fetched, fetch = rows.columns, callable(images), images
+    if tuple(key) == _BY_FILE:
+        rows, key = with_image_key(rows), ["image_key"]
+        if fetched:
+            fetch = lambda keys: images(keys.toDF("image_path")).withColumnRenamed("image_path", "image_key")
+        else:
+            images = with_image_key(images)
     keys = rows.select(*key).distinct()
-    fetched = callable(images)
     if fetched:
-        images = images(keys.repartition(tasks) if tasks else keys)
-    pictures = images.select(*key, "image")
+        images = fetch(keys.repartition(tasks) if tasks else keys)
+    failed = F.col("read_error") if "read_error" in images.columns else F.lit(None).cast("string")
+    pictures = images.select(*key, "image", failed.alias("read_error"))
     if once_per_image:
         keep = list(key)
         asked = pictures if fetched else keys.join(pictures, keep)
     else:
         keep = ["row_id"]
         asked = lookup_join(rows.select("row_id", *key), pictures, key, "inner", hot)
-    asked = asked.select(*keep, "image")
+    asked = asked.select(*keep, "image", "read_error")
     if tasks and not (fetched and once_per_image):
         asked = asked.repartition(tasks)
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
@@ -122,4 +140,5 @@ def score(
     )
     # Never a broadcast: answers may take longer to come than a broadcast may wait.
     answers = answers.hint("merge")
-    return with_parsed_label(lookup_join(rows, answers, keep, hot=hot if once_per_image else None))
+    answered_rows = lookup_join(rows, answers, keep, hot=hot if once_per_image else None)
+    return with_parsed_label(answered_rows.select(*kept, "raw_output", "error"))

@@ -67,6 +67,13 @@ def as_annotations(events: DataFrame) -> DataFrame:
     )
 
 
+def spelled(raw: DataFrame) -> DataFrame:
+    """Annotations some of which spell the path of their file in a roundabout way."""
+    other = """CASE row_id % 7 WHEN 1 THEN concat('./', trim(image_path)) WHEN 2 THEN concat('skip/../', trim(image_path))
+        WHEN 3 THEN replace(trim(image_path), '/', '//') ELSE image_path END"""
+    return raw.withColumn("image_path", F.expr(other))
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing of image files with their sizes."""
     return _events(spark, sf_dir).select("no").distinct().selectExpr(

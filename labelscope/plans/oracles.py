@@ -25,6 +25,11 @@ def _class_at(index: str) -> str:
 
 _SUFFIX = "case when no % 5 = 0 then '' when no % 7 = 0 then '.tar.PNG' else '.jpg' end"
 
+# Every seventh row or so names its file in another way.
+_SPELLED = f"""case row_id % 7 when 1 then replace(image_path, '{ROOT}/', '{ROOT}/./')
+    when 2 then replace(image_path, '{ROOT}/', '{ROOT}/skip/../')
+    when 3 then '{ROOT}/' || replace(substr(image_path, {len(ROOT) + 2}), '/', '//') else image_path end"""
+
 _CTES = {
     "classes": f"select unnest(range(26))::int as idx, unnest({_NAMES}) as cls",
     "numbered": "select *, event_id - event_id % 3 as no from events",
@@ -204,7 +209,12 @@ def _centroid(dims: int, context: str) -> str:
 _PROMPTS = {c: _text(p + PROMPT_REST) for c, p in ((FULL, PROMPT_FULL), (FACE, PROMPT_FACE))}
 
 _SELECTS = {
-    "clean_annotations": f"select row_id, image_path, label, {_BOX}, event_type from clean",
+    "clean_annotations": f"""
+        select c.row_id, {_SPELLED} as image_path, c.image_path as image_key, c.label, {_BOX}, c.event_type
+        from clean c""",
+    "csv_order": """
+        select row_number() over (order by case when event_id % 10 = 0 then 0 when event_id % 10 <= 8 then 1 else 2 end,
+          event_id) - 1 as row_id, event_id as n from events""",
     "load_audit": """
         select count(*) as raw_rows, count(*) filter (where not found) as missing_images,
           count(*) filter (where found and not known) as unknown_labels,
@@ -275,8 +285,8 @@ _SELECTS = {
         from contents""",
     "parse_labels": "select row_id, model_key, context, raw_output, predicted_label from results",
     "answered": "select row_id, model_key, context, label, predicted_label from shown",
-    "score_status": """
-        select row_id, image_path, image_path in (select image_path from images) as scorable from resolved""",
+    "score_status": f"""
+        select row_id, {_SPELLED} as image_path, image_path in (select image_path from images) as scorable from resolved""",
     "score_rows": """
         select row_id, context, raw_output, predicted_label, error from clean join replies using (image_path)""",
     "score_centroid": _centroid(64, FULL) + " union all " + _centroid(16, FACE),

@@ -46,7 +46,9 @@ _EARLIER = "event_type IN ('view', 'click')"
 
 @_query
 def clean_annotations(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.annotations(spark, sf).select("row_id", "image_path", "label", *BOX, "event_type")
+    raw = fx.spelled(fx.raw_annotations(spark, sf))
+    rows = clean.clean_annotations(raw, fx.images(spark, sf), fx.ROOT, hot=_hot(spark, sf))
+    return rows.select("row_id", "image_path", "image_key", "label", *BOX, "event_type")
 
 
 @_query
@@ -84,6 +86,17 @@ def csv_annotations(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("row_id", "image_path", "label", *BOX, "note", "kind")
 
 
+@_query
+def csv_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of several CSV files of unequal size, numbered in the order of the files."""
+    folder = shared_folder(spark, "csv-order")
+    loose = fx.raw_annotations(spark, sf).selectExpr("row_id AS n", "image_path", "label")
+    for name, rows in (("a", "n % 10 = 0"), ("b", "n % 10 BETWEEN 1 AND 8"), ("c", "n % 10 = 9")):
+        loose.where(rows).coalesce(1).sortWithinPartitions("n").write.csv(f"{folder}/part={name}", header=True)
+    rows = read_annotations(spark, f"{folder}/*")
+    return rows.select("row_id", F.col("n").cast("bigint").alias("n"))
+
+
 # --- crops ------------------------------------------------------------------
 
 
@@ -179,7 +192,7 @@ def answered(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def score_status(spark: SparkSession, sf: str) -> DataFrame:
-    raw = fx.raw_annotations(spark, sf).withColumn(
+    raw = fx.spelled(fx.raw_annotations(spark, sf)).withColumn(
         "image_path", resolve_path(F.col("image_path"), fx.ROOT)
     )
     rows = score.with_status(raw, fx.images(spark, sf), hot=_hot(spark, sf))

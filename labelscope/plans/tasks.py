@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.domain import FACE, FULL, RUN, SAMPLE_SEED, runs, select_models
+from labelscope.functions.paths import qualified
 from labelscope.operators import clean, compare, crop, metrics, resume, sample
 from labelscope.operators.joins import hot_hashes, settled
 from labelscope.operators.score import Predictor, answered, score
@@ -53,6 +54,7 @@ def prepare(
     Tasks ask for each annotated file; ``listing=True`` lists the image folder on the
     driver instead, which suits small folders.
     """
+    image_root = qualified(spark, image_root)
     read_annotations(spark, csv).write.mode("overwrite").parquet(work.path("raw"))
     raw = spark.read.parquet(work.path("raw"))
     files = (
@@ -83,7 +85,7 @@ def _score_runs(
     tasks: int | None,
 ) -> DataFrame:
     keys = select_models(model)
-    hot = settled(hot_hashes(rows, key))
+    hot = settled(hot_hashes(rows, ["image_key"] if key == ["image_path"] else key))
     person = list(resume.PERSON_KEY)
     hot_boxes = hot if key == person else settled(hot_hashes(rows, person))
     for name in keys:
@@ -129,7 +131,7 @@ def run_full(
     that failed replaces what that run has stored.
     """
     rows = spark.read.parquet(work.path("annotations"))
-    images = fetch_images if encoded else read_images(spark, image_root)
+    images = fetch_images if encoded else read_images(spark, qualified(spark, image_root))
     return _score_runs(
         spark, work, rows, images, factories, model, FULL, ["image_path"], _name(batch), tasks
     )
@@ -144,10 +146,10 @@ def cut(
     done = stores.read_crops(spark, work.path("crops"), without_batch=batch)
     cuts = crop.cut_crops(
         rows,
-        read_images(spark, image_root),
+        read_images(spark, qualified(spark, image_root)),
         crop_root,
         done,
-        settled(hot_hashes(rows, ["image_path"])),
+        settled(hot_hashes(rows, ["image_key"])),
     )
     stores.write_crops(cuts, work.path("crops"), batch)
     outcomes = stores.read_outcomes(spark, work.path("crops"), batch)

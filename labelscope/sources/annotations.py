@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelscope.domain import MISSING_TOKENS
@@ -18,7 +18,7 @@ def read_annotations(spark: SparkSession, path: str, multi_line: bool | None = N
     Files are split between tasks unless a quoted field spans lines. By default the
     lines are checked for that first: a field that goes on in the next line leaves
     its line with an odd number of quotes. Rows without a ``row_id`` column are
-    numbered in file order.
+    numbered from 0 on by file name and position, however the files are split.
     """
     try:
         if multi_line is None:
@@ -32,14 +32,33 @@ def read_annotations(spark: SparkSession, path: str, multi_line: bool | None = N
                 f"no annotations at {path}; unpack the data set or pass another path"
             ) from error
         raise
-    table = standard_columns(rows)
+    named = standard_columns(rows).columns
+    place = [F.col(f"_metadata.{c}").alias(f"_{c}") for c in ("file_path", "file_block_start")]
     tokens = ", ".join(f"'{t}'" for t in MISSING_TOKENS)
-    table = table.select(*[
-        F.expr(f"CASE WHEN `{c}` IN ({tokens}) THEN NULL ELSE `{c}` END").alias(c) for c in table.columns
-    ])
-    if "row_id" in table.columns:
+    plain = [
+        F.expr(f"CASE WHEN `{c}` IN ({tokens}) THEN NULL ELSE `{c}` END").alias(name)
+        for c, name in zip(rows.columns, named, strict=True)
+    ]
+    if "row_id" in named:
+        table = rows.select(*plain)
         return table.withColumn("row_id", F.col("row_id").cast("bigint"))
-    return table.withColumn("row_id", F.monotonically_increasing_id())
+    table = rows.select(*plain, *place, F.monotonically_increasing_id().alias("_at"))
+    return _numbered(table)
+
+
+def _numbered(table: DataFrame) -> DataFrame:
+    """Add ``row_id`` by file, block and place in the block.
+
+    Rows of a block follow each other in one task, so their running numbers differ from
+    their places by the block's first. There is one line per block to add up and send out:
+    no more than the driver plans tasks for.
+    """
+    block = ["_file_path", "_file_block_start"]
+    blocks = table.groupBy(*block).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(*block, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")).alias("_start"))
+    joined = table.join(F.broadcast(starts), block)
+    return joined.withColumn("row_id", F.col("_start") + F.col("_at") - F.col("_first")).drop(*block, "_at", "_first", "_start")
 
 
 def _quotes_span_lines(spark: SparkSession, path: str) -> bool:

@@ -35,10 +35,14 @@ class _Files:
         scheme, mark, rest = path.partition("://")
         if not mark:
             return "", path
-        key = f"{scheme}://{rest.partition('/')[0]}"
-        system, inside = fs.FileSystem.from_uri(path)
-        self.systems.setdefault(key, system)
-        return key, inside
+        host, slash, inside = rest.partition("/")
+        if scheme == "file":
+            return "", slash + inside
+        key = f"{scheme}://{host}"
+        if key not in self.systems:
+            self.systems[key] = fs.FileSystem.from_uri(f"{key}/")[0]
+        # Object stores name the bucket in the path, others the host in the connection.
+        return key, (f"{host}/{inside}" if self.systems[key].type_name in ("s3", "gcs", "abfs") else slash + inside)
 
     def existing(self, paths: list[str]) -> list[bool]:
         """Which of the paths are files, asked for in one call per file system."""
@@ -52,11 +56,16 @@ class _Files:
         return found
 
     def content(self, path: str) -> bytes | None:
+        """What the file holds; None where there is none. Other failures are raised."""
         key, inside = self.locate(path)
         try:
-            with self.systems[key].open_input_stream(inside) as stream:
+            with self.systems[key].open_input_stream(inside, compression=None) as stream:
                 return stream.read()
-        except OSError:  # a missing or unreadable file has no content
+        except (FileNotFoundError, NotADirectoryError):
+            return None
+        except OSError:
+            if self.systems[key].get_file_info(inside).type == fs.FileType.File:
+                raise
             return None
 
 
@@ -69,22 +78,26 @@ def _only_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     files = _Files()
     for batch in batches:
-        paths, contents, size = [], [], 0
+        rows, size = [], 0
         for path in batch.column(0).to_pylist():
-            content = files.content(path)
-            if content is not None:
-                paths.append(path)
-                contents.append(content)
-                size += len(content)
+            content = error = None
+            try:
+                content = files.content(path)
+            except Exception as failure:  # throttled, forbidden, broken: not the same as missing
+                error = f"read: {failure or type(failure).__name__}"
+            if content is not None or error is not None:
+                rows.append((path, content, error))
+                size += len(content or b"")
             if size >= _CONTENT_BYTES:
-                yield _content_batch(paths, contents)
-                paths, contents, size = [], [], 0
-        yield _content_batch(paths, contents)
+                yield _content_batch(rows)
+                rows, size = [], 0
+        yield _content_batch(rows)
 
 
-def _content_batch(paths: list[str], contents: list[bytes]) -> pa.RecordBatch:
-    arrays = [pa.array(paths, pa.string()), pa.array(contents, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, ["image_path", "image"])
+def _content_batch(rows: list[tuple[str, bytes | None, str | None]]) -> pa.RecordBatch:
+    paths, contents, errors = zip(*rows, strict=True) if rows else ((), (), ())
+    arrays = [pa.array(paths, pa.string()), pa.array(contents, pa.binary()), pa.array(errors, pa.string())]
+    return pa.RecordBatch.from_arrays(arrays, ["image_path", "image", "read_error"])
 
 
 def existing_images(paths: DataFrame) -> DataFrame:
@@ -96,11 +109,12 @@ def existing_images(paths: DataFrame) -> DataFrame:
 def fetch_images(paths: DataFrame) -> DataFrame:
     """Encoded content of each ``image_path``, read where the row is.
 
-    Nothing is listed on the driver and no content is shuffled; paths without a
-    readable file are left out. Give ``paths`` without repeats.
+    Nothing is listed on the driver and no content is shuffled. A path without a file is
+    left out; a file that could not be read has no image and says why in ``read_error``.
+    Give ``paths`` without repeats.
     """
     asked = paths.select("image_path").where(F.col("image_path").isNotNull())
-    return asked.mapInArrow(_contents, "image_path string, image binary")
+    return asked.mapInArrow(_contents, "image_path string, image binary, read_error string")
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:

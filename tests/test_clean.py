@@ -100,8 +100,8 @@ def test_hot_slicing_changes_nothing(spark, listed):
         kept = clean_annotations(rows, listed, "/root", hot=how)
         assert kept.count() == kept.select("row_id").distinct().count() == 2000
     sliced = clean.lookup_join(
-        rows.withColumn("_file", F.expr("if(image_path LIKE '/%', image_path, '/root/' || image_path)")),
-        listed.withColumnRenamed("image_path", "_file"), ["_file"], "left_anti", hot,
+        rows.withColumn("image_key", F.expr("if(image_path LIKE '/%', image_path, '/root/' || image_path)")),
+        listed.withColumnRenamed("image_path", "image_key"), ["image_key"], "left_anti", hot,
     )
     assert sliced.count() == 1000
 
@@ -148,3 +148,20 @@ def test_first_per_label_takes_first_model_with_faces(spark):
     )
     got = [(r.idx, r.label, r.file_label, r.row_id) for r in first_per_label(rows).collect()]
     assert got == [(9, "Doubt/Confusion", "Doubt_Confusion", 9), (15, "Fear", "Fear", 3)]
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    """Files of 5, 50,000 and 500 rows, split at various places."""
+    n = 0
+    for name, rows in (("a.csv", 5), ("b.csv", 50_000), ("c.csv", 500)):
+        lines = [f"img/{i}.jpg,Fear,{i}" for i in range(n, n + rows)]
+        (tmp_path / name).write_text("image_path,label,n\n" + "\n".join(lines) + "\n")
+        n += rows
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("100k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = read_annotations(spark, str(tmp_path)).selectExpr("count(*)", "count_if(row_id = cast(n AS bigint))").first()
+            assert tuple(got) == (n, n)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
