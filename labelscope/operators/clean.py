@@ -74,10 +74,11 @@ def clean_annotations(
     """
     known = _prepared(raw, root).where(F.col("label").isin(CLASSES))
     kept = lookup_join(known, _files(images), ["image_key"], "left_semi", hot)
-    return kept.withColumns({
+    boxed = kept.withColumns({
         name: whole_number(name, missing_box) if name in raw.columns else F.expr("0L")
         for name in BOX
     })
+    return boxed.select(*raw.columns, *[c for c in BOX if c not in raw.columns], "image_key")
 
 
 def load_audit(

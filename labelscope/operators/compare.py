@@ -108,6 +108,13 @@ def _hit(side: str) -> Column:
     return F.expr(f"coalesce(predicted_label_{side} = label, false)")
 
 
+def with_kind(pairs: DataFrame) -> DataFrame:
+    """Add ``kind``: helped, hurt or same."""
+    return pairs.withColumn(
+        "kind", F.when(_hit("full") & ~_hit("face"), "helped").when(~_hit("full") & _hit("face"), "hurt").otherwise("same")
+    )
+
+
 def _first(df: DataFrame, n: int, *order: str) -> DataFrame:
     """First ``n`` rows per model, ranked, for any ``n``.
 

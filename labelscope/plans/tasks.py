@@ -178,25 +178,35 @@ def run_face(
     )
 
 
+def _kept(df: DataFrame, work: Workspace, name: str, parts: tuple[str, ...] = ()) -> DataFrame:
+    """Store a table of the analysis and read it back."""
+    path = work.path(f"analysis/{name}")
+    df.write.mode("overwrite").partitionBy(*parts).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_analysis(spark: SparkSession, work: Workspace) -> dict[str, DataFrame]:
-    """All comparison frames over what the two scoring jobs have stored."""
+    """All comparison tables over what the two scoring jobs have stored, stored in turn.
+
+    Pairs are made once and stored by kind, so that helped and hurt rows and the counts
+    come from their own part of the store.
+    """
     measured = stores.read_metrics(spark, work.path("metrics"))
     if measured is None or measured.where(F.col("context") == FULL).isEmpty():
         raise ValueError("no full-image results yet; run the full-image job first")
     results = stores.read_results(spark, work.path("results"))
     matrix = stores.read_confusion(spark, work.path("confusion"), measured)
-    pairs = compare.context_pairs(results)
-    by_image = compare.pairs_by_image(
-        results, settled(hot_hashes(results, ["model_key", "image_path"]))
-    )
+    hot_persons = settled(hot_hashes(results, ["model_key", *resume.PERSON_KEY]))
+    pairs = _kept(compare.with_kind(compare.context_pairs(results, hot_persons)), work, "pairs", ("kind",))
+    hot_images = settled(hot_hashes(results, ["model_key", "image_path"]))
+    by_image = _kept(compare.pairs_by_image(results, hot_images), work, "pairs_by_image")
     stores.write_comparison(measured, work.path("comparison"))
-    return {
-        "comparison": compare.comparison(measured),
+    tables = {
         "f1_compare": compare.f1_compare(measured),
         "recall_compare": compare.recall_compare(metrics.class_recall(matrix)),
         "confusion_rates": metrics.confusion_rates(matrix),
-        "context_helped": compare.context_helped(pairs),
-        "context_hurt": compare.context_hurt(pairs),
+        "context_helped": compare.context_helped(pairs.where("kind = 'helped'")),
+        "context_hurt": compare.context_hurt(pairs.where("kind = 'hurt'")),
         "context_cases": compare.context_cases(pairs),
         "context_helped_by_image": compare.cases_by_image(results, by_image, helped=True),
         "context_hurt_by_image": compare.cases_by_image(results, by_image, helped=False),
@@ -204,3 +214,5 @@ def run_analysis(spark: SparkSession, work: Workspace) -> dict[str, DataFrame]:
         "sample_per_label": sample.first_per_label(results),
         "answered": answered(results),
     }
+    kept = {name: _kept(table, work, name) for name, table in tables.items()}
+    return {"comparison": compare.comparison(measured)} | kept

@@ -65,6 +65,25 @@ def test_contents_come_in_bounded_batches(folder):
     assert [p for b in out for p in b.column(0).to_pylist()] == names
 
 
+def test_failed_reads_are_not_missing_files(folder, monkeypatch):
+    import pyarrow as pa
+
+    from labelscope.sources import images
+
+    def content(self, path):
+        if "grey" in path:
+            raise OSError("slow down")
+        return None if "none" in path else b"x"
+
+    monkeypatch.setattr(images._Files, "content", content)
+    names = ["a.png", "grey.png", "none.png"]
+    out = pa.Table.from_batches(images._contents(iter([pa.RecordBatch.from_arrays([pa.array(names)], ["image_path"])])))
+    assert out.to_pylist() == [
+        {"image_path": "a.png", "image": b"x", "read_error": None},
+        {"image_path": "grey.png", "image": None, "read_error": "read: slow down"},
+    ]
+
+
 def test_listing_reads_no_contents(spark, folder):
     plan = list_images(spark, str(folder))._jdf.queryExecution().toString()
     assert "ReadSchema: struct<path:string,length:bigint>" in plan or "content" not in plan.split("Physical")[1]

@@ -101,6 +101,25 @@ def test_full_face_and_analysis(spark, study, listing):
     assert crops.count() == crops.select("cropped_path").distinct().count() == 11
 
 
+@pytest.mark.parametrize("scheme", ["", "file://", "file:"])
+def test_any_spelling_finds_the_image(spark, study, scheme):
+    """Roundabout paths and a root with a scheme give what plain spelling gives."""
+    work, csv, images = study
+    text = Path(csv).read_text()
+    for plain, other in (("i0.png", "./i0.png"), ("i1.png", "../images/i1.png"), ("i2.png", ".//i2.png"), ("i3.png", f"{images}//i3.png")):
+        text = text.replace(f"\n{plain}", f"\n{other}")
+    Path(csv).write_text(text)
+    root = scheme + images
+    assert tasks.prepare(spark, work, csv, root).count() == 13
+    full = tasks.run_full(spark, work, root, FACTORIES, "qwen")
+    assert full.where("predicted_label = label").count() == 12
+    face = tasks.run_face(spark, work, root, "/crops", FACTORIES, "qwen")
+    assert face.count() == face.where("predicted_label = label").count() == 11
+    frames = tasks.run_analysis(spark, work)
+    assert spark.read.parquet(work.path("analysis/context_cases")).first().n_pairs == 11
+    assert frames["answered"].count() == 12 + 11
+
+
 def test_empty_study(spark, study, tmp_path):
     _, _, images = study
     work = tasks.Workspace(str(tmp_path / "empty"))

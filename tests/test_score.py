@@ -1,6 +1,7 @@
 """Scoring, resuming and measuring."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from labelscope.domain import CLASSES, METRICS, runs
 from labelscope.operators import compare, metrics, resume, score
@@ -232,3 +233,38 @@ def test_comparison_order_and_absent_runs(spark):
     assert f1 == [("qwen", 0.0, 0.0385), ("internvl", 0.0385, 0.0)]
     recall = compare.recall_compare(metrics.class_recall(metrics.confusion(cells))).where("cls = 'Fear'").collect()
     assert [(r.model_key, r.recall_full, r.recall_face) for r in recall] == [("qwen", 0.0, 1.0), ("internvl", 1.0, 0.0)]
+
+
+class Odd(score.Predictor):
+    """Answers some images with numbers."""
+
+    def predict(self, image, prompt):
+        return 7 if image == "two" else "Fear"
+
+
+def test_wrong_answers_and_read_errors_spoil_their_row_only(spark):
+    rows = spark.range(4).selectExpr("id AS row_id", "concat('i', id) AS image_path")
+    images = spark.createDataFrame(
+        [("i0", "one", None), ("./i1", "two", None), ("i2", None, "read: slow down")], "image_path string, image string, read_error string"
+    )
+    got = {r.row_id: (r.predicted_label, r.error) for r in score.score(rows, images, Odd, "full").collect()}
+    assert got == {
+        0: ("Fear", None), 1: ("Unknown", "an answer of type int"), 2: ("Unknown", "read: slow down"), 3: ("Unknown", None)
+    }
+    stored = spark.createDataFrame([("i0", None), ("i2", "read: slow down")], "image_path string, error string")
+    left = resume.remaining(rows, stored.withColumn("predicted_label", F.lit("Fear")), ["image_path"])
+    assert {r.row_id for r in left.collect()} == {1, 2, 3}
+
+
+def test_first_rows_for_any_n(spark):
+    """No ranking over all rows of a model, however long the list."""
+    pairs = spark.range(5000).selectExpr(
+        "id AS row_id", "'i' AS image_path", "if(id % 2 = 0, 'a', 'b') AS model_key", "'Fear' AS label",
+        "if(id % 10 = 0, 'Anger', 'Fear') AS predicted_label_full", "'Anger' AS predicted_label_face",
+    )
+    for n in (6, 2000):
+        helped = compare.context_helped(pairs, n)
+        want = {(m, i) for m, rest in (("a", 0), ("b", 1)) for i in [i for i in range(rest, 5000, 2) if i % 10][:n]}
+        assert {(r.model_key, r.row_id) for r in helped.collect()} == want
+        plan = helped._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(model_key" in plan and "_slice" in plan
