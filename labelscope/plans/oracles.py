@@ -30,6 +30,11 @@ _SPELLED = f"""case row_id % 7 when 1 then replace(image_path, '{ROOT}/', '{ROOT
     when 2 then replace(image_path, '{ROOT}/', '{ROOT}/skip/../')
     when 3 then '{ROOT}/' || replace(substr(image_path, {len(ROOT) + 2}), '/', '//') else image_path end"""
 
+_SMALL_BOX = ", ".join(f"trunc({c} / 20.0)::bigint as {c}" for c in BOX)
+_DIGEST = """case when reason is null then md5(array_to_string(list_transform(range((y2 - y1) * (x2 - x1) * 3),
+            lambda i: printf('%02X', ((((y1 + i // ((x2 - x1) * 3)) * w + x1) * 3
+              + i % ((x2 - x1) * 3)) + no) % 256)), '')) end"""
+
 _CTES = {
     "classes": f"select unnest(range(26))::int as idx, unnest({_NAMES}) as cls",
     "numbered": "select *, event_id - event_id % 3 as no from events",
@@ -63,6 +68,16 @@ _CTES = {
           trunc(bbox_x2)::bigint as bbox_x2, trunc(bbox_y2)::bigint as bbox_y2
         from resolved
         where image_path in (select image_path from images) and label in (select cls from classes)""",
+    "cut_boxes": f"""
+        select *, case when x2 <= x1 or y2 <= y1 then
+            format('Bbox clamped to empty region ({{}},{{}},{{}},{{}})', x1, y1, x2, y2) end as reason
+        from (select s.*, no, w, greatest(0, bbox_x1) as x1, greatest(0, bbox_y1) as y1,
+                least(w, bbox_x2) as x2, least(h, bbox_y2) as y2
+              from (select distinct image_path, {_SMALL_BOX} from clean) s
+              join (select distinct no, 16 + 4 * (no % 5) as w, 12 + 3 * (no % 4) as h,
+                      concat('{ROOT}/img/', no::varchar, {_SUFFIX}) as image_path from numbered)
+              using (image_path)
+              where bbox_x2 > bbox_x1 and bbox_y2 > bbox_y1)""",
     "clamped": """
         select c.*, greatest(0, bbox_x1) as cut_x1, greatest(0, bbox_y1) as cut_y1,
           least(width, bbox_x2) as cut_x2, least(height, bbox_y2) as cut_y2
@@ -235,20 +250,18 @@ _SELECTS = {
     "cut_pixels": f"""
         select image_path, {_BOX}, reason as crop_fail_reason,
           case when reason is null then (x2 - x1)::int end as width,
-          case when reason is null then (y2 - y1)::int end as height,
-          case when reason is null then md5(array_to_string(list_transform(range((y2 - y1) * (x2 - x1) * 3),
-            lambda i: printf('%02X', ((((y1 + i // ((x2 - x1) * 3)) * w + x1) * 3
-              + i % ((x2 - x1) * 3)) + no) % 256)), '')) end as digest
-        from (select *, case when x2 <= x1 or y2 <= y1 then
-                  format('Bbox clamped to empty region ({{}},{{}},{{}},{{}})', x1, y1, x2, y2) end as reason
-              from (select s.*, no, w, greatest(0, bbox_x1) as x1, greatest(0, bbox_y1) as y1,
-                      least(w, bbox_x2) as x2, least(h, bbox_y2) as y2
-                    from (select distinct image_path, {", ".join(f"trunc({c} / 20.0)::bigint as {c}" for c in BOX)}
-                          from clean) s
-                    join (select distinct no, 16 + 4 * (no % 5) as w, 12 + 3 * (no % 4) as h,
-                            concat('{ROOT}/img/', no::varchar, {_SUFFIX}) as image_path from numbered)
-                    using (image_path)
-                    where bbox_x2 > bbox_x1 and bbox_y2 > bbox_y1))""",
+          case when reason is null then (y2 - y1)::int end as height, {_DIGEST} as digest
+        from cut_boxes""",
+    "crop_store": f"""
+        select image_path, {_BOX}, (x2 - x1)::int as width, (y2 - y1)::int as height, {_DIGEST} as digest,
+          'crop_' || substr(md5(concat_ws('_', image_path, {_BOX})), 1, 12) as stem
+        from cut_boxes where reason is null""",
+    "face_scores": f"""
+        select row_id, image_path, {_BOX}, case when c.no is not null and c.reason is null
+            then 'I see ' || {_class_at('((y1 * w + x1) * 3 + no) % 256')} end as raw_output,
+          case when c.no is not null and c.reason is null
+            then {_class_at('((y1 * w + x1) * 3 + no) % 256')} else 'Unknown' end as predicted_label
+        from (select row_id, image_path, {_SMALL_BOX} from clean) left join cut_boxes c using (image_path, {_BOX})""",
     "csv_annotations": f"""
         select row_id, image_path, label, {_BOX}, concat('said "', event_type, '", or so') as note,
           nullif(event_type, 'view') as kind from clean""",

@@ -16,7 +16,9 @@ from labelscope.operators.joins import hot_hashes
 from labelscope.plans import fixtures as fx
 from labelscope.session import shared_folder
 from labelscope.sources.annotations import read_annotations
-from labelscope.sources.stores import read_metrics, read_results, write_metrics, write_results
+from labelscope.sources.stores import (
+    read_crops, read_metrics, read_results, write_crops, write_metrics, write_results,
+)
 from labelscope.streaming.incremental import score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +146,33 @@ def cut_pixels(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _crop_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Crops cut in two runs: the second finds those of the first in the store."""
+    folder = f"{shared_folder(spark, 'crops')}/crops"
+    boxes, pictures = fx.small_boxes(fx.annotations(spark, sf)), fx.pictures(spark, sf)
+    write_crops(crop.cut_crops(boxes.where(_EARLIER), pictures, fx.CROP_ROOT), folder, "first")
+    done = read_crops(spark, folder)
+    write_crops(crop.cut_crops(boxes, pictures, fx.CROP_ROOT, done), folder, "second")
+    return read_crops(spark, folder)
+
+
+@_query
+def crop_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Every crop is stored once, whichever run has cut it."""
+    return _crop_store(spark, sf).select(
+        "image_path", *BOX, "image.width", "image.height", F.expr("md5(hex(image.data))").alias("digest"),
+        F.regexp_extract("cropped_path", "(crop_[0-9a-f]+)", 1).alias("stem"),
+    )
+
+
+@_query
+def face_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored crop pixels scored by box, for every annotation."""
+    rows = fx.small_boxes(fx.annotations(spark, sf))
+    scored = score.score(rows, _crop_store(spark, sf), fx.FirstByte, FACE, crop.CROP_KEY)
+    return scored.select("row_id", "image_path", *BOX, "raw_output", "predicted_label")
+
+
 @_query
 def resize_plan(spark: SparkSession, sf: str) -> DataFrame:
     # Stretched so that many sides exceed the limit, with odd ratios.
