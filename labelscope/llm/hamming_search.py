@@ -14,9 +14,6 @@ no pair has to be made distinct. Rounds end in tables in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,21 +32,16 @@ def sign_code(vector: Column) -> Column:
     return F.when(vector.isNotNull(), code)
 
 
-def _flips(width: int, r: int) -> Iterator[int]:
-    for chosen in combinations(range(width), r):
-        yield sum(1 << b for b in chosen)
-
-
 def _segment(code: Column, s: int, width: int) -> Column:
     return F.shiftrightunsigned(code, s * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
 
 
 def _probes(queries: DataFrame, r: int, segments: int, width: int) -> DataFrame:
     """(segment, value, query): every value exactly r bits from the query's segments."""
-    masks = [int(m) for m in _flips(width, r)]
+    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda m: F.bit_count(m) == r)  # a constant of the plan
     own = F.array(*[F.struct(F.lit(s).alias("segment"), _segment(F.col("query"), s, width).alias("own")) for s in range(segments)])
     spread = queries.select("query", F.inline(own))
-    return spread.select("query", "segment", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
+    return spread.select("query", "segment", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
 
 
 def _found(probes: DataFrame, index: DataFrame, r: int, segments: int, width: int) -> DataFrame:
@@ -83,10 +75,10 @@ def top_k(
     is not its own neighbour. Ties go to the smaller id. Rows with a null code or a null id
     are neither found nor asked for. Rows that repeat an id and its code count once. With
     fewer than ``k`` other rows a query gets all of them; an empty table gives none. Other
-    columns are left behind. ``segments`` must divide 64; more of them suit fewer rows.
+    columns are left behind. ``segments`` must divide 64 and be 4 at least; more of them suit fewer rows.
     """
-    if BITS % segments:
-        raise ValueError("segments must divide 64")
+    if BITS % segments or segments < 4:
+        raise ValueError("segments must divide 64 and be at least 4")
     width = BITS // segments
     rows = stored(
         codes.select(F.col(id_col).alias("id"), F.col(code_col).cast("bigint").alias("code"), F.coalesce(wanted, F.lit(False)).alias("wanted"))
