@@ -1,11 +1,18 @@
 """Every registered query against its DuckDB statement."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry_file
+from labelscope.plans import oracles
+from labelscope.plans import queries as registered
 from tests.compare import connect, duck_rows, spark_rows
 
-QUERIES, ORACLES = entry_file.queries(), entry_file.oracle_sql()
+QUERIES, ORACLES = registered.queries(), oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +22,18 @@ def duck(sf_dir):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(entry_file.queries()) >= set(QUERIES)
+    assert set(entry_file.oracle_sql()) >= set(ORACLES)
+
+
+def test_entry_works_without_the_training_data_operators(tmp_path):
+    """The folder and the pipeline may be taken away; all else stays."""
+    root = Path(entry_file.__file__).parent
+    shutil.copytree(root / "labelscope", tmp_path / "labelscope", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, check=True)
+    assert done.stdout.split() == [str(len(QUERIES))] * 2
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
