@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ SAMPLE_ROWS = 400
 SAMPLE_CHARS = 20_000
 MAX_LANGUAGES = 200
 UNKNOWN = "und"
-_CACHED_WORDS = 200_000
+_CACHED_WORDS = 100_000  # per task; beyond, only words met again since then are kept
 _LONGEST = 40  # letters of one feature source; longer words are cut into pieces
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -43,6 +44,8 @@ def word_features(word: str) -> list[int]:
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, lower case; runs of over ``_LONGEST`` letters in pieces."""
     words = _LETTERS.findall((text or "").lower())
+    if text and not text.isascii():  # the pattern also takes numbers that are not digits
+        words = [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
     if any(len(w) > _LONGEST for w in words):
         words = [w[i:i + _LONGEST] for w in words for i in range(0, len(w), _LONGEST)]
     return words
@@ -178,22 +181,35 @@ class _Summer:
     """Adds up what the words of texts contribute; keeps words seen before."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.at = model, {}
-        self.sums = np.zeros((1024, len(model.languages) + 1))
-
-    def _learn(self, word: str) -> None:
-        features = word_features(word)
-        if len(self.at) == len(self.sums):
+        self.model = model
+        self.at, self.sums = {}, np.zeros((1024, len(model.languages) + 1))
+        self.older, self.older_sums = {}, self.sums[:0]
+
+    def _learn(self, words: list[str]) -> None:
+        new = [w for w in words if w not in self.older]
+        rows = np.zeros((len(words), self.sums.shape[1]))
+        if known := [w for w in words if w in self.older]:
+            rows[len(new):] = self.older_sums[[self.older[w] for w in known]]
+        if new:
+            features = [word_features(w) for w in new]
+            sizes = np.array([len(f) for f in features])
+            flat = np.fromiter(chain.from_iterable(features), np.int64, int(sizes.sum()))
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            rows[:len(new), :-1] = np.add.reduceat(self.model.weights[flat], starts, axis=0)
+            rows[:len(new), -1] = sizes
+        at = len(self.at)
+        while at + len(words) > len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        row = self.at[word] = len(self.at)
-        self.sums[row, :-1] = self.model.weights[features].sum(axis=0)
-        self.sums[row, -1] = len(features)
+        self.sums[at:at + len(words)] = rows
+        self.at.update(zip([*new, *known], range(at, at + len(words)), strict=True))
 
     def total(self, words: list[str]) -> np.ndarray:
         if len(self.at) > _CACHED_WORDS:
-            self.at = {}
-        for w in set(words).difference(self.at):
-            self._learn(w)
+            self.older, self.older_sums = self.at, self.sums
+            self.at, self.sums = {}, np.zeros((1024, self.sums.shape[1]))
+        missing = sorted(set(words).difference(self.at))
+        for i in range(0, len(missing), 4096):
+            self._learn(missing[i:i + 4096])
         out = np.zeros(self.sums.shape[1])
         for i in range(0, len(words), 1 << 16):
             rows = np.fromiter(map(self.at.__getitem__, words[i:i + (1 << 16)]), np.int64)
@@ -214,17 +230,22 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     reaches the model's threshold. Whole texts are read, whatever their length; repeated
     rows are repeated, null ids stay, an empty table gives none. Only the text is looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x MAX_LANGUAGES at most
+    # BUCKETS x MAX_LANGUAGES at most; plain values, so that executors need no package to load them.
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))
     names = ["id", *keep, "lang_pred", "score", "accepted"]
     kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).alias("_id"), *kept)
+    # Kept as it is, the text need not be sent a second time.
+    shared_text = text_col in keep and docs.schema[text_col].dataType.simpleString() == "string"
+    text = [] if shared_text else [F.col(text_col).cast("string").alias("_text")]
+    rows = docs.select(F.col(id_col).alias("_id"), *kept, *text)
+    at, n_kept = (1 + keep.index(text_col) if shared_text else 1 + len(keep)), 1 + len(keep)
 
     def run(batches):
-        model = shared.value
+        model = Model(*shared.value)
         summer = _Summer(model)
 
         def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
-            words = [words_of(t) for t in batch.column(0).to_pylist()]
+            words = [words_of(t) for t in batch.column(at).to_pylist()]
             found = np.array([bool(w) and bool(model.languages) for w in words])
             langs, best = [UNKNOWN] * len(words), np.zeros(len(words))
             if found.any():
@@ -233,13 +254,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 for i, k in zip(np.nonzero(found)[0], scores.argmax(axis=1), strict=True):
                     langs[i] = model.languages[k]
             accepted = found & (best >= model.threshold)
-            return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs), pa.array(best), pa.array(accepted)], out)
+            return pa.RecordBatch.from_arrays([*batch.columns[:n_kept], pa.array(langs), pa.array(best), pa.array(accepted)], out)
 
         out = [*batch_names, "lang_pred", "score", "accepted"]
         yield from by_slices(convert, "text", 8 << 20)(batches)
 
-    batch_names = rows.columns[1:]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    batch_names = rows.columns[:n_kept]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n_kept])
     return rows.mapInArrow(run, f"{fields}, lang_pred string, score double, accepted boolean").toDF(id_col, *names[1:])
 
 

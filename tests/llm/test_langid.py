@@ -36,7 +36,7 @@ def test_sample_is_bounded(spark, sf_dir):
 def test_edges(spark):
     texts = [("en", "the house and the garden"), ("de", "das haus und der garten"), ("fr", "la maison et le jardin")]
     model = langid.train([(lang, t) for lang, t in texts for _ in range(20)])
-    rows = edge_rows() + [(30, "123 !!! ***"), (31, "das haus und der garten")]
+    rows = edge_rows() + [(30, "123 !!! *** ½ Ⅷ²"), (31, "das haus und der garten")]
     got = sorted(((r.doc_id, r.lang_pred, r.accepted) for r in langid.predict(docs(spark, rows), model).collect()), key=repr)
     assert [g[0] for g in got] == [i for i, _ in sorted(rows, key=repr)] or len(got) == len(rows)
     by = {g[0]: g[1:] for g in got}
