@@ -26,7 +26,7 @@ from labelscope.llm.common import by_slices
 
 SHORT = 128
 _NONE = 1 << 60
-_CACHED_WORDS = 200_000  # per task; the cache starts anew beyond
+_CACHED_WORDS = 100_000  # per task; beyond, only words met again since then are kept
 
 # What the vocabulary's pre-tokenizer splits into.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -44,24 +44,20 @@ def byte_letters() -> list[str]:
 
 def merge_short(word: str, bounds: list[int], ranks: dict) -> list[str]:
     """Parts of ``word``, first cut at ``bounds``, after all merges, by a rank array."""
-    get = ranks.get
-
-    def joined(i: int) -> int:
-        if i + 2 >= len(bounds):
-            return _NONE
-        return get((word[bounds[i]:bounds[i + 1]], word[bounds[i + 1]:bounds[i + 2]]), _NONE)
-
-    bounds = list(bounds)
-    adjacent = [joined(i) for i in range(len(bounds) - 1)]  # the last has no neighbour
-    while True:
-        least = min(adjacent)
-        if least == _NONE:
-            return [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    get, bounds = ranks.get, list(bounds)
+    parts = [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    # adjacent[i]: rank of joining part i and the next; the last part has none.
+    adjacent = [get(pair, _NONE) for pair in zip(parts, parts[1:], strict=False)]
+    adjacent.append(_NONE)
+    while (least := min(adjacent)) != _NONE:
         at = adjacent.index(least)
         del bounds[at + 1], adjacent[at + 1]
-        adjacent[at] = joined(at)
+        start, end = bounds[at], bounds[at + 1]
+        joined = word[start:end]
+        adjacent[at] = get((joined, word[end:bounds[at + 2]]), _NONE) if at + 2 < len(bounds) else _NONE
         if at:
-            adjacent[at - 1] = joined(at - 1)
+            adjacent[at - 1] = get((word[bounds[at - 1]:start], joined), _NONE)
+    return [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def merge_long(word: str, bounds: list[int], ranks: dict) -> list[str]:
@@ -111,18 +107,19 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.pieces = regex.compile(_PIECES)
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.known: set[str] = set(map(chr, range(128)))
         self.library = None
 
     def word_ids(self, piece: str) -> tuple[int, ...]:
         ids = self.words.get(piece)
+        if ids is None and (ids := self.older.get(piece)) is not None:
+            self.words[piece] = ids
         if ids is None:
-            word = "".join([self.letters[b] for b in piece.encode()])
+            word = piece if piece.isascii() and piece.isalnum() else "".join([self.letters[b] for b in piece.encode()])
             bounds = [*range(len(word)), len(word) + len(self.suffix)]
             merge = merge_short if len(word) <= SHORT else merge_long
             ids = tuple([self.vocab[p] for p in merge(word + self.suffix, bounds, self.ranks)])
-            if len(self.words) >= _CACHED_WORDS:
-                self.words.clear()
             if len(word) <= SHORT:
                 self.words[piece] = ids
         return ids
@@ -155,6 +152,8 @@ class Codec:
             return []
         parts = self.cut.split(text) if "<|" in text else [text]
         ids: list[int] = []
+        if len(self.words) >= _CACHED_WORDS:
+            self.words, self.older = {}, self.words
         words = self.words
         for part in parts:
             if part in self.special:
@@ -165,7 +164,7 @@ class Codec:
                 self.word_ids(p)
             try:
                 ids.extend(chain.from_iterable(map(words.__getitem__, pieces)))
-            except KeyError:  # words too long to keep, or a full cache
+            except KeyError:  # words too long to keep
                 ids.extend(chain.from_iterable(map(self.word_ids, pieces)))
         return ids
 
