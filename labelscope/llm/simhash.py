@@ -211,10 +211,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, cell: int = CELL, count: int =
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     least = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("least"))
-    return (
-        both.where("dst > src").join(least.hint("merge"), "src")
-        .select(F.col("dst").alias("src"), F.col("least").alias("dst")).distinct()
-    )
+    # The centre of a star has as many links as its group has members: it is sliced.
+    moved = lookup_join(both.where("dst > src"), least.hint("merge"), ["src"], "inner", hot_hashes(both, ["src"]), spread=("dst",))
+    return moved.select(F.col("dst").alias("src"), F.col("least").alias("dst")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
