@@ -3,7 +3,8 @@
 Found and, where the kind has a check, validated: card numbers (Luhn), IBANs (mod 97), US
 social security numbers (ranges), phone numbers, IPv4 addresses (octets), dates (calendar,
 1900-2099), e-mail addresses, and secrets assigned to a name. A candidate that fails its
-check stays as it is.
+check stays as it is, and the search goes on at the next place inside it. An IBAN ends where
+its country's length is reached, a phone number at 15 digits at most or before a date.
 
 Numbers and dates are permuted by a keyed Feistel network over exactly the values of
 their format: digits over 10^a x 10^b, an address over 2^16 x 2^16, a date over the 73,049
@@ -24,6 +25,28 @@ ROUNDS = 8  # even, so that both halves end where they began
 _DAYS = (17, 4297)
 _FIRST_DAY = "1900-01-01"
 
+# Characters of an IBAN by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """As long as the country's IBANs are; any length where the country is not listed or the length is another."""
+    listed = "|".join(
+        f"(?:{countries.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])"
+        for n, countries in _IBAN_LENGTHS.items()
+    )
+    return f"(?:{listed}|[A-Z]{{2}}\\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))"
+
+
+# A group of a phone number is no date behind a blank, and a number has 15 digits at most.
+_NO_DATE = r"(?! (?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[./](?:0?[1-9]|[12]\d|3[01])[./](?:19|20)\d\d)(?!\d))"
+_TO_15 = r"(?<!\d" + r"[ .\-()]{0,2}\d" * 15 + ")"
+
 # What candidates look like, tried in this order at each place.
 KINDS = {
     "secret": r"""(?i:token|secret|api[_-]?key|passw(?:or)?d)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?[A-Za-z0-9+/_\-]{12,200}""",
@@ -31,11 +54,12 @@ KINDS = {
     "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
     "date": r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\d|[./\-]\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?!\d|-\d)",
-    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "card": r"(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)",
     "phone": (
         r"(?:(?:\+?1[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|\+1[ .\-]?\d{3}[ .\-]?\d{3}[ .\-]?\d{4}"
-        r"|\d{3}[.\-]\d{3}[.\-]\d{4}|\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){1,4})(?!\d)"
+        r"|\d{3}[.\-]\d{3}[.\-]\d{4}|\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})"
+        rf"(?:{_NO_DATE}[ .\-]?\d{{2,4}}){{1,4}}{_TO_15})(?!\d)"
     ),
 }
 _START = {"email": r"(?<![A-Za-z0-9._%+\-])", "ip": r"(?<![A-Za-z0-9])(?<!\d\.)", "phone": r"(?<![A-Za-z0-9+(])"}
@@ -235,7 +259,7 @@ def _whole(kind: str) -> str:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """Struct (kind, value) of a candidate; kind is null, and the value as it was, if no check holds."""
+    """Struct (kind, value, length) of a candidate; kind is null, and the value as it was, if no check holds."""
     rules = [
         ("secret", m.rlike(_whole("secret")), _secret), ("email", m.rlike(_whole("email")), _email),
         ("ip", m.rlike(_whole("ip")) & _is_ip(m), _ip),
@@ -253,11 +277,33 @@ def pseudonym(m: Column, key: str) -> Column:
         out = m
         for name, _, make in reversed(rules):
             out = F.when(kind == name, make(m, key)).otherwise(out)
-        return F.struct(kind.alias("kind"), out.alias("value"))
+        return F.struct(kind.alias("kind"), out.alias("value"), F.length(m).alias("length"))
 
     return _let(kinds, value)
 
 
+def _replaced(pieces: Column, parts: Column) -> Column:
+    """Struct (text, found): ``pieces`` start where candidates do, but the first, which is led by a line feed.
+
+    A candidate is taken if its check holds and no one taken before it reaches over its start.
+    """
+    def step(s: Column, x: Column) -> Column:
+        taken = (s["over"] == 0) & x["kind"].isNotNull()
+        over = F.when(taken, x["length"]).otherwise(s["over"])
+        here = F.least(over, F.length(x["piece"]))
+        new = F.concat(F.when(taken, x["value"]).otherwise(""), F.substr(x["piece"], here + 1))
+        return F.struct(
+            F.concat(s["out"], F.array(new)).alias("out"), (over - here).alias("over"),
+            F.when(taken, F.concat(s["found"], F.array(x["kind"]))).otherwise(s["found"]).alias("found"),
+        )
+
+    rows = F.zip_with(F.slice(pieces, 2, F.size(parts)), parts, lambda piece, x: F.struct(
+        piece.alias("piece"), x["kind"].alias("kind"), x["value"].alias("value"), x["length"].alias("length")))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.array(F.substr(pieces[0], F.lit(2))).alias("out"), F.lit(0).alias("over"), none.alias("found"))
+    return F.aggregate(rows, start, step, lambda s: F.struct(F.array_join(s["out"], "").alias("text"), s["found"].alias("found")))
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", into: str = "text", found: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced; all other columns kept.
 
@@ -268,15 +314,14 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", into: str =
     called ``into`` or ``found`` is overwritten; no other name is used.
     """
     text = F.col(text_col).cast("string")
-    made = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: pseudonym(m, key))
-    none = F.array().cast("array<struct<kind:string,value:string>>")
+    # A line feed in front, so that a candidate at the start has a piece before it like any other.
+    led = F.concat(F.lit("\n"), text)
+    made = F.transform(F.regexp_extract_all(led, F.lit(f"(?=({CANDIDATE}))"), F.lit(1)), lambda m: pseudonym(m, key))
+    none = F.array().cast("array<struct<kind:string,value:string,length:int>>")
     parts = F.when(text.rlike(_WORTH_A_LOOK), made).otherwise(none)
-    joined = lambda p: F.array_join(F.zip_with(
-        F.split(text, CANDIDATE, -1), p, lambda gap, x: F.concat(gap, F.coalesce(x["value"], F.lit("")))), "")
-    new = _let(parts, lambda p: F.struct(
-        F.when(F.size(p) > 0, joined(p)).otherwise(text).alias("text"),
-        F.filter(F.transform(p, lambda x: x["kind"]), lambda k: k.isNotNull()).alias("found"),
-    ))
+    new = _let(parts, lambda p: F.when(F.exists(p, lambda x: x["kind"].isNotNull()), _let(
+        F.split(led, f"(?={CANDIDATE})", -1), lambda pieces: _replaced(pieces, p))).otherwise(
+        F.struct(text.alias("text"), F.array().cast("array<string>").alias("found"))))
     out = {into: F.when(text.isNotNull(), new["text"])}
     if found:
         out[found] = F.when(text.isNotNull(), new["found"]).otherwise(F.array().cast("array<string>"))

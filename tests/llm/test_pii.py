@@ -67,6 +67,27 @@ def test_dates_are_permuted(spark):
     assert tuple(out) == (73049, "1900-01-01", "2099-12-31")
 
 
+def test_what_follows_a_value_is_not_part_of_it(spark):
+    values = {
+        "ES9121000418450200051332": "iban", "ES91 2100 0418 4502 0005 1332": "iban", "AT61 1904 3002 3457 3201": "iban", "BE68539007547034": "iban",
+        "DE89 3704 0044 0532 0130 00": "iban", "+44 20 7946 0958": "phone", "4111 1111 1111 1111": "card",
+    }
+    # Two more digits may belong to a phone number, so those are not asked of it.
+    cases = [(v, k, t) for v, k in values.items() for t in ("BIC", "FROM", "12", "2024", "2024-01-02", "31.12.1999") if (k, t) != ("phone", "12")]
+    for (text, found), (value, kind, tail) in zip(run(spark, [f"to {v} {t}" for v, _, t in cases]), cases, strict=True):
+        assert found == [kind] + ["date"] * bool(re.search(r"[-.]", tail)), (value, tail, text)
+        assert value not in text and text.startswith("to ") and len(text) == len(f"to {value} {tail}")
+        assert text.endswith(f" {tail}") == (found == [kind])
+
+
+def test_search_goes_on_inside_a_failed_candidate(spark):
+    texts = ["no 1234 4111 1111 1111 1111.", "AB12 4111 1111 1111 1111", "+44 20 7946 095 2024-01-02", "4111 1111 1111 1111 4111 1111 1111 1111"]
+    made = run(spark, texts)
+    assert [f for _, f in made] == [["card"], ["card"], ["phone", "date"], ["card", "card"]]
+    assert made[0][0].startswith("no 1234 ") and made[0][0].endswith(".") and made[1][0].startswith("AB12 ")
+    assert all("4111 1111 1111 1111" not in t and "2024-01-02" not in t for t, _ in made)
+
+
 def test_edges(spark):
     rows = edge_rows() + [(20, "9" * 100_000), (21, "a@" * 50_000), (22, "1.2" * 50_000)]
     made = pii.pseudonymise(docs(spark, rows), "k", found="found")
