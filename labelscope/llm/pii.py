@@ -11,7 +11,9 @@ their format: digits over 10^a x 10^b, an address over 2^16 x 2^16, a date over
 days of two centuries (17 x 4,297), a social security number over its valid ranges. So the
 pseudonym is valid, keeps separators, and equal values get equal pseudonyms in every
 document while different values stay different. E-mail addresses and secrets, which are
-neither, get a keyed hash in their own shape.
+neither, get a keyed hash in their own shape. A secret is the whole run of value characters
+behind its name, however long, with single dots and signs between its parts; its first
+``LEAST_SECRET`` characters hold letters, digits, ``+/_-`` and dots only. Shorter ones stay.
 """
 
 from __future__ import annotations
@@ -25,6 +27,15 @@ ROUNDS = 8  # even, so that both halves end where they began
 _DAYS = (17, 4297)
 _FIRST_DAY = "1900-01-01"
 
+LEAST_SECRET = 12
+_SECRET_NAME = (
+    r"(?:(?<![A-Za-z0-9])(?i:token|secret|api[_-]?key|passw(?:or)?d)"
+    r"|(?<=[a-z0-9])(?:Token|Secret|Api[_-]?[Kk]ey|API[_-]?[Kk]ey|Passw(?:or)?d))"
+)
+_SECRET_LINK = r"""["']?[ \t]{0,3}[=:][ \t]{0,3}["']?"""
+_PART = r"[A-Za-z0-9+/_\-]"
+_SECRET = rf"(?={_PART}(?:\.?{_PART}){{{LEAST_SECRET - 1}}}){_PART}++(?:[.~!@$%^*:]{_PART}++)*+={{0,2}}+"
+
 # Characters of an IBAN by country.
 _IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
@@ -49,7 +60,7 @@ _TO_15 = r"(?<!\d" + r"[ .\-()]{0,2}\d" * 15 + ")"
 
 # What candidates look like, tried in this order at each place.
 KINDS = {
-    "secret": r"""(?i:token|secret|api[_-]?key|passw(?:or)?d)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?[A-Za-z0-9+/_\-]{12,200}""",
+    "secret": _SECRET_NAME + _SECRET_LINK + _SECRET,
     "email": r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
     "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
     "date": r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\d|[./\-]\d)",
@@ -62,7 +73,7 @@ KINDS = {
         rf"(?:{_NO_DATE}[ .\-]?\d{{2,4}}){{1,4}}{_TO_15})(?!\d)"
     ),
 }
-_START = {"email": r"(?<![A-Za-z0-9._%+\-])", "ip": r"(?<![A-Za-z0-9])(?<!\d\.)", "phone": r"(?<![A-Za-z0-9+(])"}
+_START = {"secret": "", "email": r"(?<![A-Za-z0-9._%+\-])", "ip": r"(?<![A-Za-z0-9])(?<!\d\.)", "phone": r"(?<![A-Za-z0-9+(])"}
 CANDIDATE = "|".join(f"{_START.get(k, r'(?<![A-Za-z0-9])')}(?:{p})" for k, p in KINDS.items())
 _WORTH_A_LOOK = r"@|\d[\d ().\-/]{5}|(?i:token|secret|key|passw)"
 
@@ -249,9 +260,9 @@ def _email(m: Column, key: str) -> Column:
 
 def _secret(m: Column, key: str) -> Column:
     """The name stays, the value becomes hex digits of its length."""
-    value = F.regexp_extract(m, r"[A-Za-z0-9+/_\-]{12,200}$", 0)
+    value = F.regexp_extract(m, f"^[^=:]*?{_SECRET_LINK}(.*)$", 1)
     n = F.length(value)
-    return F.concat(F.substr(m, F.lit(1), F.length(m) - n), F.substr(F.repeat(_keyed(value, key, "secret"), 4), F.lit(1), n))
+    return F.concat(F.substr(m, F.lit(1), F.length(m) - n), F.substr(F.repeat(_keyed(value, key, "secret"), F.ceil(n / F.lit(64)).cast("int")), F.lit(1), n))
 
 
 def _whole(kind: str) -> str:
@@ -261,7 +272,7 @@ def _whole(kind: str) -> str:
 def pseudonym(m: Column, key: str) -> Column:
     """Struct (kind, value, length) of a candidate; kind is null, and the value as it was, if no check holds."""
     rules = [
-        ("secret", m.rlike(_whole("secret")), _secret), ("email", m.rlike(_whole("email")), _email),
+        ("secret", m.rlike(f"(?i)^(?:token|secret|api[_-]?key|passw(?:or)?d){_SECRET_LINK}{_SECRET}$"), _secret), ("email", m.rlike(_whole("email")), _email),
         ("ip", m.rlike(_whole("ip")) & _is_ip(m), _ip),
         ("date", m.rlike(_whole("date")) & _day(m).isNotNull(), _date),
         ("ssn", m.rlike(_whole("ssn")) & _is_ssn(m), _ssn),

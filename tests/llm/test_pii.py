@@ -88,6 +88,19 @@ def test_search_goes_on_inside_a_failed_candidate(spark):
     assert all("4111 1111 1111 1111" not in t and "2024-01-02" not in t for t, _ in made)
 
 
+def test_secrets_are_replaced_whole(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    values = ["Ab1" * 100, "x" * 5000 + "END", jwt, "abc.def.ghijklmn", "QWxhZGRpbjpvcGVuIHNlc2FtZQ==", "abcdefghijkl!Tail9"]
+    texts = [f"a {name}{v}{end}" for v in values for name in ("token=", "accessToken: '", "DB_PASSWORD = ") for end in ("", ", b", ". Next")]
+    for (text, found), old in zip(run(spark, texts), texts, strict=True):
+        value = next(v for v in values if v in old)
+        head, _, end = old.partition(value)
+        assert found == ["secret"] and len(text) == len(old) and text.startswith(head) and text.endswith(end), (old, text)
+        assert re.fullmatch("[0-9a-f]+", text[len(head):len(text) - len(end)]), (old, text)
+    short = ["password=Hunter2!", "token: see..........", "broken=abcdefghijklmnop"]
+    assert run(spark, short) == [(t, []) for t in short]
+
+
 def test_edges(spark):
     rows = edge_rows() + [(20, "9" * 100_000), (21, "a@" * 50_000), (22, "1.2" * 50_000)]
     made = pii.pseudonymise(docs(spark, rows), "k", found="found")
