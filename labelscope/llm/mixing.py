@@ -6,8 +6,8 @@ membership pattern (the set of sources), and only these sums reach the driver, a
 first use of a word costs nothing, each further use one more (convex, so nothing is
 repeated while something unused fits), up to ``repeats`` uses. Each pattern's flow is
 then drawn as whole documents in a seeded order: all of them as many times as the flow
-covers the pattern fully, one time more up to the remaining words, and then at most
-``_FILLS`` later ones that fit into what the last whole document left open.
+covers the pattern fully, and one time more those that fit into the remaining words, one
+after the other in that order (first fit): a document that does not fit is passed over.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from labelscope.llm.common import stored, word_count
 
 MAX_PATTERNS = 100_000
 WEIGHTS = (5, 2, 1)
-_FILLS = 2  # documents beyond the cut a pattern may take to come nearer to its target
-_BINS = 1 << 16  # of the seeded order; only documents of one bin a pattern are sorted
+_BINS = 1 << 16  # of the seeded order; only documents of one bin a pattern and round are sorted
+_END = 1 << 60
 
 
 def targets(sizes: dict, weights: Sequence[float] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> dict:
@@ -133,50 +133,51 @@ def _members(sources: Column) -> Column:
     return F.sort_array(F.array_distinct(F.when(F.size(listed) == 0, none).otherwise(listed)))
 
 
-def _cuts(sized: DataFrame, quotas: DataFrame) -> DataFrame:
-    """Per pattern the last place in the seeded order whose documents are used once more.
+def _round(places: DataFrame, open_: DataFrame) -> DataFrame:
+    """Per pattern the first place behind ``after`` that does not fit, and the words missing there.
 
-    ``quotas``: pattern, rest (words to draw). Prefix sums run over bins of the order
-    first, _BINS a pattern at most, then over the places of the one bin where the rest
-    runs out; the cut is the last that fits. ``gap`` are the words still missing then.
+    ``open_``: pattern, after, gap. Only places of at most ``gap`` words count, as larger ones
+    fit nowhere behind ``after``. Prefix sums run over bins of the order first, _BINS a
+    pattern at most, then over the places of the one bin where the gap runs out. A pattern
+    whose places all fit has no row.
     """
-    binned = sized.withColumn("bin", F.shiftright("draw", 60 - 16))
-    sums = binned.groupBy("pattern", "bin").agg(F.sum("size").alias("words"))
+    fit = places.join(F.broadcast(open_), "pattern").where("draw > after AND size <= gap")
+    binned = fit.withColumn("bin", F.shiftright("draw", 60 - 16))
+    sums = binned.groupBy("pattern", "bin", "gap").agg(F.sum("size").alias("words"))
     until = Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edges = (
-        sums.withColumn("upto", F.sum("words").over(until)).join(F.broadcast(quotas), "pattern")
-        .where("upto > rest").groupBy("pattern")
-        .agg(F.min_by(F.struct("bin", (F.col("rest") - F.col("upto") + F.col("words")).alias("left")), "bin").alias("edge"))
+        sums.withColumn("upto", F.sum("words").over(until)).where("upto > gap").groupBy("pattern")
+        .agg(F.min_by(F.struct("bin", (F.col("gap") - F.col("upto") + F.col("words")).alias("left")), "bin").alias("edge"))
         .select("pattern", F.col("edge.bin").alias("bin"), F.col("edge.left").alias("left"))
     )
-    places = (
-        binned.join(F.broadcast(edges), ["pattern", "bin"])
-        .groupBy("pattern", "bin", "left", "draw").agg(F.sum("size").alias("size"))
-    )
     inside = Window.partitionBy("pattern").orderBy("draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = places.withColumn("upto", F.sum("size").over(inside)).where("upto <= left")
-    last = taken.groupBy("pattern").agg(F.max("draw").alias("last"), F.max("upto").alias("upto"))
-    start = F.shiftleft(F.col("bin"), 60 - 16) - 1
-    return edges.join(last, "pattern", "left").select(
-        "pattern", F.coalesce("last", start).alias("cut"), (F.col("left") - F.coalesce("upto", F.lit(0))).alias("gap"),
-        F.array().cast("array<bigint>").alias("extra"),
-    )
+    summed = binned.join(F.broadcast(edges), ["pattern", "bin"]).withColumn("upto", F.sum("size").over(inside))
+    over = F.col("upto") > F.col("left")
+    return summed.groupBy("pattern", "left").agg(
+        F.min(F.when(over, F.col("draw"))).alias("after"), F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("upto"),
+    ).select("pattern", "after", (F.col("left") - F.col("upto")).alias("gap"))
 
 
-def _filled(sized: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``cuts`` with one more place each: the largest beyond the cut that fits into the gap."""
-    places = sized.join(F.broadcast(cuts), "pattern").where("draw > cut AND NOT array_contains(extra, draw)")
-    sums = places.groupBy("pattern", "draw", "gap").agg(F.sum("size").alias("size")).where("size > 0 AND size <= gap")
-    best = sums.groupBy("pattern").agg(F.max(F.struct("size", "draw")).alias("best"))
-    return cuts.join(F.broadcast(best), "pattern", "left").select(
-        "pattern", "cut", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
-        F.when(F.col("best").isNull(), F.col("extra")).otherwise(F.concat("extra", F.array("best.draw"))).alias("extra"),
-    )
+def _spans(places: DataFrame, rests: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """First fit: (pattern, after, until, most), places of which are used once more.
+
+    A place between ``after`` and ``until``, both not included, is, if it has at most ``most`` words.
+    Each round takes one place at least of any pattern that has one that fits, and leaves a
+    gap smaller than the place it stops at; rounds end when no pattern has one.
+    """
+    spark, spans = places.sparkSession, []
+    gaps = {p: (-1, w) for p, w in rests.items() if w > 0}
+    while gaps:
+        open_ = spark.createDataFrame([(p, *g) for p, g in gaps.items()], "pattern int, after bigint, gap bigint")
+        found = {r.pattern: (r.after, r.gap) for r in _round(places, open_).collect()}  # MAX_PATTERNS at most
+        spans += [(p, after, found.get(p, (_END, 0))[0], gap) for p, (after, gap) in gaps.items()]
+        gaps = {p: g for p, g in found.items() if g[1] > 0}
+    return spans
 
 
 @dataclass
 class Mixture:
-    """``patterns``: members, full, cut, extra (a row for each, MAX_PATTERNS at most);
+    """``patterns``: members, full, spans, apart (a row for each, MAX_PATTERNS at most);
     ``sources``: source, source_size, target, sent."""
 
     patterns: DataFrame
@@ -185,10 +186,11 @@ class Mixture:
 
     def uses(self, rows: DataFrame, members: Column, id_col: Column, size: Column) -> DataFrame:
         """``rows`` with ``uses``, how often each is taken; decided row by row, without a shuffle."""
-        limits = self.patterns.select(F.col("members").alias("_members"), F.struct("full", "cut", "extra").alias("_limits"))
+        limits = self.patterns.select(F.col("members").alias("_members"), F.struct("full", "spans", "apart").alias("_limits"))
         placed = rows.join(F.broadcast(limits), members == F.col("_members"), "left")
         draw = _draw(id_col, self.seed)
-        more = ((draw <= F.col("_limits.cut")) | F.array_contains("_limits.extra", draw)).cast("int")
+        inside = lambda s: (draw > s["after"]) & (draw < s["until"]) & (size <= s["most"])
+        more = (F.exists("_limits.spans", inside) & ~F.array_contains("_limits.apart", draw)).cast("int")
         uses = F.when(size > 0, F.col("_limits.full") + more).otherwise(0)
         return placed.withColumn("uses", uses).drop("_members", "_limits")
 
@@ -218,12 +220,19 @@ def mixture(sized: DataFrame, seed: int, weights: Sequence[float], share: float,
         rows.append((p, r["members"], full, flows[p] - full * r["words"]))
     patterns = spark.createDataFrame(rows, "pattern int, members array<string>, full int, rest bigint")
     placed = sized.join(F.broadcast(patterns.select("pattern", "members")), "members").withColumn("draw", _draw(F.col("id"), seed))
-    cuts = stored(_cuts(placed, patterns.select("pattern", "rest")), "mix-cuts")
-    for _ in range(_FILLS):
-        cuts = _filled(placed, cuts)
-    limits = patterns.join(cuts, "pattern", "left").select(
-        "members", "full", F.coalesce("cut", F.lit(-1).cast("bigint")).alias("cut"),
-        F.coalesce("extra", F.array().cast("array<bigint>")).alias("extra"),
+    places = stored(placed.where("size > 0").groupBy("pattern", "draw").agg(
+        F.sum("size").alias("size"), F.min("size").alias("least")), "mix-places")
+    spans = spark.createDataFrame(_spans(places, {r[0]: r[3] for r in rows}), "pattern int, after bigint, until bigint, most bigint")
+    # Rows of one id that would fit one by one but do not fit together.
+    apart = (
+        places.where("least < size").join(F.broadcast(spans), "pattern")
+        .where("draw > after AND draw < until AND size > most AND least <= most")
+        .groupBy("pattern").agg(F.collect_list("draw").alias("apart"))
+    )
+    spans = spans.groupBy("pattern").agg(F.collect_list(F.struct("after", "until", "most")).alias("spans"))
+    none = lambda name, kind: F.coalesce(name, F.array().cast(f"array<{kind}>")).alias(name)
+    limits = patterns.join(spans, "pattern", "left").join(apart, "pattern", "left").select(
+        "members", "full", none("spans", "struct<after:bigint,until:bigint,most:bigint>"), none("apart", "bigint"),
     )
     table = [(s, sizes[s], float(wanted[s]), sent[i]) for s, i in order.items()]
     return Mixture(

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 from collections import Counter
@@ -68,6 +69,32 @@ def test_query(spark, sf_dir):
     assert all(abs(taken[s] - wanted[s]) <= largest[s] for s in wanted)
 
 
+def test_mix_is_first_fit(spark):
+    """One very long document early in the order, and ids with several rows."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice([1, 2, 3, 5, 8, 40, 90]), "ab"[i % 2]) for i in range(160)]
+    rows += [(i, rng.choice([4, 30]), "ab"[i % 2]) for i in range(0, 160, 9)]
+    order = lambda i: int(hashlib.md5(f"17_{i}".encode()).hexdigest()[:15], 16)
+    rows += [(next(i for i in range(1000, 9000) if order(i) < 1 << 50), 1500, "a")]
+    table = spark.createDataFrame([(i, "w " * n, s) for i, n, s in rows], "doc_id int, text string, source string")
+    got, plan = mixing.mix(table, F.array("source"), share=0.9)
+    sent = {r.source: r.sent for r in plan.sources.collect()}
+    want, rounds = {}, 0
+    for s in "ab":
+        places, total = Counter(), sum(n for _, n, x in rows if x == s)
+        for i, n, x in rows:
+            places[i] += n * (x == s)
+        full, gap = divmod(sent[s], total)
+        for i in sorted((i for i in places if places[i]), key=order):
+            fits = places[i] <= gap
+            want[i] = full + fits
+            rounds += not fits
+            gap -= places[i] * fits
+        taken = sum(r.uses * r.size for r in got.collect() if r.members == [s])
+        assert taken == sent[s] - gap and (s == "b" or gap < 10)
+    assert rounds and {r.id: r.uses for r in got.collect()} == want
+
+
 def test_overlapping_sources(spark):
     rows = [(i, "w " * (1 + i % 5), ["a"] if i % 3 == 0 else ["a", "b"] if i % 3 == 1 else ["b", None]) for i in range(3000)]
     table = spark.createDataFrame(rows, "doc_id int, text string, sources array<string>")
