@@ -2,9 +2,12 @@
 
 A text is compared with every language by two Jensen-Shannon distances (square root of
 the divergence in bits, 0 to 1): one between its character classes and the language's, one
-between its common-word frequencies and the language's. References are the mean
-distributions of the corpus's own documents of that language, over all of them. The
-nearest language counts. Texts too short to have a histogram are not judged by it.
+between its frequencies among common words and the language's; and by the share of its
+words that are common. References are the mean distributions of the corpus's own
+documents of that language, over all of them. The nearest language counts. Share and
+common distance vary more in short texts, so both are judged on the scale of the square
+root of the words counted, by ``MAX_SPREADS`` spreads (from the quartiles, which junk hardly
+moves) around the language's median. Texts too short to have a histogram are not judged by it.
 
 DataFrame functions only; texts are read once, their histograms are stored, and only one
 row per language of ``LANGUAGES`` is broadcast.
@@ -25,7 +28,8 @@ MAX_REPEATED = 20  # percent of words inside repeated windows
 MIN_CHARS = 200  # least text for the distance of character classes
 MIN_COMMON = 50  # least words for the distance of common words
 MAX_CLASS_DISTANCE = 0.30
-MAX_COMMON_DISTANCE = 0.55
+MAX_SPREADS = 4  # from the median of a language, of common-word share and distance
+MOST_COUNTED = 100  # common words a text is taken to have at most, where its distance is scaled
 
 # The commonest function words of each language.
 LANGUAGES: Mapping[str, Sequence[str]] = {
@@ -143,12 +147,47 @@ def references(counted: DataFrame, languages: Mapping[str, Sequence[str]] = LANG
     usable = counted.where(F.col("lang").isin(list(languages)) & ~F.col("base_failed") & (F.col("n_words") >= MIN_COMMON))
     means = None
     for name in ("classes", "common"):
-        n = len(CLASSES) + 1 if name == "classes" else len(vocabulary_of(languages)) + 1
-        shares = usable.select("lang", _shares(F.col(name)).alias("shares"))
+        n = len(CLASSES) + 1 if name == "classes" else len(vocabulary_of(languages))
+        counts = F.col(name) if name == "classes" else _among(name)
+        shares = usable.select("lang", _shares(counts).alias("shares"))
         mean = shares.groupBy("lang").agg(*[F.avg(F.col("shares")[i]).alias(f"m{i}") for i in range(n)])
         mean = mean.select("lang", F.array(*[f"m{i}" for i in range(n)]).alias(f"mean_{name}"))
         means = mean if means is None else means.join(mean, "lang")
-    return means
+    return means.join(_spreads(usable, means), "lang")
+
+
+def _share(common: Column, n_words: Column) -> Column:
+    return 1 - F.element_at(common, -1) / n_words
+
+
+def _scaled(distance: Column, common: Column, n_words: Column) -> Column:
+    """Distance by the square root of the common words counted: alike in short and long texts."""
+    return distance * F.sqrt(F.least(F.lit(float(MOST_COUNTED)), n_words - F.element_at(common, -1)))
+
+
+def _spreads(usable: DataFrame, means: DataFrame) -> DataFrame:
+    """Per language median and spread of share and scaled distance; a share spreads by chance at least."""
+    share = _share(F.col("common"), F.col("n_words"))
+    rows = usable.join(F.broadcast(means.select("lang", "mean_common")), "lang").select(
+        "lang", "n_words", share.alias("share"),
+        _scaled(jensen_shannon(_shares(_among("common")), F.col("mean_common")), F.col("common"), F.col("n_words")).alias("far"),
+    )
+    mid = rows.groupBy("lang").agg(F.percentile_approx("share", 0.5).alias("share_mid"))  # a row a language
+    off = (F.col("share") - F.col("share_mid")) * F.sqrt("n_words")
+    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75])
+    spread = lambda q: (q[2] - q[0]) / 1.349
+    chance = F.sqrt(F.col("share_mid") * (1 - F.col("share_mid")))
+    found = rows.join(F.broadcast(mid), "lang").groupBy("lang", "share_mid").agg(
+        quartiles(off).alias("off"), quartiles(F.when(F.col("share") > 0, F.col("far"))).alias("far"))
+    return found.select(
+        "lang", "share_mid", F.greatest(spread(F.col("off")), chance).alias("share_spread"),
+        (F.col("far")[1] + MAX_SPREADS * F.greatest(spread(F.col("far")), F.col("far")[1] / 10)).alias("far_most"),
+    )
+
+
+def _among(name: str) -> Column:
+    """Counts of the common words, without all other words."""
+    return F.slice(name, 1, F.size(name) - 1)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: Mapping[str, Sequence[str]] = LANGUAGES) -> DataFrame:
@@ -156,19 +195,27 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     A null text counts as empty: no words, so it fails the base rules. A text under
     ``MIN_CHARS`` characters or ``MIN_COMMON`` words has a null distance, as has any where no
-    language has a reference, and is not rejected for it. ``lang`` serves the references only:
+    language has a reference, and is not rejected for it. A text without any common word has
+    a null common_distance and is judged by its share. ``lang`` serves the references only:
     rows where it is null are judged like all others. Whole texts, repeated rows kept, null
     ids kept, an empty table gives none; other columns are left behind.
     """
     counted = features(docs, id_col, text_col, lang_col, languages)
     near = lambda name: F.transform("refs", lambda r: jensen_shannon(F.col("shares"), r[f"mean_{name}"]))
-    refs = references(counted, languages).agg(F.collect_list(F.struct("mean_classes", "mean_common")).alias("refs"))  # one per language
+    refs = references(counted, languages).agg(
+        F.collect_list(F.struct("mean_classes", "mean_common", "share_mid", "share_spread", "far_most")).alias("refs"))  # one per language
     rows = counted.crossJoin(F.broadcast(refs))  # a single row
+    share = _share(F.col("common"), F.col("n_words"))
     for name, guard, out in (
-        ("classes", F.col("word_chars") >= MIN_CHARS, "class_distance"), ("common", F.col("n_words") >= MIN_COMMON, "common_distance"),
+        ("classes", F.col("word_chars") >= MIN_CHARS, "class_distance"), ("common", (F.col("n_words") >= MIN_COMMON) & (share > 0), "common_distance"),
     ):
-        rows = rows.withColumn("shares", _shares(F.col(name))).withColumn(out, F.when(guard, F.array_min(near(name))))
-    apart = (F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("common_distance") > MAX_COMMON_DISTANCE)
+        counts = F.col(name) if name == "classes" else _among(name)
+        rows = rows.withColumn("shares", _shares(counts)).withColumn(out, F.when(guard, F.array_min(near(name))))
+    usual = lambda r: F.abs(share - r["share_mid"]) * F.sqrt("n_words") <= MAX_SPREADS * r["share_spread"]
+    far = _scaled(F.col("common_distance"), F.col("common"), F.col("n_words"))
+    like = lambda r: usual(r) & F.coalesce(far <= r["far_most"], F.lit(True))
+    odd = (F.col("n_words") >= MIN_COMMON) & (F.size("refs") > 0) & ~F.exists("refs", like)
+    apart = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | odd
     return rows.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "class_distance", "common_distance", (~F.col("base_failed") & ~F.coalesce(apart, F.lit(False))).alias("kept"),

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -45,6 +46,19 @@ def test_good_texts_are_kept_and_junk_goes(spark, sf_dir):
     assert any(not r.kept and not r.base_failed for r in rows.values())
 
 
+def test_invented_words_go_and_good_texts_stay(spark):
+    sf_dir = "/root/testdata/sf0.01"  # the smallest has too few texts of some languages for their spread
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=rng.randint(4, 8)))
+    invented = [(10**9 + i, " ".join(" ".join(word() for _ in range(12)).capitalize() + "." for _ in range(n)), "en", None, None) for i, n in enumerate((20, 200))]
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r.doc_id: r for r in quality.judge(table.unionByName(spark.createDataFrame(invented, table.schema))).collect()}
+    for i, *_ in invented:
+        assert not rows[i].base_failed and rows[i].class_distance <= quality.MAX_CLASS_DISTANCE and not rows[i].kept
+    good = [r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()]
+    assert good and all(rows[i].kept for i in good if not rows[i].base_failed)
+
+
 def test_edges(spark):
     rows = edge_rows() + [(10, "a b c d e f\n" * 3), (11, "l1\n\nl1\n l1\n \n")]
     got = quality.judge(docs(spark, rows)).collect()
