@@ -12,14 +12,17 @@ from labelscope.llm import (
     bpe,
     chat,
     hamming_search,
+    importance,
     langid,
     mixing,
+    periodic,
     pii,
     quality,
     simhash,
     urls,
     warc,
 )
+from labelscope.llm.common import WORD
 from labelscope.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +142,34 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts of every tenth document (by a hash of its id) made periodic from some word on."""
+    hashed = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    split = hashed.withColumn("words", words).withColumn("n", F.size("words"))
+    placed = split.withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("cast(g % greatest(n, 1) AS int)"))
+    looped = """slice(flatten(concat(array(slice(words, 1, a)),
+        array_repeat(slice(words, a + 1, cast(1 + (n - a) div (3 + g % 8) AS int)), 12))), 1, n)"""
+    return placed.selectExpr("doc_id", f"CASE WHEN n > 0 THEN array_join({looped}, ' ') ELSE text END AS text")
+
+
+@_query
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start AS start, -r.period AS period)))")
+    listed = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = periodic.repetitions(docs).withColumn("most", longest)
+    length, period = F.col("most.length"), -F.col("most.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("most.start")).alias("start"),
+        length.alias("length"), period.alias("period"), F.expr("most.length * 1000 div -most.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )

@@ -1,0 +1,112 @@
+import hashlib
+import random
+import re
+from zlib import crc32
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from labelscope.llm import periodic
+from labelscope.llm.queries import queries, with_planted_runs
+from tests.llm.helpers import docs, edge_rows
+
+
+def split(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def planted(doc_id, words):
+    h, n = crc32(str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def runs_of(words, least=6, exponent=4):
+    """Every maximal stretch of each period, the shortest period of equal stretches."""
+    n, found = len(words), {}
+    ids = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    codes = np.array([ids[w] for w in words], np.int64)
+    for q in range(1, n // exponent + 1):
+        same = np.append(np.append(False, codes[q:] == codes[:-q]), False)
+        edges = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
+        for start, stop in edges[edges[:, 1] - edges[:, 0] + q >= max(least, exponent * q)].tolist():
+            found.setdefault((start, stop - start + q), q)
+    return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def collapsed(words, runs):
+    gone = {i for s, length, q in runs for i in range(s + q, s + length)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def found(texts, least=6, exponent=4):
+    sizes = [len(t) for t in texts]
+    stops = np.cumsum(sizes)
+    symbols = np.array([1000 * k + w for k, t in enumerate(texts) for w in t], np.int64)
+    runs = periodic.find_runs(symbols, np.repeat(stops, sizes), least, exponent)
+    return [
+        [(s - (stop - size), length, q) for s, length, q in runs if stop - size <= s < stop]
+        for size, stop in zip(sizes, stops, strict=True)
+    ]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=40), min_size=1, max_size=3), st.sampled_from([(6, 4), (4, 2), (2, 2), (9, 3)]))
+def test_all_runs_of_small_texts(texts, limits):
+    assert found(texts, *limits) == [runs_of(t, *limits) for t in texts]
+
+
+def test_runs_in_runs():
+    rng = random.Random(3)
+    for _ in range(60):
+        unit = [rng.randrange(2)] * rng.randrange(1, 9) + [rng.randrange(3) for _ in range(rng.randrange(4))]
+        text = [rng.randrange(4) for _ in range(9)] + (unit * rng.randrange(1, 7) + [7]) * rng.randrange(1, 6) + unit
+        assert found([text]) == [runs_of(text)]
+
+
+def test_long_constant_and_alternating():
+    assert found([[5] * 30_000, [1, 2] * 15_000]) == [[(0, 30_000, 1)], [(0, 30_000, 2)]]
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries()["op13_periodic"](spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    seen = 0
+    for r in rows:
+        words = planted(r.doc_id, split(texts[r.doc_id]))
+        runs = runs_of(words)
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert r.n_runs == len(runs)
+        assert r.runs_sha256 == digest("".join(f"{a},{b},{c}\n" for a, b, c in runs))
+        assert r.collapsed_sha256 == digest(collapsed(words, runs))
+        best = min(runs, key=lambda x: (-x[1], x[0], x[2]), default=(None, None, None))
+        assert (r.start, r.length, r.period) == best
+        assert r.exponent_milli == (best[1] * 1000 // best[2] if runs else None)
+        seen += len(runs)
+    assert seen > 20
+
+
+def test_planted_edges(spark):
+    rows = [(i, t) for i, t in edge_rows()] + [(i, " a\tb  c\n d e f g h i j " * (i % 3)) for i in range(100, 200)]
+    got = with_planted_runs(docs(spark, rows).select("doc_id", "text")).collect()
+    want = sorted((str(i), " ".join(planted(i, split(t)) if i is not None else split(t))) for i, t in rows)
+    assert sorted((str(r.doc_id), " ".join(split(r.text))) for r in got) == want
+
+
+def test_edges(spark):
+    long = "a b c " * 40_000
+    rows = [*edge_rows(), (9, long), (10, "x y x y x y x y\nend"), (10, "x y x y x y x y\nend")]
+    got = {(r.doc_id, r.collapsed): [tuple(x) for x in r.runs] for r in periodic.repetitions(docs(spark, rows)).collect()}
+    assert got[1, ""] == got[2, ""] == got[3, ""] == got[4, "one"] == []
+    assert got[9, "a b c"] == [(0, 120_000, 3)] and got[10, "x y end"] == [(0, 8, 2)]
+    assert got[6, "The cat sat on the mat."] == [(0, 54_000, 6)]
+    assert got[None, "no id at all"] == [] and got[8, "Straße ΑΣ 日本 👍"] == []
+    result = periodic.repetitions(docs(spark, []))
+    assert result.columns == ["doc_id", "runs", "collapsed"] and result.collect() == []
+    assert periodic.repetitions(docs(spark, rows)).count() == len(rows)
