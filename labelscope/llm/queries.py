@@ -19,6 +19,7 @@ from labelscope.llm import (
     pii,
     quality,
     simhash,
+    suffix_dedup,
     urls,
     warc,
 )
@@ -144,6 +145,15 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @_query
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
