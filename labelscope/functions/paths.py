@@ -12,10 +12,19 @@ from labelscope.domain import BOX, DEFAULT_EXTENSION
 from labelscope.functions.text import as_text, strip
 
 
+def store_of(root: str) -> str:
+    """Scheme and host of the store a root lies in; empty for plain and ``file:`` paths."""
+    found = re.match("(?!file:)[A-Za-z][A-Za-z0-9+.-]*://[^/]*", root)
+    return found.group() if found else ""
+
+
 def join_path(root: str, name: Column) -> Column:
-    """``root/name``, or ``name`` alone when it is absolute."""
+    """``root/name``; an absolute ``name`` lies in the store of the root, a URI stands alone."""
     prefix = root if not root or root.endswith("/") else root + "/"
-    return F.when(F.startswith(name, F.lit("/")), name).otherwise(F.concat(F.lit(prefix), name))
+    joined = F.when(F.startswith(name, F.lit("/")), F.concat(F.lit(store_of(root)), name))
+    if store_of(root):
+        joined = joined.when(F.rlike(name, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:/")), name)
+    return joined.otherwise(F.concat(F.lit(prefix), name))
 
 
 def resolve_path(path: Column, root: str) -> Column:

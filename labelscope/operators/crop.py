@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING, Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.domain import BOX, INVALID_BOX
+from labelscope.domain import BOX, INVALID_BOX, UNREADABLE
 from labelscope.functions.boxes import clamped, crop_fail_reason, valid_box
 from labelscope.functions.paths import crop_name, join_path, with_image_key
-from labelscope.operators.joins import lookup_join
+from labelscope.functions.pixels import NoCodec
+from labelscope.operators.joins import lookup_join, sliced
+
+if TYPE_CHECKING:
+    from labelscope.operators.score import Images
 
 # A crop is told apart by its image and full box. The file name holds only 48
 # bits of their hash, too few to tell billions of boxes apart.
@@ -150,6 +155,81 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+_CUT_SCHEMA = (
+    "image_path string, bbox_x1 bigint, bbox_y1 bigint, bbox_x2 bigint, bbox_y2 bigint, "
+    f"cropped_path string, crop_fail_reason string, image {PIXELS}"
+)
+_CUT_BYTES = 32 * 2**20  # pixels handed on at once
+
+
+def _opened(image_of: Callable[[dict], Any], key: str) -> tuple[dict | None, str | None]:
+    """An image and why there is none."""
+    try:
+        image = image_of({"image_key": key})
+    except NoCodec:
+        raise
+    except OSError as failure:  # tried again by the next run, as all failed crops are
+        return None, f"read: {failure or type(failure).__name__}"
+    except Exception:  # one bad image must not end the job
+        return None, UNREADABLE
+    return image, None if image is not None else UNREADABLE
+
+
+def _inside(image: dict, box: list[int]) -> tuple[list[int], str | None]:
+    """The box cut to the image, and why nothing is left of it."""
+    part = [max(0, box[0]), max(0, box[1]), min(image["width"], box[2]), min(image["height"], box[3])]
+    empty = part[2] <= part[0] or part[3] <= part[1]
+    return part, f"Bbox clamped to empty region ({part[0]},{part[1]},{part[2]},{part[3]})" if empty else None
+
+
+def _cut_runs(images: Images) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow: boxes sorted by image to crops; an image is opened once for a run of its boxes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image_of, key, image, missing = images.reader(), None, None, None
+        for batch in batches:
+            cuts, reasons, size, first = [], [], 0, 0
+            kept = batch.select([*CROP_KEY, "cropped_path"])
+            boxes = zip(*(batch[c].to_pylist() for c in BOX), strict=True)
+            for n, (of, box) in enumerate(zip(batch["image_key"].to_pylist(), boxes, strict=True), 1):
+                if of != key:
+                    key, (image, missing) = of, _opened(image_of, of)
+                part, reason = (None, missing) if missing else _inside(image, list(box))
+                cuts.append(None if reason else _cut(image, part))
+                reasons.append(reason)
+                size += len(cuts[-1]["data"]) if cuts[-1] else 0
+                if size >= _CUT_BYTES or n == batch.num_rows:
+                    rows = kept.slice(first, n - first)
+                    yield pa.RecordBatch.from_arrays(
+                        [*rows.columns, pa.array(reasons, pa.string()), pa.array(cuts, _PIXELS_ARROW)],
+                        [*rows.schema.names, "crop_fail_reason", "image"],
+                    )
+                    cuts, reasons, size, first = [], [], 0, n
+
+    return run
+
+
+def cut_opened(
+    annotations: DataFrame,
+    images: Images,
+    crop_root: str = "",
+    cached: DataFrame | None = None,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """Pixels of every distinct box not cut yet, one row per box, from images opened in the task.
+
+    Boxes are shuffled, not pixels: they are dealt by image (a hot image over slices, by the box)
+    and sorted by it, so a task opens an image once for all its boxes there and holds no other.
+    Rows that cannot be cut carry a reason and no pixels. ``hot`` has hot hashes of image_key.
+    """
+    boxes = with_image_key(annotations).select(*CROP_KEY, "image_key").where(valid_box()).distinct()
+    if cached is not None:
+        boxes = lookup_join(boxes, cached.select(*CROP_KEY).distinct(), CROP_KEY, "left_anti")
+    dealt = sliced(boxes, ["image_key"], hot, CROP_KEY).repartition("image_key", "_slice")
+    runs = dealt.sortWithinPartitions("image_key", *BOX).withColumn("cropped_path", _crop_path(crop_root))
+    return runs.select(*CROP_KEY, "image_key", "cropped_path").mapInArrow(_cut_runs(images), _CUT_SCHEMA)
+
+
 def cut_crops(
     annotations: DataFrame,
     images: DataFrame,
@@ -157,9 +237,10 @@ def cut_crops(
     cached: DataFrame | None = None,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Pixels of every distinct box not cut yet, one row per box.
+    """Pixels of every distinct box not cut yet, one row per box, from a table of pixels.
 
-    ``images`` comes from ``read_images``. Rows that cannot be cut carry a reason
+    ``images`` comes from ``read_images``. Its pixels are shuffled to the boxes; ``cut_opened`` does
+    without. Rows that cannot be cut carry a reason
     and no pixels. Repeated boxes collapse before any pixel moves, and the pixels of
     an image go to Python only for boxes that pass the column checks.
     """
@@ -175,12 +256,8 @@ def cut_crops(
         .withColumn("cut", F.array(*[F.expr(side) for side in clamped(*size)]))
         .withColumn("image", F.when(F.col("crop_fail_reason").isNull(), F.col("image")))
     )
-    schema = (
-        "image_path string, bbox_x1 bigint, bbox_y1 bigint, bbox_x2 bigint, bbox_y2 bigint, "
-        f"cropped_path string, crop_fail_reason string, image {PIXELS}"
-    )
     return ready.select(*CROP_KEY, "cropped_path", "crop_fail_reason", "cut", "image").mapInArrow(
-        _cut_batches, schema
+        _cut_batches, _CUT_SCHEMA
     )
 
 

@@ -42,6 +42,19 @@ def settled(hot: DataFrame) -> DataFrame:
     return hot.sparkSession.createDataFrame(hot.collect(), "hot bigint, slices int")
 
 
+def _marked(df: DataFrame, on: Sequence[str], hot: DataFrame, slice_of: Callable[[Column], Column]) -> DataFrame:
+    marks = F.broadcast(hot.select(F.col("hot").alias("_hot"), F.col("slices").alias("_slices")))
+    joined = df.join(marks, F.xxhash64(*on) == F.col("_hot"), "left")
+    return joined.withColumn("_slice", slice_of(F.coalesce("_slices", F.lit(1)))).drop("_hot", "_slices")
+
+
+def sliced(df: DataFrame, on: Sequence[str], hot: DataFrame | None, spread: Sequence[str]) -> DataFrame:
+    """Add ``_slice``: rows of a hot key are dealt over its slices by a hash of ``spread``."""
+    if hot is None:
+        return df.withColumn("_slice", F.lit(0))
+    return _marked(df, on, hot, lambda slices: F.pmod(F.xxhash64(*spread), slices).cast("int"))
+
+
 def lookup_join(
     fact: DataFrame,
     lookup: DataFrame,
@@ -67,13 +80,6 @@ def lookup_join(
     on = list(on)
     if hot is None:
         return fact.join(collapse(lookup, on) if collapse else lookup, on, how)
-    marks = F.broadcast(hot.select(F.col("hot").alias("_hot"), F.col("slices").alias("_slices")))
-
-    def marked(df: DataFrame, slice_of: Column) -> DataFrame:
-        return df.join(marks, F.xxhash64(*on) == F.col("_hot"), "left").withColumn("_slice", slice_of).drop("_hot", "_slices")
-
-    one = F.coalesce("_slices", F.lit(1))
-    sliced = marked(fact, F.pmod(F.xxhash64(*spread), one).cast("int"))
-    repeated = marked(lookup, F.explode(F.sequence(F.lit(0), one - 1)))
+    repeated = _marked(lookup, on, hot, lambda slices: F.explode(F.sequence(F.lit(0), slices - 1)))
     keys = [*on, "_slice"]
-    return sliced.join(collapse(repeated, keys) if collapse else repeated, keys, how).drop("_slice")
+    return sliced(fact, on, hot, spread).join(collapse(repeated, keys) if collapse else repeated, keys, how).drop("_slice")

@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,31 +21,53 @@ def _ratio(part: str, whole: str) -> Column:
     return F.expr(f"CASE WHEN ({whole}) = 0 THEN 0D ELSE cast({part} AS double) / ({whole}) END")
 
 
-def answer_cells(results: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+_CELLS = "array<struct<t:int,p:int,same:boolean,n:bigint>>"
+
+
+def _no_cells() -> Column:
+    return F.array().cast(_CELLS)
+
+
+def added_cells(cells: DataFrame, requested: DataFrame) -> DataFrame:
+    """One row per requested run from several with counts, such as one per batch."""
+    each = cells.select(*RUN, F.inline("cells")).groupBy(*RUN, "t", "p", "same").agg(F.sum("n").alias("n"))
+    per_run = each.groupBy(*RUN).agg(F.collect_list(F.struct("t", "p", "same", "n")).alias("cells"))
+    return requested.select(*RUN).distinct().join(per_run, RUN, "left").withColumn("cells", F.coalesce("cells", _no_cells()))
+
+
+def answer_cells(
+    results: DataFrame,
+    requested: DataFrame | None = None,
+    by: Sequence[str] = (),
+    groups: Sequence[str] = (),
+) -> DataFrame:
     """One row per (model, context) with its answered pairs counted.
 
+    With ``by`` there is a row per run and value of that column, and if runs are requested, for
+    each of them and each of ``groups``.
+
     ``cells`` is an array of (t, p, same, n): class positions of label and
     prediction (-1 outside the domain), whether they are equal, and the count. Its
     length is bounded by the class domain. Runs without any answered row, and runs
     named in ``requested`` without any row at all, have an empty array.
     """
     # Unknown is grouped like any other answer so that its runs stay visible.
+    run = [*RUN, *by]
     pairs = results.groupBy(
-        *RUN,
+        *run,
         class_index(F.col("label")).alias("t"),
         class_index(F.col("predicted_label")).alias("p"),
         F.expr(f"predicted_label <=> '{UNKNOWN}'").alias("unknown"),
         F.expr("coalesce(label = predicted_label, false)").alias("same"),
     ).agg(F.count("*").alias("n"))
     cell = F.expr("CASE WHEN NOT unknown THEN struct(t, p, same, n) END")
-    per_run = pairs.groupBy(*RUN).agg(F.collect_list(cell).alias("cells"))
+    per_run = pairs.groupBy(*run).agg(F.collect_list(cell).alias("cells"))
     if requested is None:
         return per_run
-    none = F.array().cast("array<struct<t:int,p:int,same:boolean,n:bigint>>")
-    return (
-        requested.select(*RUN).distinct().join(per_run, RUN, "left")
-        .withColumn("cells", F.coalesce("cells", none))
-    )
+    wanted = requested.select(*RUN).distinct()
+    for column in by:
+        wanted = wanted.withColumn(column, F.explode(F.array(*[F.lit(g) for g in groups])))
+    return wanted.join(per_run, run, "left").withColumn("cells", F.coalesce("cells", _no_cells()))
 
 
 def _total(condition: str) -> Column:

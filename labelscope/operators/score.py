@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Callable, Iterator, Sequence
-from typing import Any
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import Any, Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from labelscope.domain import UNKNOWN
 from labelscope.functions.paths import with_image_key
+from labelscope.functions.pixels import NoCodec
 from labelscope.functions.text import prompt_for, with_parsed_label
 from labelscope.operators.joins import lookup_join
 
@@ -142,3 +143,99 @@ def score(
     answers = answers.hint("merge")
     answered_rows = lookup_join(rows, answers, keep, hot=hot if once_per_image else None)
     return with_parsed_label(answered_rows.select(*kept, "raw_output", "error"))
+
+
+# --- several models in one pass ---------------------------------------------------
+
+
+class Images(Protocol):
+    """Where a task gets images from, one at a time."""
+
+    def placed(self, keys: DataFrame, tasks: int | None = None) -> DataFrame:
+        """The keys that have an image, with the columns ``reader`` needs, dealt over tasks."""
+
+    def reader(self) -> Callable[[dict], Any]:
+        """In a task: a function from a placed row to its image, or None."""
+
+
+_ANSWER = "struct<model_key:string,raw_output:string,error:string>"
+_ARROW_ANSWERS = pa.list_(pa.struct([(name, pa.string()) for name in ("model_key", "raw_output", "error")]))
+
+
+def _answer(predictor: Predictor, image: Any, prompt: str) -> tuple[str | None, str | None]:
+    try:
+        text = predictor.predict(image, prompt)
+    except Exception as failure:  # one bad row must not end the job
+        return None, str(failure) or type(failure).__name__
+    if text is None or isinstance(text, str):
+        return text, None
+    return None, f"an answer of type {type(text).__name__}"
+
+
+def _asked_once(
+    factories: Mapping[str, Callable[[], Predictor]], images: Images, prompt: str, keep: list[str]
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictors: dict[str, Predictor] = {}
+        image_of = images.reader()
+        for batch in batches:
+            answers = []
+            for row in batch.drop_columns(["_models"]).to_pylist() if batch.num_rows else []:
+                try:
+                    image, failed = image_of(row), None
+                except NoCodec:
+                    raise
+                except OSError as failure:  # throttled, forbidden: worth another run
+                    image, failed = None, f"read: {failure or type(failure).__name__}"
+                except Exception as failure:
+                    image, failed = None, f"decode: {failure or type(failure).__name__}"
+                told = []
+                for name in batch["_models"][len(answers)].as_py():
+                    text, error = None, failed
+                    if image is not None:
+                        if name not in predictors:
+                            predictors[name] = factories[name]()
+                            predictors[name].load()
+                        text, error = _answer(predictors[name], image, prompt)
+                    told.append({"model_key": name, "raw_output": text, "error": error})
+                answers.append(told)
+            kept = batch.select(keep)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(answers, _ARROW_ANSWERS)], [*keep, "_answers"])
+
+    return run
+
+
+def score_models(
+    rows: DataFrame,
+    images: Images,
+    factories: Mapping[str, Callable[[], Predictor]],
+    context: str,
+    key: Sequence[str] = ("image_path",),
+    tasks: int | None = None,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """Scored rows of all models that ``needs`` names, in one pass over the images.
+
+    ``needs`` (see ``outstanding``) says which models a row is for. Each image is opened once, in the
+    task that asks about it, and shown to every model some row of it needs; pixels are never part
+    of a row that is joined or shuffled. Per row and model the result has ``model_key``, ``attempt``,
+    ``raw_output``, ``predicted_label`` and ``error``. A row whose image is not there has neither
+    answer nor error; read errors begin with "read: ", undecodable files with "decode: ".
+    """
+    rows = rows.drop("raw_output", "predicted_label", "error", "model_key", "attempt")
+    kept = [c for c in rows.columns if c != "needs"]
+    if tuple(key) == _BY_FILE:
+        rows, key = with_image_key(rows), ["image_key"]
+    wanted = rows.select(*key, F.explode("needs.model_key").alias("_model"))
+    keys = wanted.groupBy(*key).agg(F.sort_array(F.collect_set("_model")).alias("_models"))
+    asked = images.placed(keys, tasks)
+    fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key]
+    answers = asked.mapInArrow(
+        _asked_once(factories, images, prompt_for(context), list(key)), ", ".join([*fields, f"_answers array<{_ANSWER}>"])
+    )
+    # Never a broadcast: answers may take longer to come than a broadcast may wait.
+    joined = lookup_join(rows, answers.hint("merge"), key, hot=hot)
+    each = joined.select(*kept, "_answers", F.inline("needs").alias("model_key", "attempt"))
+    told = F.filter("_answers", lambda a: a["model_key"] == F.col("model_key"))
+    with_answer = each.withColumn("_told", F.get(told, F.lit(0)))
+    return with_parsed_label(with_answer.select(*kept, "model_key", "attempt", "_told.raw_output", "_told.error"))

@@ -9,18 +9,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.domain import FACE, FULL, RUN, SAMPLE_SEED, runs, select_models
+from labelscope.domain import FACE, FULL, SAMPLE_SEED, runs, select_models
 from labelscope.functions.paths import qualified
+from labelscope.functions.pixels import decode_image
 from labelscope.operators import clean, compare, crop, metrics, resume, sample
 from labelscope.operators.joins import hot_hashes, settled
-from labelscope.operators.score import Predictor, answered, score
+from labelscope.operators.score import Images, Predictor, answered, score, score_models
 from labelscope.sources import stores
 from labelscope.sources.annotations import read_annotations
-from labelscope.sources.images import existing_images, fetch_images, list_images, read_images
+from labelscope.sources.images import FileImages, StoredImages, existing_images, list_images, read_images
 
 Factories = Mapping[str, Callable[[], Predictor]]
 
@@ -76,7 +79,7 @@ def _score_runs(
     spark: SparkSession,
     work: Workspace,
     rows: DataFrame,
-    images: DataFrame | Callable[[DataFrame], DataFrame],
+    images: DataFrame | Images,
     factories: Factories,
     model: str,
     context: str,
@@ -88,26 +91,46 @@ def _score_runs(
     hot = settled(hot_hashes(rows, ["image_key"] if key == ["image_path"] else key))
     person = list(resume.PERSON_KEY)
     hot_boxes = hot if key == person else settled(hot_hashes(rows, person))
-    for name in keys:
-        stored = stores.read_results(spark, work.path("results"), name, context, without_batch=batch)
-        left = rows if stored is None else resume.remaining(rows, stored, hot=hot_boxes)
-        if stored is not None and left.isEmpty():  # done: no image is opened for it
-            continue
-        scored = score(left, images, factories[name], context, key, tasks, hot=hot)
-        run = scored.withColumn("model_key", F.lit(name)).withColumn("context", F.lit(context))
-        stores.write_results(run, work.path("results"), batch)
-    results = stores.read_results(spark, work.path("results"), context=context)
+    path = work.path("results")
+    stored = stores.read_results(spark, path, context=context, without_batch=batch)
+    # Stored first: whether anything is left and what to score are asked of the same table.
+    resume.outstanding(rows, stored, keys, hot=hot_boxes).write.mode("overwrite").parquet(work.path("outstanding"))
+    left = spark.read.parquet(work.path("outstanding"))
+    if stored is None or not left.isEmpty():  # else done: no image is opened
+        if isinstance(images, DataFrame):
+            run = _scored_apart(left, images, factories, keys, context, key, tasks, hot)
+        else:
+            run = score_models(left, images, factories, context, key, tasks, hot)
+        stores.write_results(run.withColumn("context", F.lit(context)), path, batch)
+        empty = run.limit(0)
+    results = stores.read_results(spark, path, context=context)
     if results is None:  # nothing to score so far, which still has metrics
-        results = run.limit(0)
-    _measure(spark, results.where(F.col("model_key").isin(keys)), runs(spark, keys, (context,)), work)
+        results = empty.withColumn("context", F.lit(context)).withColumn("batch", F.lit("run-"))
+    _measure(spark, results, runs(spark, keys, (context,)), work, batch)
     return results
 
 
-def _measure(spark: SparkSession, results: DataFrame, requested: DataFrame, work: Workspace) -> None:
-    cells = metrics.answer_cells(results, requested)
-    # One row per run; stored so that the results are read once for all reports.
-    stores.write_parts(cells, work.path("cells"), RUN)
-    cells = spark.read.parquet(work.path("cells")).join(requested, RUN, "left_semi")
+def _scored_apart(
+    left: DataFrame, images: DataFrame, factories: Factories, keys: list[str], context: str, key: list[str],
+    tasks: int | None, hot: DataFrame | None,
+) -> DataFrame:
+    """Rows scored from a table of pixels, which each model takes anew."""
+    made = []
+    for name in keys:
+        mine = left.withColumn("_need", F.get(F.filter("needs", lambda n: n["model_key"] == name), F.lit(0)))  # noqa: B023
+        mine = mine.where("_need IS NOT NULL").select("*", "_need.attempt").drop("needs", "_need")
+        made.append(score(mine, images, factories[name], context, key, tasks, hot=hot).withColumn("model_key", F.lit(name)))
+    return reduce(DataFrame.unionByName, made)
+
+
+def _measure(spark: SparkSession, results: DataFrame, requested: DataFrame, work: Workspace, batch: str) -> None:
+    """Reports of the requested runs from the counts kept for each batch of results.
+
+    Only batches without counts, and the one just written, are read and counted. Counts add up,
+    also where rows were scored again: an attempt that another replaces has no parsed answer.
+    """
+    stores.write_batch_cells(spark, work.path("cells"), results, requested, batch)
+    cells = stores.read_cells(spark, work.path("cells"), requested)
     stores.write_report(metrics.confusion(cells), work.path("confusion"))
     stores.write_report(metrics.class_report(cells), work.path("report"))
     stores.write_metrics(metrics.metrics(cells), work.path("metrics"))
@@ -122,35 +145,45 @@ def run_full(
     batch: str | None = None,
     tasks: int | None = None,
     encoded: bool = False,
+    decode: Callable[[bytes], Any] = decode_image,
+    listing: bool = False,
 ) -> DataFrame:
     """Score whole images, going on from stored results; returns all of them.
 
-    Predictors get decoded pixels, or with ``encoded=True`` the bytes of the file, read
-    in the task that scores them: no folder is listed and no pixels are shuffled.
-    Rows are stored under ``batch``, a new name by default. Naming the batch of a run
-    that failed replaces what that run has stored.
+    All models are asked in one pass: each image that any of them needs is opened once, by the task
+    that scores it. Predictors get what ``decode`` makes of the file, or with ``encoded=True`` its
+    bytes. With ``listing=True`` Spark's image source lists the folder and decodes it all, for
+    sites without a Python decoder. Rows are stored under ``batch``, a new name by default. Naming
+    the batch of a run that failed replaces what that run has stored.
     """
     rows = spark.read.parquet(work.path("annotations"))
-    images = fetch_images if encoded else read_images(spark, qualified(spark, image_root))
+    images = read_images(spark, qualified(spark, image_root)) if listing else FileImages(None if encoded else decode)
     return _score_runs(
         spark, work, rows, images, factories, model, FULL, ["image_path"], _name(batch), tasks
     )
 
 
 def cut(
-    spark: SparkSession, work: Workspace, image_root: str, crop_root: str, batch: str | None = None
+    spark: SparkSession,
+    work: Workspace,
+    image_root: str,
+    crop_root: str,
+    batch: str | None = None,
+    decode: Callable[[bytes], Any] = decode_image,
+    listing: bool = False,
 ) -> DataFrame:
-    """Cut boxes not cut before, once for all models; returns annotations with outcomes."""
+    """Cut boxes not cut before, once for all models; returns annotations with outcomes.
+
+    Images are opened by the tasks that cut them; ``listing=True`` as in ``run_full``.
+    """
     batch = _name(batch)
     rows = spark.read.parquet(work.path("annotations"))
     done = stores.read_crops(spark, work.path("crops"), without_batch=batch)
-    cuts = crop.cut_crops(
-        rows,
-        read_images(spark, qualified(spark, image_root)),
-        crop_root,
-        done,
-        settled(hot_hashes(rows, ["image_key"])),
-    )
+    hot = settled(hot_hashes(rows, ["image_key"]))
+    if listing:
+        cuts = crop.cut_crops(rows, read_images(spark, qualified(spark, image_root)), crop_root, done, hot)
+    else:
+        cuts = crop.cut_opened(rows, FileImages(decode), crop_root, done, hot)
     stores.write_crops(cuts, work.path("crops"), batch)
     outcomes = stores.read_outcomes(spark, work.path("crops"), batch)
     crop.with_crops(rows, outcomes, settled(hot_hashes(rows, crop.CROP_KEY))).write.mode("overwrite").parquet(work.path("cropped"))
@@ -168,11 +201,17 @@ def run_face(
     model: str = "all",
     batch: str | None = None,
     tasks: int | None = None,
+    decode: Callable[[bytes], Any] = decode_image,
+    listing: bool = False,
 ) -> DataFrame:
-    """Cut and score crops, going on from stored results; returns all of them."""
+    """Cut and score crops, going on from stored results; returns all of them.
+
+    Crops are looked up by where they are stored; the tasks that score them read their pixels.
+    """
     batch = _name(batch)
-    usable = crop.usable_crops(cut(spark, work, image_root, crop_root, batch))
-    pictures = stores.read_crops(spark, work.path("crops")).select(*crop.CROP_KEY, "image")
+    usable = crop.usable_crops(cut(spark, work, image_root, crop_root, batch, decode, listing))
+    places = stores.crop_places(spark, work.path("crops"))
+    pictures = StoredImages(places if places is not None else usable.selectExpr(*crop.CROP_KEY, "'' AS file", "0L AS at"))
     return _score_runs(
         spark, work, usable, pictures, factories, model, FACE, crop.CROP_KEY, batch, tasks
     )

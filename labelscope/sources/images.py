@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from labelscope.functions.pixels import NoCodec, decode_image
 
 from labelscope.functions.paths import decoded_path, local_path
 
@@ -32,12 +37,12 @@ class _Files:
 
     def locate(self, path: str) -> tuple[str, str]:
         """File system key and the path inside it."""
+        if path.startswith("file:/"):
+            return "", "/" + path.removeprefix("file:").lstrip("/")
         scheme, mark, rest = path.partition("://")
         if not mark:
             return "", path
         host, slash, inside = rest.partition("/")
-        if scheme == "file":
-            return "", slash + inside
         key = f"{scheme}://{host}"
         if key not in self.systems:
             self.systems[key] = fs.FileSystem.from_uri(f"{key}/")[0]
@@ -135,3 +140,156 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
 
 def image_sizes(images: DataFrame) -> DataFrame:
     return images.select("image_path", "image.width", "image.height")
+
+
+# --- images opened by the task that needs them ------------------------------------
+
+
+class FileImages:
+    """Images by path, opened where they are wanted.
+
+    ``decode`` makes of a file's bytes what a predictor takes; None hands the bytes on. A path
+    without a file gives None. A failed read is an OSError; a file that cannot be decoded
+    raises what the decoder raises.
+    """
+
+    def __init__(self, decode: Callable[[bytes], Any] | None = decode_image) -> None:
+        self.decode = decode
+
+    def placed(self, keys: DataFrame, tasks: int | None = None) -> DataFrame:
+        return keys.repartition(tasks) if tasks else keys
+
+    def reader(self) -> Callable[[dict], Any]:
+        """A function from a row with the path, in its first column, to the image."""
+        files = _Files()
+
+        def image(row: dict) -> Any:
+            content = files.content(next(iter(row.values())))
+            return content if content is None or self.decode is None else self.decode(content)
+
+        return image
+
+
+class StoredImages:
+    """Images kept in rows of Parquet files, read by the task that wants them.
+
+    ``places`` has the key columns, the ``file`` and the row number ``at``. Only places are
+    joined and shuffled: a task gets the wanted rows of whole files and reads each row group
+    that has any once.
+    """
+
+    def __init__(self, places: DataFrame, column: str = "image") -> None:
+        self.places, self.column = places, column
+
+    def placed(self, keys: DataFrame, tasks: int | None = None) -> DataFrame:
+        found = keys.join(self.places, [c for c in keys.columns if c in self.places.columns])
+        dealt = found.repartition(tasks, "file") if tasks else found.repartition("file")
+        return dealt.sortWithinPartitions("file", "at")
+
+    def reader(self) -> Callable[[dict], Any]:
+        column, files, held = self.column, _Files(), {"path": None, "file": None, "first": 0, "rows": None}
+
+        def image(row: dict) -> Any:
+            if row["file"] != held["path"]:
+                system, inside = files.locate(row["file"])
+                opened = pq.ParquetFile(files.systems[system].open_input_file(inside))
+                held.update(path=row["file"], file=opened, first=0, rows=None, group=-1)
+            while held["rows"] is None or row["at"] >= held["first"] + len(held["rows"]):
+                held["first"] += 0 if held["rows"] is None else len(held["rows"])
+                held["group"] += 1
+                size = held["file"].metadata.row_group(held["group"]).num_rows
+                if row["at"] >= held["first"] + size:  # nothing wanted in this one
+                    held["rows"] = range(size)
+                else:
+                    held["rows"] = held["file"].read_row_group(held["group"], columns=[column])[column].combine_chunks()
+            return held["rows"][row["at"] - held["first"]].as_py()
+
+        return image
+
+    def __getstate__(self) -> dict:
+        return {"column": self.column, "places": None}  # tasks only read
+
+
+# --- a planned scan -----------------------------------------------------------------
+
+
+class _Rows(InputPartition):
+    def __init__(self, file: str, group: int, first: int, count: int) -> None:
+        self.file, self.group, self.first, self.count = file, group, first, count
+
+
+class PlannedImages(DataSource):
+    """The images named in a key table: a partition for each run of its rows.
+
+    ``load(path)`` names a Parquet table with ``image_path``; ``rows`` is the number of images
+    a partition has at most. The plan comes from the footers of that table, so no image folder is
+    listed, and only wanted images are opened. Every key is a row: one whose file is missing has
+    neither image nor error, one that cannot be read or decoded says why in ``read_error``.
+    """
+
+    decode: Callable[[bytes], Any] | None = None
+    image_type = "binary"
+
+    @classmethod
+    def name(cls) -> str:
+        return "planned_images"
+
+    def schema(self) -> str:
+        return f"image_path string, image {self.image_type}, read_error string"
+
+    def reader(self, schema: Any) -> DataSourceReader:
+        return _PlannedReader(self.options, type(self).decode)
+
+
+class _PlannedReader(DataSourceReader):
+    def __init__(self, options: dict, decode: Callable[[bytes], Any] | None) -> None:
+        self.path, self.rows = options["path"], int(options.get("rows", "1000"))
+        self.images = FileImages(decode)
+
+    def partitions(self) -> list[_Rows]:
+        files, parts = _Files(), []
+        key, inside = files.locate(self.path)
+        system = files.systems[key]
+        root = "" if not key else key + ("" if inside.startswith("/") else "/")
+        for info in sorted(system.get_file_info(fs.FileSelector(inside, recursive=True)), key=lambda i: i.path):
+            if info.type == fs.FileType.File and info.base_name.endswith(".parquet"):
+                meta = pq.ParquetFile(system.open_input_file(info.path)).metadata
+                for group in range(meta.num_row_groups):
+                    n = meta.row_group(group).num_rows
+                    at = info.path if system.type_name not in ("s3", "gcs", "abfs") else info.path.partition("/")[2]
+                    parts += [_Rows(f"{root}{at}", group, a, min(self.rows, n - a)) for a in range(0, n, self.rows)]
+        return parts
+
+    def read(self, part: _Rows) -> Iterator[tuple]:
+        files = _Files()
+        key, inside = files.locate(part.file)
+        table = pq.ParquetFile(files.systems[key].open_input_file(inside)).read_row_group(part.group, columns=["image_path"])
+        image = self.images.reader()
+        for path in table["image_path"].slice(part.first, part.count).to_pylist():
+            content = error = None
+            try:
+                content = None if path is None else image({"image_path": path})
+            except NoCodec:
+                raise
+            except Exception as failure:  # one bad file must not end the scan
+                error = f"{'read' if isinstance(failure, OSError) else 'decode'}: {failure or type(failure).__name__}"
+            yield path, content if not isinstance(content, dict) else _as_row(content), error
+
+
+def _as_row(image: dict) -> tuple:
+    return tuple(image[name] for name in ("height", "width", "nChannels", "mode", "data"))
+
+
+def planned_images(
+    spark: SparkSession, keys: str, decode: Callable[[bytes], Any] | None = decode_image, rows: int = 1000
+) -> DataFrame:
+    """``image_path``, ``image`` and ``read_error`` of every row of the stored key table ``keys``.
+
+    ``decode`` gives pixels as Spark's image source has them; None leaves the bytes as they are.
+    """
+    kind = "binary" if decode is None else "struct<height:int,width:int,nChannels:int,mode:int,data:binary>"
+    source = type("PlannedImages", (PlannedImages,), {
+        "decode": staticmethod(decode) if decode else None, "image_type": kind,
+    })
+    spark.dataSource.register(source)
+    return spark.read.format("planned_images").option("rows", rows).load(keys)

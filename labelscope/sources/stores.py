@@ -7,8 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.domain import METRICS, RUN
+from labelscope.functions.paths import decoded_path
 from labelscope.operators.compare import comparison
-from labelscope.operators.metrics import filled_matrix
+from labelscope.operators.crop import CROP_KEY
+from labelscope.operators.metrics import added_cells, answer_cells, filled_matrix
+from labelscope.operators.resume import latest_attempts
+from labelscope.session import shared_folder
 
 _NOT_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
@@ -23,7 +27,13 @@ def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def write_parts(df: DataFrame, path: str, parts: list[str]) -> None:
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def write_parts(df: DataFrame, path: str, parts: list[str], rows_a_file: int = 0) -> None:
     """Write the partitions occurring in ``df`` and leave all others alone.
 
     Writing the same partitions again replaces them, so a repeated or restarted
@@ -32,11 +42,13 @@ def write_parts(df: DataFrame, path: str, parts: list[str]) -> None:
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", rows_a_file)
         .partitionBy(*parts)
         .parquet(path)
     )
 
 
+_CROPS_A_FILE = 4000  # some tens of megabytes, which one task reads
 _CROP_COLUMNS = {"cropped_path": "string", "crop_failed": "boolean", "crop_fail_reason": "string"}
 
 
@@ -49,13 +61,16 @@ def _batch(name: str) -> str:
 
 
 def write_results(results: DataFrame, path: str, batch: str) -> None:
-    """Add scored rows to the store, by model, context and batch.
+    """Add scored rows to the store, by model, context, attempt and batch.
 
-    Full-image rows get the crop columns too, empty, so that all files agree.
+    Full-image rows get the crop columns too, empty, so that all files agree. Rows without an
+    ``attempt`` are first ones.
     """
     empty = {name: kind for name, kind in _CROP_COLUMNS.items() if name not in results.columns}
     results = results.withColumns({n: F.lit(None).cast(kind) for n, kind in empty.items()})
-    write_parts(results.withColumn("batch", F.lit(_batch(batch))), path, [*RUN, "batch"])
+    if "attempt" not in results.columns:
+        results = results.withColumn("attempt", F.lit(1))
+    write_parts(results.withColumn("batch", F.lit(_batch(batch))), path, [*RUN, "attempt", "batch"])
 
 
 def read_results(
@@ -64,8 +79,12 @@ def read_results(
     model_key: str | None = None,
     context: str | None = None,
     without_batch: str | None = None,
+    all_attempts: bool = False,
 ) -> DataFrame | None:
-    """Stored results, of one model or context if named; only their files are read."""
+    """Stored results, of one model or context if named; only their files are read.
+
+    A row scored several times counts once, with its latest attempt, unless ``all_attempts``.
+    """
     stored = read_if_present(spark, path)
     if stored is None:
         return None
@@ -75,7 +94,36 @@ def read_results(
         stored = stored.where(F.col("context") == context)
     if without_batch is not None:
         stored = stored.where(F.col("batch") != _batch(without_batch))
-    return stored
+    if all_attempts or stored.where("attempt > 1").isEmpty():  # a look at the partitions
+        return stored
+    return latest_attempts(stored)
+
+
+def compact_results(spark: SparkSession, path: str) -> int:
+    """Drop attempts that later ones replace; returns how many rows went.
+
+    Only partitions that lose rows are written again, from a copy in the shared folder; a
+    partition that loses all is removed. Not to be run beside a job that writes the store.
+    """
+    every = spark.read.parquet(path)
+    part = [*RUN, "attempt", "batch"]
+    counted = every.groupBy(*part).agg(F.count("*").alias("n"))
+    kept = latest_attempts(every)
+    changed = (
+        counted.join(kept.groupBy(*part).agg(F.count("*").alias("kept")), part, "left")
+        .withColumn("kept", F.coalesce("kept", F.lit(0))).where("kept < n").collect()  # partitions, not rows
+    )
+    if not changed:
+        return 0
+    names = spark.createDataFrame([tuple(r[c] for c in part) for r in changed], every.select(*part).schema)
+    copy = shared_folder(spark, "compacted")
+    kept.join(F.broadcast(names), part, "left_semi").write.parquet(copy)
+    write_parts(spark.read.schema(every.schema).parquet(copy), path, part)
+    for row in changed:
+        if not row["kept"]:
+            removed(spark, f"{path}/" + "/".join(f"{c}={row[c]}" for c in part))
+    removed(spark, copy)
+    return sum(r["n"] - r["kept"] for r in changed)
 
 
 # --- crops ------------------------------------------------------------------
@@ -85,7 +133,17 @@ def write_crops(cuts: DataFrame, path: str, batch: str) -> None:
     """Add crops to the store; failures go to a partition of their own."""
     outcome = F.when(F.col("crop_fail_reason").isNull(), "cut").otherwise("failed")
     labelled = cuts.withColumns({"outcome": outcome, "batch": F.lit(_batch(batch))})
-    write_parts(labelled, path, ["outcome", "batch"])
+    write_parts(labelled, path, ["outcome", "batch"], rows_a_file=_CROPS_A_FILE)
+
+
+def crop_places(spark: SparkSession, path: str) -> DataFrame | None:
+    """Where each stored crop lies: its key, the file and the row; no pixels are read."""
+    stored = read_crops(spark, path)
+    if stored is None:
+        return None
+    return stored.select(
+        *CROP_KEY, decoded_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("at")
+    )
 
 
 def read_crops(spark: SparkSession, path: str, without_batch: str | None = None) -> DataFrame | None:
@@ -105,6 +163,32 @@ def read_outcomes(spark: SparkSession, path: str, batch: str) -> DataFrame:
     return spark.read.parquet(path).where((F.col("outcome") == "cut") | mine)
 
 
+# --- counts by batch --------------------------------------------------------
+
+
+def write_batch_cells(
+    spark: SparkSession, path: str, results: DataFrame, requested: DataFrame, batch: str
+) -> None:
+    """Answer counts of the batches in ``results`` that have none yet, and of ``batch`` anew.
+
+    Partitions of both tables are compared; only files of batches to be counted are read. Each batch
+    gets a row for every requested run, so counting one again leaves nothing of before.
+    """
+    counted = read_if_present(spark, path)
+    todo = results.select("batch").distinct()
+    if counted is not None:
+        known = counted.select("batch").distinct().where(F.col("batch") != _batch(batch))
+        todo = todo.join(known, "batch", "left_anti")
+    names = sorted({r["batch"] for r in todo.collect()} | {_batch(batch)})  # one a run of a job or a stream's batch
+    cells = answer_cells(results.where(F.col("batch").isin(names)), requested, by=("batch",), groups=names)
+    write_parts(cells, path, [*RUN, "batch"])
+
+
+def read_cells(spark: SparkSession, path: str, requested: DataFrame) -> DataFrame:
+    """The counts of every requested run, added up over its batches."""
+    return added_cells(spark.read.parquet(path).join(requested, RUN, "left_semi"), requested)
+
+
 # --- metrics and reports ----------------------------------------------------
 
 
