@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from labelscope.llm.common import Batches, by_slices, dropped, stored
 
 LENGTH = 400
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BUCKET_KEYS = 1 << 20
 _MOST_STARTS = 1 << 20  # of a piece
 _LETTERS = 10  # in LENGTH; what is left over goes with the last
@@ -61,16 +61,19 @@ class Windows:
 
     def __init__(self, data: np.ndarray) -> None:
         cls = type(self)
-        while len(cls.powers) <= len(data):
-            step = pow(cls.base, len(cls.powers), 1 << 64)
+        while (known := len(cls.powers)) < len(data):
+            more = min(known, len(data) - known)
+            step = pow(cls.base, known, 1 << 64)
             back = pow(step, -1, 1 << 64)
-            cls.powers = np.concatenate([cls.powers, cls.powers * np.uint64(step)])
-            cls.inverses = np.concatenate([cls.inverses, cls.inverses * np.uint64(back)])
+            cls.powers = np.append(cls.powers, cls.powers[:more] * np.uint64(step))
+            cls.inverses = np.append(cls.inverses, cls.inverses[:more] * np.uint64(back))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         values = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         np.cumsum(values * cls.powers[: len(data)], out=self.sums[1:])
 
     def prints(self, at: np.ndarray, size: int) -> np.ndarray:
+        if not size:
+            return np.zeros(len(at), np.uint64)
         return mixed((self.sums[at + size] - self.sums[at]) * self.inverses[at])
 
 
@@ -194,11 +197,11 @@ class Block:
     def __init__(self, data: bytes, sizes: list[int], copies: list[int], length: int) -> None:
         self.length, self.letter = length, length // _LETTERS
         self.data = np.frombuffer(data, np.uint8)
-        sizes = np.array(sizes, np.int64)
-        ends, n = np.cumsum(sizes), np.arange(len(data))
+        sizes = np.array(sizes, np.int32)
+        ends, n = np.cumsum(sizes, dtype=np.int32), np.arange(len(data), dtype=np.int32)
         self.left = np.repeat(ends, sizes) - n
         self.many = np.repeat(np.array(copies) > 1, sizes)
-        self.residue = (n - np.repeat(ends - sizes, sizes)) // self.letter % 3
+        self.residue = ((n - np.repeat(ends - sizes, sizes)) // np.int32(self.letter) % np.int32(3)).astype(np.int8)
         self.windows = Windows(self.data)
         self.names = []
 
