@@ -15,8 +15,8 @@ property), so prefixes are compared as the letters before the shift, the names f
 letters left over, and stand next to each other where they are equal.
 
 How it is spread. A block sends each distinct key once, with a mark if it has it twice, to the bucket
-of the key's range; the bucket sorts, and answers every block in the order it was asked: ranks while
-naming, "repeated" bits in the merge. So a string in a third of all texts is one key a block, however
+of the key's range; the bucket sorts, and answers every block in the order it was asked: which keys
+are repeated, and while naming their ranks. Triples that are not are asked about no further. So a string in a third of all texts is one key a block, however
 many texts there are. Keys are 64-bit fingerprints of letters and names, so their order is not that of
 the bytes; only equality counts here, and texts that differ would have to collide in one name and agree
 in all others.
@@ -214,6 +214,7 @@ class Block:
             at = self.sampled(3)
             return at, self.windows.prints(at, 3 * self.letter)
         at, names, step = self.sampled(9), self.names[-1], 3 * self.letter
+        at = at[(names[at] > 0) & (names[at + step] > 0) & (names[at + 2 * step] > 0)]
         return at, mixed(names[at], names[at + step], names[at + 2 * step])
 
     def prefixes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -227,6 +228,9 @@ class Block:
             return np.flatnonzero(starts & ((self.residue == residues[0]) | (self.residue == residues[1])))
 
         at, both, last = (places(r) for r in ((1, 2), (0, 1), (0, 2)))
+        # A prefix with a name that only it has is not repeated.
+        at, both = at[long[at] > 0], both[long[both + one] > 0]
+        last = last[(short[last + 2 * one] > 0) & (short[last + 5 * one] > 0)]
         by_none = mixed(np.zeros(len(at), np.uint64), long[at], prints(at + 9 * one, one + rest))
         by_one = mixed(np.full(len(both), 1, np.uint64), prints(both, one), long[both + one], prints(both + 10 * one, rest))
         by_two = mixed(
@@ -255,12 +259,16 @@ def _distinct(keys: np.ndarray, buckets: int):
 
 
 def _named(block: Block, replies: list[list[dict]], buckets: int) -> None:
-    """Go through the steps of the sort that are answered."""
+    """Go through the steps of the sort that are answered; a triple that occurs once is named 0."""
     for reply in replies:
         at, keys = block.triples()
-        _, inverse, of, _ = _distinct(keys, buckets)
-        ranks = [np.cumsum(np.frombuffer(r["reply"], np.uint32), dtype=np.uint64) for r in reply]
-        names = (of << np.uint64(_RANK_BITS)) | np.concatenate([*ranks, np.zeros(0, np.uint64)])
+        asked, inverse, of, cuts = _distinct(keys, buckets)
+        names = np.zeros(len(asked), np.uint64)
+        for r, a, b in zip(reply or [], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            bits = (b - a + 7) // 8
+            again = np.unpackbits(np.frombuffer(r["reply"], np.uint8, bits), count=b - a).astype(bool)
+            ranks = np.cumsum(np.frombuffer(r["reply"], np.uint32, offset=bits), dtype=np.uint64)
+            names[a:b][again] = ((of[a:b][again] << np.uint64(_RANK_BITS)) | ranks) + np.uint64(1)
         block.take(at, names[inverse])
 
 
@@ -274,7 +282,7 @@ def _ask(step: int, buckets: int, length: int):
                 _named(block, [r.as_py() for r in replies], buckets)
                 at, keys = block.triples() if step < 2 else block.prefixes()
                 asked, inverse, of, cuts = _distinct(keys, buckets)
-                many = np.bincount(inverse, 1 + block.many[at], len(asked)) > 1 if step == 2 else np.zeros(0, bool)
+                many = np.bincount(inverse, 1 + block.many[at], len(asked)) > 1
                 parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -295,15 +303,17 @@ def _answer(step: int):
         asked = [np.frombuffer(x, np.uint64) for x in table["asked"].to_pylist()]
         keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
         stops = np.cumsum([len(x) for x in asked]).tolist()
-        if step == 2:
-            many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)) for m, x in zip(table["many"].to_pylist(), asked, strict=True)]
-            again = np.bincount(inverse, 1 + np.concatenate(many), len(keys)) > 1
-            replies = [np.packbits(again[inverse[b - len(x):b]]) for x, b in zip(asked, stops, strict=True)]
-        else:
-            # Ranks rise with the keys: their steps take little room.
-            replies = [np.diff(inverse[b - len(x):b], prepend=0).astype(np.uint32) for x, b in zip(asked, stops, strict=True)]
+        many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)) for m, x in zip(table["many"].to_pylist(), asked, strict=True)]
+        again = np.bincount(inverse, 1 + np.concatenate(many), len(keys)) > 1
+        replies = []
+        for x, stop in zip(asked, stops, strict=True):
+            ranks = inverse[stop - len(x):stop]
+            told = np.packbits(again[ranks]).tobytes()
+            if step < 2:  # ranks rise with the keys: their steps take little room
+                told += np.diff(ranks[again[ranks]], prepend=0).astype(np.uint32).tobytes()
+            replies.append(told)
         return pa.Table.from_arrays(
-            [table["bid"].combine_chunks(), table["bucket"].combine_chunks(), pa.array([r.tobytes() for r in replies], pa.binary())],
+            [table["bid"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(replies, pa.binary())],
             ["bid", "bucket", "reply"],
         )
 
