@@ -45,6 +45,7 @@ MAX_IMAGE_SIDE = 512
 SAMPLE_SEED = 42
 CASES_SHOWN = 6
 INVALID_BOX = "invalid_bbox"
+NO_ANSWERS = "No valid predictions."
 DEFAULT_EXTENSION = ".jpg"
 
 METRICS = [

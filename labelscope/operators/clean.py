@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from labelscope.domain import BOX, CLASSES
@@ -53,8 +53,8 @@ def _files(images: DataFrame) -> DataFrame:
 
 
 def hot_images(raw: DataFrame, root: str = "") -> DataFrame:
-    """Hot image files of an annotation table, for the joins on image_path."""
-    return hot_hashes(_prepared(raw, root), ["image_key"])
+    """Hot image files of an annotation table, for the joins on image_path; only paths are read."""
+    return hot_hashes(with_image_key(resolved_paths(raw, root)), ["image_key"])
 
 
 def clean_annotations(
@@ -74,6 +74,44 @@ def clean_annotations(
     """
     known = _prepared(raw, root).where(F.col("label").isin(CLASSES))
     kept = lookup_join(known, _files(images), ["image_key"], "left_semi", hot)
+    return _boxed(raw, kept, missing_box)
+
+
+def cleaned_and_counted(
+    raw: DataFrame,
+    images: DataFrame,
+    counts: Observation,
+    root: str = "",
+    missing_box: str = "raise",
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """``clean_annotations``, with the counts of ``load_audit`` observed by the job that uses the rows.
+
+    ``counts`` has raw_rows, missing_images, unknown_labels and usable_rows once a job over the
+    whole result is done.
+    """
+    flags = _flagged(raw, images, root, hot)
+    seen = flags.observe(counts, *_load_counts())
+    return _boxed(raw, seen.where("_found AND _known"), missing_box)
+
+
+def _flagged(raw: DataFrame, images: DataFrame, root: str, hot: DataFrame | None) -> DataFrame:
+    listed = _files(images).distinct().withColumn("_found", F.lit(True))
+    return lookup_join(_prepared(raw, root), listed, ["image_key"], hot=hot).withColumns({
+        "_found": F.col("_found").isNotNull(), "_known": F.coalesce(F.col("label").isin(CLASSES), F.lit(False)),
+    })
+
+
+def _load_counts() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("raw_rows"),
+        F.count_if(~F.col("_found")).alias("missing_images"),
+        F.count_if(F.col("_found") & ~F.col("_known")).alias("unknown_labels"),
+        F.count_if(F.col("_found") & F.col("_known")).alias("usable_rows"),
+    ]
+
+
+def _boxed(raw: DataFrame, kept: DataFrame, missing_box: str) -> DataFrame:
     boxed = kept.withColumns({
         name: whole_number(name, missing_box) if name in raw.columns else F.expr("0L")
         for name in BOX
@@ -90,18 +128,9 @@ def load_audit(
 ) -> DataFrame:
     """One row of counts: raw, missing image, unknown label, usable, subset."""
     check_sample_size(sample)
-    listed = _files(images).distinct().withColumn("found", F.lit(True))
-    flags = lookup_join(_prepared(raw, root), listed, ["image_key"], hot=hot).select(
-        F.col("found").isNotNull().alias("found"), F.col("label").isin(CLASSES).alias("known")
-    )
-    usable = F.count_if(F.col("found") & F.col("known"))
-    return flags.agg(
-        F.count("*").alias("raw_rows"),
-        F.count_if(~F.col("found")).alias("missing_images"),
-        F.count_if(F.col("found") & ~F.col("known")).alias("unknown_labels"),
-        usable.alias("usable_rows"),
-        (usable if sample is None else F.least(usable, F.lit(sample))).alias("subset_rows"),
-    )
+    counted = _flagged(raw, images, root, hot).agg(*_load_counts())
+    subset = F.col("usable_rows") if sample is None else F.least("usable_rows", F.lit(sample))
+    return counted.withColumn("subset_rows", subset)
 
 
 def check_sample_size(n: int | None) -> None:

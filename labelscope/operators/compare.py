@@ -5,6 +5,8 @@ The tables here have a few rows per model; they are put in order within one task
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from labelscope.domain import BOX, CASES_SHOWN, FACE, FULL, TASK_NAMES, class_ar
 from labelscope.operators.joins import lookup_join
 from labelscope.operators.resume import PERSON_KEY
 
+_WINDOW_ROWS = 1000  # up to here a window passes on only the rows it needs
+_RANGES = 4096
 _ORDER = ("row_id", "image_path")  # input order; the path settles rows of several inputs
 
 
@@ -118,9 +122,12 @@ def with_kind(pairs: DataFrame) -> DataFrame:
 def _first(df: DataFrame, n: int, *order: str) -> DataFrame:
     """First ``n`` rows per model, ranked, for any ``n``.
 
-    Rows are dealt over slices first; a slice passes on its own first ``n``, and only these
-    meet in the slice-free ranking: ``n`` rows a slice and model at most.
+    Up to ``_WINDOW_ROWS`` rows are ranked by a window: rows are dealt over slices first; a slice
+    passes on its own first ``n``, and only these meet in the slice-free ranking. Longer lists are
+    cut and ranked by counted ranges.
     """
+    if n > _WINDOW_ROWS:
+        return _first_by_ranges(df, n, order)
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
     inside = Window.partitionBy("model_key", "_slice").orderBy(*order)
@@ -129,6 +136,67 @@ def _first(df: DataFrame, n: int, *order: str) -> DataFrame:
     return few.drop("_slice").withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
 
 
+def _first_by_ranges(df: DataFrame, n: int, order: Sequence[str], in_a_range: int = 10_000) -> DataFrame:
+    """First ``n`` rows per model by a whole-number ``order[0]`` and then the rest, ranked.
+
+    The numbers of each model are cut into equal ranges, which are counted; those that hold more
+    than ``in_a_range`` rows (more for very long lists) and may matter are cut again. A row's rank is
+    the count of the ranges before its own and its place inside, so a task sorts ranges, never a
+    model. The driver sees ``_RANGES`` counts a model and cut range. Reads ``df`` three times or more.
+    """
+    spark, at, most = df.sparkSession, F.col(order[0]), max(in_a_range, n // _RANGES)
+    found = df.groupBy("model_key").agg(F.min(at).alias("low"), F.max(at).alias("high")).collect()  # a row a model
+    ends = {r["model_key"]: (int(r["low"]), int(r["high"]) + 1) for r in found if r["low"] is not None}
+    done: dict[str, list[tuple[int, int, int, int]]] = {m: [] for m in ends}  # low, until, level, rows
+    widths: dict[str, list[int]] = {m: [] for m in ends}  # by level
+    cut, level = [(m, low, until) for m, (low, until) in ends.items()], 0
+    while cut:
+        for m in {m for m, *_ in cut}:
+            widths[m].append(max(1, -(-max(u - a for of, a, u in cut if of == m) // _RANGES)))
+        rows = [(m, low, until, widths[m][level]) for m, low, until in cut]
+        table = spark.createDataFrame(rows, "model_key string, low bigint, until bigint, width bigint")
+        held = df.join(F.broadcast(table), "model_key").where((at >= F.col("low")) & (at < F.col("until")))
+        begin = F.col("low") + F.floor((at - F.col("low")) / F.col("width")) * F.col("width")
+        ranges = held.groupBy("model_key", "until", "width", begin.cast("bigint").alias("begin")).agg(F.count("*").alias("n"))
+        for r in ranges.collect():
+            done[r["model_key"]].append((r["begin"], min(r["until"], r["begin"] + r["width"]), level, r["n"]))
+        cut = []
+        for m, parts in done.items():
+            reached, kept = 0, []
+            for low, until, of, count in sorted(parts):
+                again = reached < n and count > most and until - low > 1 and of == level
+                cut += [(m, low, until)] if again else []
+                kept += [] if again else [(low, until, of, count)]
+                reached += count
+            done[m] = kept
+        level += 1
+    ranked = []
+    for m, parts in done.items():
+        reached = 0
+        for low, _, of, count in sorted(parts):
+            if reached < n:
+                ranked.append((m, of, low, reached))
+            reached += count
+    if not ranked:
+        return df.where("false").withColumn("rank", F.lit(0))
+    before = spark.createDataFrame(ranked, "model_key string, _level int, _low bigint, _before bigint")
+    starts = spark.createDataFrame(
+        [(m, low, widths[m] + [1] * (level - len(widths[m]))) for m, (low, _) in ends.items()],
+        "model_key string, _least bigint, _widths array<bigint>",
+    )
+    # On each level a row has one range that it would be in; one of them was kept.
+    def next_low(lows: Column, width: Column) -> Column:
+        low = F.element_at(lows, -1)
+        return F.concat(lows, F.array(low + F.floor((at - low) / width).cast("bigint") * width))
+
+    lows = F.slice(F.aggregate("_widths", F.array("_least"), next_low), 2, level)
+    spread = df.join(F.broadcast(starts), "model_key").select(*df.columns, F.posexplode(lows).alias("_level", "_low"))
+    inside = Window.partitionBy("model_key", "_level", "_low").orderBy(*order)
+    chosen = spread.join(F.broadcast(before), ["model_key", "_level", "_low"])
+    rank = (F.col("_before") + F.row_number().over(inside)).cast("int")
+    return chosen.withColumn("rank", rank).where(F.col("rank") <= n).select(*df.columns, "rank")
+
+
 def context_helped(pairs: DataFrame, n: int = CASES_SHOWN) -> DataFrame:
     """First ``n`` pairs per model where the full image is right and the face wrong."""
     return _first(pairs.where(_hit("full") & ~_hit("face")), n, *_ORDER)

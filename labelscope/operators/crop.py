@@ -7,7 +7,7 @@ from typing import TYPE_CHECKING, Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from labelscope.domain import BOX, INVALID_BOX, UNREADABLE
@@ -100,10 +100,23 @@ def crop_failures(plan: DataFrame) -> DataFrame:
 
 def crop_audit(plan: DataFrame) -> DataFrame:
     """Counts of good and failed crops, by reason; clamp messages count as one."""
-    reason = F.when(F.startswith("crop_fail_reason", F.lit("Bbox clamped")), "clamped_empty").otherwise(
+    return plan.groupBy(_outcome().alias("outcome")).agg(F.count("*").alias("n_rows"))
+
+
+def _outcome() -> Column:
+    return F.when(F.startswith("crop_fail_reason", F.lit("Bbox clamped")), "clamped_empty").otherwise(
         F.coalesce("crop_fail_reason", F.lit("ok"))
     )
-    return plan.groupBy(reason.alias("outcome")).agg(F.count("*").alias("n_rows"))
+
+
+def counted_outcomes(plan: DataFrame, counts: Observation) -> DataFrame:
+    """``plan`` as it is; ``counts`` has its audit once a job over all of it is done.
+
+    Reasons that begin alike are one outcome: ``read`` stands for every failed read.
+    """
+    known = {"ok": "ok", "invalid_bbox": INVALID_BOX, "clamped_empty": "clamped_empty", "unreadable": UNREADABLE}
+    each = [F.count_if(_outcome() == value).alias(name) for name, value in known.items()]
+    return plan.observe(counts, *each, F.count_if(F.startswith(_outcome(), F.lit("read: "))).alias("read"))
 
 
 # --- pixels ------------------------------------------------------------------

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.domain import CLASSES, METRICS, RUN, UNKNOWN, class_array, class_index
+from labelscope.domain import CLASSES, METRICS, NO_ANSWERS, RUN, UNKNOWN, class_array, class_index
 
 _SIZE = len(CLASSES)
 
@@ -170,6 +170,16 @@ def class_report(cells: DataFrame) -> DataFrame:
     )
 
 
+def run_notes(cells: DataFrame) -> DataFrame:
+    """Answered and correct rows of every run, and a note on runs without any answer.
+
+    Such a run has zeros in all reports; the note tells them from zeros that were measured.
+    """
+    return cells.select(*RUN, _total("true").alias("answered"), _total("c.same").alias("correct")).withColumn(
+        "note", F.when(F.col("answered") == 0, NO_ANSWERS)
+    )
+
+
 def class_recall(matrix: DataFrame) -> DataFrame:
     """Diagonal over row sum of a stored matrix, per (model, context, class)."""
     return matrix.groupBy(*RUN, F.col("true_idx").alias("idx")).agg(

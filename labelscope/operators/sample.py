@@ -10,7 +10,9 @@ from labelscope.functions.text import file_safe
 from labelscope.operators.clean import check_sample_size
 
 TOP_N_ROWS = 10_000
-_DIGITS = 4  # hex digits settled per counting pass: at most 16**4 counts
+_HASHES = 1 << 60  # what 15 hex digits can say
+_DEVIATIONS = 6
+_CELLS = 4096  # counts the driver sees in a pass
 
 
 def _draw(seed: int) -> Column:
@@ -24,9 +26,11 @@ def sample_rows(
 
     Rows are ordered by a seeded hash of ``row_id``, so the sample does not depend
     on partitioning. Up to ``in_one_task`` rows are taken by a top-n, which ends in one
-    task. A larger ``n`` is cut at the hash of its last row, found by counting hash
-    prefixes: one pass for each four hex digits, at most 16**4 counts at a time, until at
-    most ``in_one_task`` rows share the prefix. Both ways give the same rows.
+    task. A larger ``n`` is cut at the hash of its last row: hashes are spread evenly, so the
+    number of rows tells a bracket for it, a few standard deviations wide, and one pass counts
+    the rows before the bracket and in its ``_CELLS`` cells, which leaves a handful of rows to
+    sort. Should the bracket miss (rows of one id share a hash), it is widened. All ways give the
+    same rows.
     """
     check_sample_size(n)
     if n is None:
@@ -38,28 +42,33 @@ def sample_rows(
 
 
 def _cut_at_rank(drawn: DataFrame, n: int, in_one_task: int) -> DataFrame:
-    prefix, needed = "", n
+    total = drawn.count()
+    if n >= total:
+        return drawn
+    place = F.conv(F.substring("_draw", 1, 15), 16, 10).cast("bigint")
+    middle, spread = n / total, (n * (total - n) / total**3) ** 0.5
+    low, high = (int(_HASHES * min(1.0, max(0.0, middle + side * _DEVIATIONS * spread))) for side in (-1, 1))
     while True:
-        length = len(prefix) + _DIGITS
-        inside = drawn.where(F.startswith(F.col("_draw"), F.lit(prefix)))
-        counts = inside.groupBy(F.substring("_draw", 1, length).alias("p")).count()
-        boundary = None
-        for row in sorted(counts.collect()):  # at most 16**_DIGITS rows
-            if row["count"] > needed:
-                boundary = row
+        width = max(1, -(-(high - low) // _CELLS))
+        cell = F.when(place < low, -1).when(place < high, F.floor((place - low) / F.lit(width)))
+        counts = {r["cell"]: r["n"] for r in drawn.groupBy(cell.cast("bigint").alias("cell")).agg(F.count("*").alias("n")).collect()}
+        needed, edge = n - counts.get(-1, 0), None
+        for at in sorted(c for c in counts if c is not None and c >= 0):
+            if needed <= counts[at]:
+                edge = at
                 break
-            needed -= row["count"]
-        if boundary is None:
-            return drawn if not prefix else _up_to(drawn, prefix)
-        prefix = boundary["p"]
-        if boundary["count"] <= in_one_task or length >= 32:
-            below = drawn.where(F.substring("_draw", 1, length) < prefix)
-            edge = drawn.where(F.startswith(F.col("_draw"), F.lit(prefix)))
-            return below.unionByName(edge.orderBy("_draw", "row_id").limit(needed))
-
-
-def _up_to(drawn: DataFrame, prefix: str) -> DataFrame:
-    return drawn.where(F.substring("_draw", 1, len(prefix)) <= prefix)
+            needed -= counts[at]
+        if n <= counts.get(-1, 0):
+            low, high = 0, low
+        elif edge is None:
+            low, high = high, _HASHES
+        elif counts[edge] > in_one_task and width > 1:
+            low, high = low + edge * width, min(high, low + (edge + 1) * width)
+        else:
+            break
+    start = low + edge * width
+    inside = drawn.where((place >= start) & (place < start + width))
+    return drawn.where(place < start).unionByName(inside.orderBy("_draw", "row_id").limit(needed))
 
 
 def first_per_label(results: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ arithmetic, so the same frames can be written in any SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.domain import BOX, CLASSES, FACE, FULL
+from labelscope.domain import CLASSES, FACE, FULL
 from labelscope.functions.text import with_parsed_label
 from labelscope.operators.clean import clean_annotations
 from labelscope.operators.crop import crop_plan
@@ -88,24 +90,28 @@ def image_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("no").agg(whole.alias("image")).selectExpr(_LISTED, "image")
 
 
-def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels per image file at a twentieth of its size: byte i is (i + number) mod 256."""
-    sized = _events(spark, sf_dir).select("no").distinct().selectExpr(
-        "no", _LISTED, "cast(16 + 4 * (no % 5) AS int) AS width", "cast(12 + 3 * (no % 4) AS int) AS height"
-    )
-    ramp = "".join(f"{byte:02X}" for byte in range(256))
-    hexes = f"substring(repeat('{ramp}', 10), cast(2 * (no % 256) + 1 AS int), 2 * width * height * 3)"
-    data = f"unhex({hexes})"
-    return sized.selectExpr(
-        "image_path",
-        f"""named_struct('height', height, 'width', width, 'nChannels', 3, 'mode', 16, 'data', {data})
-            AS image""",
-    )
+class RampImages:
+    """Pixels of an image file at its listed size: byte i is (i + number) mod 256.
+
+    The files do not exist; a task makes the pixels of an image when it opens it.
+    """
 
+    def placed(self, keys: DataFrame, tasks: int | None = None) -> DataFrame:
+        return keys.repartition(tasks) if tasks else keys
 
-def small_boxes(rows: DataFrame) -> DataFrame:
-    """Annotations with their boxes at a twentieth of the size, to match ``pictures``."""
-    return rows.withColumns({c: F.expr(f"cast({c} / 20 AS bigint)") for c in BOX})
+    def reader(self) -> Callable[[dict], dict]:
+        ramp = bytes(range(256)) * 4000  # longer than any image
+
+        def image(row: dict) -> dict:
+            no = int(row["image_key"].rsplit("/", 1)[1].split(".")[0])
+            width, height = 320 + 80 * (no % 5), 240 + 60 * (no % 4)
+            start = no % 256
+            return {
+                "height": height, "width": width, "nChannels": 3, "mode": 16,
+                "data": ramp[start:start + height * width * 3],
+            }
+
+        return image
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,10 +162,39 @@ class PropsPredictor(Predictor):
 
 
 class FirstByte(Predictor):
-    """Answers from the first byte of a crop's pixels."""
+    """Answers from the first byte of an image's pixels."""
+
+    def __init__(self, shift: int = 0) -> None:
+        self.shift = shift
 
     def load(self) -> None:
         self.names = CLASSES
 
     def predict(self, image: dict, prompt: str) -> str:
-        return f"I see {self.names[image['data'][0] % 26]}"
+        return f"I see {self.names[(image['data'][0] + self.shift) % 26]}"
+
+
+class PropsImages:
+    """The texts of ``image_contents`` looked up in a table, some of them unreadable at first.
+
+    ``failing`` is a remainder of the image's number by 11, -1 for none.
+    """
+
+    def __init__(self, contents: DataFrame, failing: int = -1) -> None:
+        self.contents, self.failing = contents, failing
+
+    def placed(self, keys: DataFrame, tasks: int | None = None) -> DataFrame:
+        return keys.join(self.contents.withColumnRenamed("image_path", "image_key"), "image_key")
+
+    def reader(self) -> Callable[[dict], str]:
+        failing = self.failing
+
+        def image(row: dict) -> str:
+            if int(row["image_key"].rsplit("/", 1)[1].split(".")[0]) % 11 == failing:
+                raise OSError("throttled")
+            return row["image"]
+
+        return image
+
+    def __getstate__(self) -> dict:
+        return {"failing": self.failing, "contents": None}  # tasks only read

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,10 @@ from labelscope.operators.joins import hot_hashes
 from labelscope.plans import fixtures as fx
 from labelscope.session import shared_folder
 from labelscope.sources.annotations import read_annotations
+from labelscope.sources.images import StoredImages
 from labelscope.sources.stores import (
-    read_crops, read_metrics, read_results, write_crops, write_metrics, write_results,
+    compact_results, crop_places, read_cells, read_crops, read_metrics, read_results,
+    write_batch_cells, write_crops, write_metrics, write_results,
 )
 from labelscope.streaming.incremental import score_stream
 
@@ -49,7 +52,7 @@ _EARLIER = "event_type IN ('view', 'click')"
 @_query
 def clean_annotations(spark: SparkSession, sf: str) -> DataFrame:
     raw = fx.spelled(fx.raw_annotations(spark, sf))
-    rows = clean.clean_annotations(raw, fx.images(spark, sf), fx.ROOT, hot=_hot(spark, sf))
+    rows = clean.clean_annotations(raw, fx.images(spark, sf), fx.ROOT)
     return rows.select("row_id", "image_path", "image_key", "label", *BOX, "event_type")
 
 
@@ -139,27 +142,26 @@ def crop_cache(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def cut_pixels(spark: SparkSession, sf: str) -> DataFrame:
     """Pixels of every distinct box, as a digest, or the reason there are none."""
-    boxes = fx.small_boxes(fx.annotations(spark, sf))
-    return crop.cut_crops(boxes, fx.pictures(spark, sf), fx.CROP_ROOT).select(
+    return crop.cut_opened(fx.annotations(spark, sf), fx.RampImages(), fx.CROP_ROOT).select(
         "image_path", *BOX, "crop_fail_reason", "image.width", "image.height",
         F.expr("md5(hex(image.data))").alias("digest"),
     )
 
 
-def _crop_store(spark: SparkSession, sf: str) -> DataFrame:
+def _crop_store(spark: SparkSession, sf: str) -> str:
     """Crops cut in two runs: the second finds those of the first in the store."""
     folder = f"{shared_folder(spark, 'crops')}/crops"
-    boxes, pictures = fx.small_boxes(fx.annotations(spark, sf)), fx.pictures(spark, sf)
-    write_crops(crop.cut_crops(boxes.where(_EARLIER), pictures, fx.CROP_ROOT), folder, "first")
+    boxes, images = fx.annotations(spark, sf), fx.RampImages()
+    write_crops(crop.cut_opened(boxes.where(_EARLIER), images, fx.CROP_ROOT), folder, "first")
     done = read_crops(spark, folder)
-    write_crops(crop.cut_crops(boxes, pictures, fx.CROP_ROOT, done), folder, "second")
-    return read_crops(spark, folder)
+    write_crops(crop.cut_opened(boxes, images, fx.CROP_ROOT, done), folder, "second")
+    return folder
 
 
 @_query
 def crop_store(spark: SparkSession, sf: str) -> DataFrame:
     """Every crop is stored once, whichever run has cut it."""
-    return _crop_store(spark, sf).select(
+    return read_crops(spark, _crop_store(spark, sf)).select(
         "image_path", *BOX, "image.width", "image.height", F.expr("md5(hex(image.data))").alias("digest"),
         F.regexp_extract("cropped_path", "(crop_[0-9a-f]+)", 1).alias("stem"),
     )
@@ -167,12 +169,24 @@ def crop_store(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def face_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored crop pixels scored by box, for every annotation."""
-    rows = fx.small_boxes(fx.annotations(spark, sf))
-    scored = score.score(rows, _crop_store(spark, sf), fx.FirstByte, FACE, crop.CROP_KEY)
+    """Stored crop pixels scored by box, for every annotation, read where they are stored."""
+    rows = resume.outstanding(fx.annotations(spark, sf), None, ["qwen"])
+    crops = StoredImages(crop_places(spark, _crop_store(spark, sf)))
+    scored = score.score_models(rows, crops, {"qwen": fx.FirstByte}, FACE, crop.CROP_KEY)
     return scored.select("row_id", "image_path", *BOX, "raw_output", "predicted_label")
 
 
+@_query
+def full_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Three models over whole images at their full size, in one pass; each has seen other rows before."""
+    rows = fx.annotations(spark, sf)
+    earlier = fx.results(spark, sf).where(f"context = '{FULL}' AND event_type = 'view' AND model_key <> 'internvl'")
+    needs = resume.outstanding(rows, earlier.withColumn("attempt", F.lit(1)), [m[0] for m in MODELS])
+    factories = {m[0]: partial(fx.FirstByte, i) for i, m in enumerate(MODELS)}
+    scored = score.score_models(needs, fx.RampImages(), factories, FULL)
+    return scored.select("row_id", "model_key", "attempt", "raw_output", "predicted_label", "error")
+
+
 @_query
 def resize_plan(spark: SparkSession, sf: str) -> DataFrame:
     # Stretched so that many sides exceed the limit, with odd ratios.
@@ -310,6 +324,27 @@ def resume_union(spark: SparkSession, sf: str) -> DataFrame:
     return resume.merged_results(_stored(spark, sf).select(columns), new.select(columns))
 
 
+@_query
+def resume_retry(spark: SparkSession, sf: str) -> DataFrame:
+    """Two models, of which some images cannot be read by the first run, some by the second.
+
+    The store keeps every attempt; each row counts once, with its latest.
+    """
+    folder, rows = shared_folder(spark, "retry"), fx.annotations(spark, sf)
+    contents, models = fx.image_contents(spark, sf), ["qwen", "llava"]
+    for name, failing in (("first", 3), ("second", 5), ("third", 7)):
+        stored = read_results(spark, f"{folder}/results", context=FULL)
+        given = rows.where("event_type <> 'click'") if name == "first" else rows
+        needs = resume.outstanding(given, stored, models)
+        images = fx.PropsImages(contents, failing)
+        run = score.score_models(needs, images, dict.fromkeys(models, fx.PropsPredictor), FULL)
+        write_results(run.withColumn("context", F.lit(FULL)), f"{folder}/results", name)
+    compact_results(spark, f"{folder}/results")
+    return read_results(spark, f"{folder}/results").select(
+        "row_id", "model_key", "context", "attempt", "raw_output", "predicted_label", "error"
+    )
+
+
 # --- metrics ----------------------------------------------------------------
 
 
@@ -356,6 +391,26 @@ def class_report(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.class_report(_cells(spark, sf))
 
 
+@_query
+def run_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Which of the requested runs have no answer at all: one has only unusable ones, others no rows."""
+    raw = F.when(F.col("model_key") == "llava", "I cannot tell").otherwise(F.col("raw_output"))
+    results = with_parsed_label(fx.answers(spark, sf).withColumn("raw_output", raw))
+    return metrics.run_notes(metrics.answer_cells(results, runs(spark)))
+
+
+@_query
+def metrics_by_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics from counts kept by batch: three batches, of which the last is counted twice."""
+    folder, results = shared_folder(spark, "batches"), fx.results(spark, sf)
+    asked = runs(spark, [m[0] for m in MODELS])
+    for name, kind in (("views", "view"), ("clicks", "click"), ("rest", None), ("rest", None)):
+        mine = F.col("event_type") == kind if kind else ~F.col("event_type").isin("view", "click")
+        write_results(results.where(mine), f"{folder}/results", name)
+        write_batch_cells(spark, f"{folder}/cells", read_results(spark, f"{folder}/results"), asked, name)
+    return metrics.metrics(read_cells(spark, f"{folder}/cells", asked))
+
+
 @_query
 def metrics_stored(spark: SparkSession, sf: str) -> DataFrame:
     """Results stored, measured from the store, written as JSON and reloaded."""
@@ -411,6 +466,14 @@ def context_hurt(spark: SparkSession, sf: str) -> DataFrame:
     return compare.context_hurt(_pairs(spark, sf))
 
 
+@_query
+def context_helped_long(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 5,000 of each model, cut and ranked by counted ranges."""
+    folder = shared_folder(spark, "pairs")
+    _pairs(spark, sf).write.parquet(folder)
+    return compare.context_helped(spark.read.parquet(folder), 5000)
+
+
 def _by_image(spark: SparkSession, sf: str) -> DataFrame:
     hot = hot_hashes(
         fx.raw_annotations(spark, sf)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.domain import FACE, FULL, SAMPLE_SEED, runs, select_models
@@ -23,7 +23,7 @@ from labelscope.operators.joins import hot_hashes, settled
 from labelscope.operators.score import Images, Predictor, answered, score, score_models
 from labelscope.sources import stores
 from labelscope.sources.annotations import read_annotations
-from labelscope.sources.images import FileImages, StoredImages, existing_images, list_images, read_images
+from labelscope.sources.images import FileImages, StoredImages, existing_images, manifest, read_images
 
 Factories = Mapping[str, Callable[[], Predictor]]
 
@@ -51,30 +51,42 @@ def prepare(
     seed: int = SAMPLE_SEED,
     listing: bool = False,
     missing_box: str = "raise",
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Ingest, clean and sample the annotations; returns the stored table.
 
-    Tasks ask for each annotated file; ``listing=True`` lists the image folder on the
-    driver instead, which suits small folders.
+    Tasks ask for each annotated file; ``listing=True`` lists the image folder in tasks
+    instead, which suits folders with few other files. ``multi_line`` says whether quoted fields of
+    the CSV span lines; by default the file is read once more to see. What the clean rows were
+    left of is counted by the job that writes them, and stored as ``load_audit``.
     """
     image_root = qualified(spark, image_root)
-    read_annotations(spark, csv).write.mode("overwrite").parquet(work.path("raw"))
+    read_annotations(spark, csv, multi_line).write.mode("overwrite").parquet(work.path("raw"))
     raw = spark.read.parquet(work.path("raw"))
     files = (
-        list_images(spark, image_root)
+        manifest(spark, image_root, work.path("manifest"))
         if listing
         else existing_images(clean.resolved_paths(raw, image_root))
     )
-    kept = clean.clean_annotations(
-        raw, files, image_root, missing_box, clean.hot_images(raw, image_root)
+    counts = Observation("load")
+    kept = clean.cleaned_and_counted(
+        raw, files, counts, image_root, missing_box, settled(clean.hot_images(raw, image_root))
     )
     if sample_size is not None:  # the sample may take several passes over clean rows
         kept.write.mode("overwrite").parquet(work.path("clean"))
         kept = sample.sample_rows(spark.read.parquet(work.path("clean")), sample_size, seed)
     kept.write.mode("overwrite").parquet(work.path("annotations"))
+    seen = counts.get
+    seen["subset_rows"] = seen["usable_rows"] if sample_size is None else min(seen["usable_rows"], sample_size)
+    _counted(spark, seen, work.path("load_audit"))
     return spark.read.parquet(work.path("annotations"))
 
 
+def _counted(spark: SparkSession, counts: dict[str, int], path: str) -> None:
+    schema = ", ".join(f"{name} bigint" for name in counts)
+    spark.createDataFrame([tuple(counts.values())], schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def _score_runs(
     spark: SparkSession,
     work: Workspace,
@@ -133,6 +145,7 @@ def _measure(spark: SparkSession, results: DataFrame, requested: DataFrame, work
     cells = stores.read_cells(spark, work.path("cells"), requested)
     stores.write_report(metrics.confusion(cells), work.path("confusion"))
     stores.write_report(metrics.class_report(cells), work.path("report"))
+    stores.write_report(metrics.run_notes(cells), work.path("notes"))
     stores.write_metrics(metrics.metrics(cells), work.path("metrics"))
 
 
@@ -186,7 +199,10 @@ def cut(
         cuts = crop.cut_opened(rows, FileImages(decode), crop_root, done, hot)
     stores.write_crops(cuts, work.path("crops"), batch)
     outcomes = stores.read_outcomes(spark, work.path("crops"), batch)
-    crop.with_crops(rows, outcomes, settled(hot_hashes(rows, crop.CROP_KEY))).write.mode("overwrite").parquet(work.path("cropped"))
+    counts = Observation("crops")
+    outcome = crop.counted_outcomes(crop.with_crops(rows, outcomes, settled(hot_hashes(rows, crop.CROP_KEY))), counts)
+    outcome.write.mode("overwrite").parquet(work.path("cropped"))
+    _counted(spark, counts.get, work.path("crop_audit"))
     cropped = spark.read.parquet(work.path("cropped"))
     stores.write_csv(crop.crop_failures(cropped), work.path("crop_failures"))
     return cropped

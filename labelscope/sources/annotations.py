@@ -50,14 +50,14 @@ def _numbered(table: DataFrame) -> DataFrame:
     """Add ``row_id`` by file, block and place in the block.
 
     Rows of a block follow each other in one task, so their running numbers differ from
-    their places by the block's first. There is one line per block to add up and send out:
-    no more than the driver plans tasks for.
+    their places by the block's first. There is one line per block to add up: no more than the
+    driver plans tasks for. Whether they are sent out is left to their size.
     """
     block = ["_file_path", "_file_block_start"]
     blocks = table.groupBy(*block).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(*block, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")).alias("_start"))
-    joined = table.join(F.broadcast(starts), block)
+    joined = table.join(starts, block)
     return joined.withColumn("row_id", F.col("_start") + F.col("_at") - F.col("_first")).drop(*block, "_at", "_first", "_start")
 
 

@@ -22,13 +22,50 @@ _CONTENT_BYTES = 32 * 2**20  # content handed on at once
 def list_images(spark: SparkSession, root: str) -> DataFrame:
     """Path and length of every file below ``root``; contents are not read.
 
-    The driver lists the folder. For stores too large for that, give the operators a
-    manifest table instead, or ask about the annotated files: ``existing_images``.
+    The driver lists the folder. For stores too large for that, make a ``manifest`` in tasks,
+    or ask about the annotated files: ``existing_images``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select(local_path(F.col("path")).alias("image_path"), "length")
 
 
+def manifest(spark: SparkSession, root: str, folder: str) -> DataFrame:
+    """Path and length of every file below ``root``, listed in tasks, folder by folder.
+
+    Each round lists the folders found by the one before, each in one task, and writes what it
+    finds below ``folder`` (one that all executors share): the driver learns whether there are
+    more folders, no names. Hidden files and folders (``.`` or ``_`` in front) count like any
+    other; a link is what it points at. The result is the table written.
+    """
+    frontier, level, parts = spark.createDataFrame([(root,)], "image_path string"), 0, []
+    while True:
+        found = frontier.repartition("image_path").mapInArrow(_listed, "image_path string, length bigint, folder boolean")
+        parts.append(f"{folder.rstrip('/')}/level={level}")
+        found.write.mode("overwrite").parquet(parts[-1])
+        entries = spark.read.parquet(parts[-1])
+        frontier, level = entries.where("folder").select("image_path"), level + 1
+        if frontier.isEmpty():
+            return spark.read.parquet(*parts).where("NOT folder").select("image_path", "length")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    files = _Files()
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            key, inside = files.locate(path)
+            system = files.systems[key]
+            infos = system.get_file_info(fs.FileSelector(inside))
+            # Names go back to the caller's spelling: the folder's, and the entry's own.
+            names = [f"{path.rstrip('/')}/{i.base_name}" for i in infos]
+            folders = [i.type == fs.FileType.Directory for i in infos]
+            for first in range(0, len(infos), 10_000):
+                part = slice(first, first + 10_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[part], pa.string()), pa.array([i.size for i in infos[part]], pa.int64()), pa.array(folders[part], pa.bool_())],
+                    ["image_path", "length", "folder"],
+                )
+
+
 class _Files:
     """Plain paths and URIs looked up in the file systems they belong to."""
 
@@ -261,6 +298,8 @@ class _PlannedReader(DataSourceReader):
         return parts
 
     def read(self, part: _Rows) -> Iterator[tuple]:
+        if part is None:  # a table without rows has no partitions
+            return
         files = _Files()
         key, inside = files.locate(part.file)
         table = pq.ParquetFile(files.systems[key].open_input_file(inside)).read_row_group(part.group, columns=["image_path"])
