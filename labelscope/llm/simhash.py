@@ -58,8 +58,10 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > m, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``id_col`` and ``fp`` (signed 64 bits) of every row.
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``id_col``, ``fp`` (signed 64 bits) and the columns in ``keep`` of every row.
 
     Null, empty and blank texts get 0; a text of fewer words than a shingle is one
     shingle; texts of any length count whole. Rows are kept as they are, repeated ones
@@ -68,11 +70,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]]
+        )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(by_slices(convert, "text"), f"id {kind}, fp bigint").withColumnRenamed("id", id_col)
+    kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), *kept)
+    kinds = [f.dataType.simpleString() for f in rows.schema.fields]
+    fields = [f"id {kinds[0]}", "fp bigint", *[f"_keep{i} {kind}" for i, kind in enumerate(kinds[2:])]]
+    return rows.mapInArrow(by_slices(convert, "text"), ", ".join(fields)).toDF(id_col, "fp", *keep)
 
 
 def as_hex(fp: Column) -> Column:
@@ -188,7 +194,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, cell: int = CELL, count: int =
     cells = nodes.select(
         "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(radius)])).alias("mask", "key")
     )
-    sizes = cells.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # Stored, so that the join is one of plain tables and a cell of many fingerprints can be split.
+    sizes = stored(cells.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "cells")
     shared = cells.join(sizes.hint("merge"), ["mask", "key"])
     slices = F.ceil(F.col("n") / F.lit(cell)).cast("int")
     mine = F.pmod(F.xxhash64("fp"), slices).cast("int")
@@ -239,8 +246,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
-    """``id_col``, ``fp`` and ``component_id`` (least id reachable) of every row.
+    """``id_col``, ``fp``, ``component_id`` (least id reachable) and ``component_fp`` of every row.
 
+    ``component_fp`` is a fingerprint of the component, the same for all its rows and for no other;
+    the least id is not, where rows of one id lie in several.
     Rows with fingerprints at most ``radius`` bits apart are linked, and links of links
     count; equal fingerprints, those of empty texts too, are linked like any other.
     Repeated rows are repeated in the result; a null id counts as larger than any, and a
@@ -251,8 +260,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = components(links(nodes.select("fp"), radius))
     members = nodes.join(joined.select(F.col("src").alias("fp"), F.col("dst").alias("root")).hint("merge"), "fp", "left")
     members = members.withColumn("root", F.coalesce("root", "fp"))
-    roots = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Most roots have one member; the others' members are looked up by root.
-    answer = stored(members.join(roots.hint("merge"), "root").select("fp", "component_id"), "members")
+    # Most roots have one member. The members of a large one are many rows of one key: a join of
+    # two plain tables, which can be split.
+    roots = stored(members.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    answer = members.join(roots.hint("merge"), "root").select("fp", "component_id", F.col("root").alias("component_fp"))
+    answer = stored(answer, "members")
     result = lookup_join(prints, answer.hint("merge"), ["fp"], "inner", hot_hashes(prints, ["fp"]), spread=("id",))
-    return result.select(F.col("id").alias(id_col), "fp", "component_id")
+    return result.select(F.col("id").alias(id_col), "fp", "component_id", "component_fp")
+
+
+def deduplicated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS
+) -> DataFrame:
+    """One row of every component of ``near_duplicates``, columns unchanged.
+
+    It has the least id, of several fingerprints of that id the least, and of several rows of that
+    fingerprint the least by all columns in turn (those that can be ordered). So rows of one id with
+    different texts are judged apart: in different components each stays. Rows without an id stay,
+    as no result can name them. An empty table gives none.
+    """
+    found = near_duplicates(docs, id_col, text_col, width, radius).withColumnRenamed(id_col, "id").where("id IS NOT NULL")
+    first = found.where(F.col("id") == F.col("component_id")).groupBy("component_fp", "id").agg(F.min("fp").alias("fp"))
+    rows_of = found.groupBy("id").agg(F.count("*").alias("n"))
+    chosen = stored(first.join(rows_of.hint("merge"), "id").select("id", "fp", "n"), "chosen")
+    # Rows are packed, so that their columns may have any names.
+    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    # Most ids have one row, which is found by the id alone.
+    single = packed.join(chosen.where("n = 1").select("id").hint("merge"), "id", "left_semi").select("row")
+    again = chosen.where("n > 1").select("id", "fp")
+    several = packed.join(again.select("id").distinct().hint("merge"), "id", "left_semi")
+    least = fingerprints(several, "id", "text", width, ("row",)).groupBy("id", "fp").agg(F.min("row").alias("row"))
+    rows = least.join(again.hint("merge"), ["id", "fp"], "left_semi").select("row")
+    return single.unionByName(rows).unionByName(packed.where("id IS NULL").select("row")).select("row.*")
