@@ -37,11 +37,16 @@ def _segment(code: Column, s: int, width: int) -> Column:
 
 
 def _probes(queries: DataFrame, r: int, segments: int, width: int) -> DataFrame:
-    """(segment, value, query): every value exactly r bits from the query's segments."""
-    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda m: F.bit_count(m) == r)  # a constant of the plan
+    """(segment, value, query): every value exactly r bits from the query's segments.
+
+    The masks of r bits are made once, by a job of their own, and are a constant for the rows.
+    """
+    every = queries.sparkSession.range(1 << width).select(F.col("id").cast("int").alias("mask"))
+    masks = every.where(F.bit_count("mask") == r).agg(F.collect_list("mask")).scalar()  # 2**width at most
     own = F.array(*[F.struct(F.lit(s).alias("segment"), _segment(F.col("query"), s, width).alias("own")) for s in range(segments)])
     spread = queries.select("query", F.inline(own))
-    return spread.select("query", "segment", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
+    probes = spread.select("query", "segment", "own", F.explode(masks).alias("mask"))
+    return probes.select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
 
 
 def _found(probes: DataFrame, index: DataFrame, r: int, segments: int, width: int) -> DataFrame:
@@ -93,7 +98,9 @@ def top_k(
     asked = rows.where("wanted").select("id", "code").distinct()
     active, best, nearest = asked.select(F.col("code").alias("query")).distinct(), None, None
     for r in range(width + 1):
-        found = _found(_probes(active, r, segments, width), index, r, segments, width)
+        # A query makes many probes: queries are dealt over tasks before they do.
+        dealt = active.repartition(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query")
+        found = _found(_probes(dealt, r, segments, width), index, r, segments, width)
         rows_found = _best(found, k)
         if best is not None:
             rows_found = _nearest(best.where(~F.col("settled")).drop("settled").unionByName(rows_found), k)
