@@ -7,7 +7,9 @@ first use of a word costs nothing, each further use one more (convex, so nothing
 repeated while something unused fits), up to ``repeats`` uses. Each pattern's flow is
 then drawn as whole documents in a seeded order: all of them as many times as the flow
 covers the pattern fully, and one time more those that fit into the remaining words, one
-after the other in that order (first fit): a document that does not fit is passed over.
+after the other in that order (first fit): a document that does not fit is passed over. A
+pattern of few documents, where that could miss much, is filled by the sum nearest to its words,
+which may be a little more than them.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ from labelscope.llm.common import stored, word_count
 
 MAX_PATTERNS = 100_000
 WEIGHTS = (5, 2, 1)
-_BINS = 1 << 16  # of the seeded order; only documents of one bin a pattern and round are sorted
+_BITS = 8  # of the seeded order that a level of bins tells apart
+_BINS = 1 << _BITS
+FEW_PLACES = 128  # patterns of up to so many places are filled exactly
+FILLED_PLACES = 200_000  # of all such patterns
 _END = 1 << 60
 
 
@@ -137,27 +142,83 @@ def _round(places: DataFrame, open_: DataFrame) -> DataFrame:
     """Per pattern the first place behind ``after`` that does not fit, and the words missing there.
 
     ``open_``: pattern, after, gap. Only places of at most ``gap`` words count, as larger ones
-    fit nowhere behind ``after``. Prefix sums run over bins of the order first, _BINS a
-    pattern at most, then over the places of the one bin where the gap runs out. A pattern
+    fit nowhere behind ``after``. Prefix sums run over ``_BINS`` bins of the order, then over as many
+    parts of the one bin where the gap runs out, then over the places of that part. A pattern
     whose places all fit has no row.
     """
     fit = places.join(F.broadcast(open_), "pattern").where("draw > after AND size <= gap")
-    binned = fit.withColumn("bin", F.shiftright("draw", 60 - 16))
-    sums = binned.groupBy("pattern", "bin", "gap").agg(F.sum("size").alias("words"))
-    until = Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edges = (
-        sums.withColumn("upto", F.sum("words").over(until)).where("upto > gap").groupBy("pattern")
-        .agg(F.min_by(F.struct("bin", (F.col("gap") - F.col("upto") + F.col("words")).alias("left")), "bin").alias("edge"))
-        .select("pattern", F.col("edge.bin").alias("bin"), F.col("edge.left").alias("left"))
-    )
-    inside = Window.partitionBy("pattern").orderBy("draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = binned.join(F.broadcast(edges), ["pattern", "bin"]).withColumn("upto", F.sum("size").over(inside))
+    edges = _edge(fit.withColumn("bin", F.shiftright("draw", 60 - _BITS)), F.col("gap"))
+    for level in (2, 3):
+        inside = fit.drop("gap").join(F.broadcast(edges.withColumnRenamed("bin", "_bin")), "pattern")
+        inside = inside.where(F.shiftright("draw", 60 - _BITS * (level - 1)) == F.col("_bin"))
+        if level == 2:
+            edges = _edge(inside.withColumn("bin", F.shiftright("draw", 60 - _BITS * level)), F.col("left"))
+    order = Window.partitionBy("pattern").orderBy("draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = inside.withColumn("upto", F.sum("size").over(order))
     over = F.col("upto") > F.col("left")
     return summed.groupBy("pattern", "left").agg(
         F.min(F.when(over, F.col("draw"))).alias("after"), F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("upto"),
     ).select("pattern", "after", (F.col("left") - F.col("upto")).alias("gap"))
 
 
+def _edge(binned: DataFrame, room: Column) -> DataFrame:
+    """Per pattern the first bin that exceeds ``room`` words, and the words left in front of it."""
+    sums = binned.groupBy("pattern", "bin", room.alias("room")).agg(F.sum("size").alias("words"))
+    until = Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        sums.withColumn("upto", F.sum("words").over(until)).where("upto > room").groupBy("pattern")
+        .agg(F.min_by(F.struct("bin", (F.col("room") - F.col("upto") + F.col("words")).alias("left")), "bin").alias("edge"))
+        .select("pattern", F.col("edge.bin").alias("bin"), F.col("edge.left").alias("left"))
+    )
+
+
+def exact_fill(sizes: Sequence[int], room: int) -> list[bool]:
+    """Which of the places, given in order, come nearest to ``room`` words, of two as near below it.
+
+    Of equal sums, the one that takes a place early in the order if it can.
+    """
+    reach = [1]  # reach[i]: sums that the last i places can make, as bits
+    mask = (1 << (2 * room + 1)) - 1  # beyond, nothing is nearer than no words
+    for size in reversed(sizes):
+        reach.append((reach[-1] | reach[-1] << size) & mask)
+    below = (reach[-1] & ((1 << (room + 1)) - 1)).bit_length() - 1
+    above = reach[-1] >> (room + 1)
+    next_above = room + (above & -above).bit_length() if above else None  # the lowest bit set
+    left = next_above if next_above is not None and next_above - room < room - below else below
+    taken = []
+    for i, size in enumerate(sizes):
+        rest = reach[len(sizes) - 1 - i]
+        take = size <= left and bool(rest >> (left - size) & 1)
+        taken.append(take)
+        left -= size * take
+    return taken
+
+
+def _filled(places: DataFrame, rests: dict[int, int]) -> tuple[list[tuple[int, int, bool]], set[int]]:
+    """(pattern, draw, taken) of patterns of few places, filled exactly, and which these are.
+
+    There first fit can leave a large part of the words out. Patterns are taken by their number of
+    places as long as no more than ``FEW_PLACES`` each and ``FILLED_PLACES`` in all reach the driver.
+    """
+    spark = places.sparkSession
+    counted = places.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") <= FEW_PLACES).collect()
+    chosen, total = [], 0
+    for r in sorted(counted, key=lambda r: (r["n"], r["pattern"])):
+        if rests.get(r["pattern"], 0) > 0 and total + r["n"] <= FILLED_PLACES:
+            chosen.append(r["pattern"])
+            total += r["n"]
+    if not chosen:
+        return [], set()
+    table = spark.createDataFrame([(p,) for p in chosen], "pattern int")
+    by_pattern: dict[int, list] = {}
+    for r in sorted(places.join(F.broadcast(table), "pattern").select("pattern", "draw", "size").collect()):
+        by_pattern.setdefault(r["pattern"], []).append((r["draw"], r["size"]))
+    out = []
+    for p, of in by_pattern.items():
+        out += [(p, draw, take) for (draw, _), take in zip(of, exact_fill([n for _, n in of], rests[p]), strict=True)]
+    return out, set(chosen)
+
+
 def _spans(places: DataFrame, rests: dict[int, int]) -> list[tuple[int, int, int, int]]:
     """First fit: (pattern, after, until, most), places of which are used once more.
 
@@ -177,22 +238,30 @@ def _spans(places: DataFrame, rests: dict[int, int]) -> list[tuple[int, int, int
 
 @dataclass
 class Mixture:
-    """``patterns``: members, full, spans, apart (a row for each, MAX_PATTERNS at most);
-    ``sources``: source, source_size, target, sent."""
+    """``patterns``: members, full, spans (a row for each, MAX_PATTERNS at most); ``decided``:
+    members, draw and more, for places that the spans do not decide; ``sources``: source,
+    source_size, target, sent."""
 
     patterns: DataFrame
+    decided: DataFrame
     sources: DataFrame
     seed: int
 
     def uses(self, rows: DataFrame, members: Column, id_col: Column, size: Column) -> DataFrame:
-        """``rows`` with ``uses``, how often each is taken; decided row by row, without a shuffle."""
-        limits = self.patterns.select(F.col("members").alias("_members"), F.struct("full", "spans", "apart").alias("_limits"))
-        placed = rows.join(F.broadcast(limits), members == F.col("_members"), "left")
-        draw = _draw(id_col, self.seed)
-        inside = lambda s: (draw > s["after"]) & (draw < s["until"]) & (size <= s["most"])
-        more = (F.exists("_limits.spans", inside) & ~F.array_contains("_limits.apart", draw)).cast("int")
-        uses = F.when(size > 0, F.col("_limits.full") + more).otherwise(0)
-        return placed.withColumn("uses", uses).drop("_members", "_limits")
+        """``rows`` with ``uses``, how often each is taken.
+
+        Most rows are decided by their place and size; the exceptions are looked up by pattern and
+        place, sent out or shuffled as their number asks for.
+        """
+        limits = self.patterns.select(F.col("members").alias("_members"), F.struct("full", "spans").alias("_limits"))
+        placed = rows.withColumns({"_draw": _draw(id_col, self.seed), "_size": size})
+        placed = placed.join(F.broadcast(limits), members == F.col("_members"), "left")
+        decided = self.decided.select(F.col("members").alias("_of"), F.col("draw").alias("_at"), F.col("more").alias("_more"))
+        placed = placed.join(decided, (F.col("_members") == F.col("_of")) & (F.col("_draw") == F.col("_at")), "left")
+        inside = lambda s: (F.col("_draw") > s["after"]) & (F.col("_draw") < s["until"]) & (F.col("_size") <= s["most"])
+        more = F.coalesce("_more", F.exists("_limits.spans", inside)).cast("int")
+        uses = F.when(F.col("_size") > 0, F.col("_limits.full") + more).otherwise(0)
+        return placed.withColumn("uses", uses).drop("_members", "_limits", "_draw", "_size", "_of", "_at", "_more")
 
 
 def mixture(sized: DataFrame, seed: int, weights: Sequence[float], share: float, repeats: int) -> Mixture:
@@ -222,21 +291,24 @@ def mixture(sized: DataFrame, seed: int, weights: Sequence[float], share: float,
     placed = sized.join(F.broadcast(patterns.select("pattern", "members")), "members").withColumn("draw", _draw(F.col("id"), seed))
     places = stored(placed.where("size > 0").groupBy("pattern", "draw").agg(
         F.sum("size").alias("size"), F.min("size").alias("least")), "mix-places")
-    spans = spark.createDataFrame(_spans(places, {r[0]: r[3] for r in rows}), "pattern int, after bigint, until bigint, most bigint")
+    filled, exact = _filled(places, {r[0]: r[3] for r in rows})
+    spans = _spans(places, {r[0]: r[3] for r in rows if r[0] not in exact})
+    spans = spark.createDataFrame(spans, "pattern int, after bigint, until bigint, most bigint")
     # Rows of one id that would fit one by one but do not fit together.
     apart = (
         places.where("least < size").join(F.broadcast(spans), "pattern")
         .where("draw > after AND draw < until AND size > most AND least <= most")
-        .groupBy("pattern").agg(F.collect_list("draw").alias("apart"))
+        .select("pattern", "draw", F.lit(False).alias("more")).distinct()
     )
+    decided = apart.unionByName(spark.createDataFrame(filled, "pattern int, draw bigint, more boolean"))
+    decided = decided.join(F.broadcast(patterns.select("pattern", "members")), "pattern").select("members", "draw", "more")
     spans = spans.groupBy("pattern").agg(F.collect_list(F.struct("after", "until", "most")).alias("spans"))
-    none = lambda name, kind: F.coalesce(name, F.array().cast(f"array<{kind}>")).alias(name)
-    limits = patterns.join(spans, "pattern", "left").join(apart, "pattern", "left").select(
-        "members", "full", none("spans", "struct<after:bigint,until:bigint,most:bigint>"), none("apart", "bigint"),
-    )
+    none = F.array().cast("array<struct<after:bigint,until:bigint,most:bigint>>")
+    limits = patterns.join(spans, "pattern", "left").select("members", "full", F.coalesce("spans", none).alias("spans"))
     table = [(s, sizes[s], float(wanted[s]), sent[i]) for s, i in order.items()]
     return Mixture(
         stored(limits, "mix-limits"),
+        stored(decided, "mix-decided"),
         spark.createDataFrame(table, "source string, source_size bigint, target double, sent bigint"), seed,
     )
 
