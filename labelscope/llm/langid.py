@@ -4,8 +4,8 @@ A word's features are itself and its letter n-grams, hashed into ``BUCKETS`` row
 embedding table. A text is the mean embedding of all its features; a linear layer and a
 softmax turn it into probabilities. Both tables are trained together by stochastic
 gradient descent in numpy, on a bounded sample of labelled rows (``SAMPLE_ROWS`` per
-language, drawn by a seeded hash, texts up to ``SAMPLE_CHARS``; everything else runs over
-all rows). Part of the sample is held back to fit a temperature, so that the score is a
+language, drawn by a seeded hash, of longer texts a drawn window of ``SAMPLE_CHARS``, and
+``SAMPLE_TOTAL`` characters in all; everything else runs over all rows). Part of the sample is held back to fit a temperature, so that the score is a
 calibrated probability, and the score below which a text is rejected.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import astuple, dataclass
 from itertools import chain
 
@@ -27,6 +28,7 @@ BUCKETS = 1 << 15
 DIMENSIONS = 16
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 20_000
+SAMPLE_TOTAL = 100_000_000
 MAX_LANGUAGES = 200
 UNKNOWN = "und"
 _CACHED_WORDS = 100_000  # per task; beyond, only words met again since then are kept
@@ -83,34 +85,50 @@ def training_sample(
     """At most ``rows`` (language, text) pairs per language, in a fixed order.
 
     Rows are counted per language first, without reading texts; then only about the
-    rows wanted are read whole.
+    rows wanted are read whole. Of a text of over ``chars`` characters a window is taken, at a
+    place drawn by the same hash, so a language of long texts is learned like any other. With many
+    languages the windows are smaller: no more than ``SAMPLE_TOTAL`` characters reach the driver.
+    More than ``MAX_LANGUAGES`` labels are an error.
     """
     draw = F.xxhash64(F.lit("language sample"), F.col(id_col).cast("string"))
     lang = F.col(lang_col).cast("string")
-    counted = {r["lang"]: r["n"] for r in docs.where(lang.isNotNull()).groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counted = {r["lang"]: r["n"] for r in docs.where(lang.isNotNull()).groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if not counted:
         return []
+    if len(counted) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    chars = max(1, min(chars, SAMPLE_TOTAL // (rows * len(counted))))
     share = F.lit(0.0)
     for name, n in counted.items():
         share = F.when(lang == name, min(1.0, (2.0 * rows + 50) / n)).otherwise(share)
     unit = (draw.bitwiseAND(F.lit((1 << 31) - 1)) / F.lit(float(1 << 31)))
     text = F.col(text_col).cast("string")
-    usable = docs.where((unit < share) & (F.length(text) <= chars) & text.rlike(r"\p{L}"))
-    drawn = usable.select(lang.alias("lang"), text.alias("text"), draw.alias("draw"))
+    usable = docs.where((unit < share) & text.rlike(r"\p{L}"))
+    start = F.when(F.length(text) > chars, F.pmod(draw, F.length(text) - chars + 1)).otherwise(0) + 1
+    window = F.substring(text, start.cast("int"), F.lit(chars))
+    drawn = usable.select(lang.alias("lang"), window.alias("text"), draw.alias("draw")).where(F.col("text").rlike(r"\p{L}"))
     ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text")))
     kept = ranked.where(F.col("rank") <= rows).select("lang", "rank", "text").collect()
     return [(r["lang"], r["text"]) for r in sorted(kept)]
 
 
 def _examples(sample: list[tuple[str, str]], index: dict[str, int], rng: np.random.Generator):
-    """Pieces of 1 to 60 words of every text, so that short texts are learned too."""
+    """Every text whole, and pieces of 1 to 60 words, so that short texts are learned too.
+
+    Features are counted, so a long text is no longer than the words it is made of.
+    """
     out = []
     for lang, text in sample:
         words = words_of(text)
         for size in (len(words), *rng.integers(1, 60, 5)):
             start = int(rng.integers(0, max(1, len(words) - size + 1)))
-            part = words[start:start + min(int(size), 200)]
-            out.append((index[lang], np.array([f for w in part for f in word_features(w)], np.int64)))
+            part = Counter(words[start:start + int(size)])
+            features = Counter()
+            for word, times in part.items():
+                for feature in word_features(word):
+                    features[feature] += times
+            if features:
+                out.append((index[lang], np.array(list(features)), np.array(list(features.values()), float)))
     return out
 
 
@@ -131,19 +149,20 @@ def train(sample: list[tuple[str, str]], steps: int = 500, batch: int = 64, rate
         order = rng.permutation(len(examples))
         for at in range(0, len(order), batch):
             chosen = [examples[i] for i in order[at:at + batch]]
-            sizes = np.array([len(f) for _, f in chosen])
-            rows, features = np.repeat(np.arange(len(chosen)), sizes), np.concatenate([f for _, f in chosen])
-            mean = np.add.reduceat(embed[features], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) / sizes[:, None]
+            sizes = np.array([len(f) for _, f, _ in chosen])
+            rows, features = np.repeat(np.arange(len(chosen)), sizes), np.concatenate([f for _, f, _ in chosen])
+            share = np.concatenate([n / n.sum() for _, _, n in chosen])[:, None]
+            mean = np.add.reduceat(embed[features] * share, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
             error = _softmax(mean @ layer + bias)
-            error[np.arange(len(chosen)), [y for y, _ in chosen]] -= 1
+            error[np.arange(len(chosen)), [y for y, _, _ in chosen]] -= 1
             error *= rate * (1 - step / steps) / len(chosen)
             step += 1
-            pull = (error @ layer.T) / sizes[:, None]
+            pull = (error @ layer.T)[rows] * share
             layer -= 0.1 * mean.T @ error
             bias -= 0.1 * error.sum(axis=0)
             # One update a bucket: sum the pulls of equal features first.
             by, where = np.unique(features, return_inverse=True)
-            total = np.stack([np.bincount(where, weights=pull[rows, d], minlength=len(by)) for d in range(DIMENSIONS)], axis=1)
+            total = np.stack([np.bincount(where, weights=pull[:, d], minlength=len(by)) for d in range(DIMENSIONS)], axis=1)
             embed[by] -= total * 10
     model = Model(languages, embed @ layer, bias, 1.0, 0.0)
     return _calibrated(model, held, index)
@@ -221,9 +240,17 @@ class _Summer:
         return self.model.logits(totals[:, :-1], totals[:, -1])
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+FOUND = ("lang_pred", "score", "accepted")
+
+
+def predict(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
+    found_as: tuple[str, str, str] = FOUND,
+) -> DataFrame:
     """``id_col``, ``lang_pred``, ``score`` and ``accepted`` of every row, and the columns in ``keep``.
 
+    ``found_as`` names the three columns otherwise, where kept ones have their names.
+
     A null text, one without a letter, or any text when nothing was learned is ``und`` with
     score 0, not accepted. Otherwise ``lang_pred`` is the likeliest language, the first by
     name of equals, ``score`` its calibrated probability, and ``accepted`` whether that
@@ -232,7 +259,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     # BUCKETS x MAX_LANGUAGES at most; plain values, so that executors need no package to load them.
     shared = docs.sparkSession.sparkContext.broadcast(astuple(model))
-    names = ["id", *keep, "lang_pred", "score", "accepted"]
+    if clash := sorted({id_col, *keep} & set(found_as)):
+        raise ValueError(f"kept columns and results are both named {clash}; pass found_as")
+    names = ["id", *keep, *found_as]
     kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
     # Kept as it is, the text need not be sent a second time.
     shared_text = text_col in keep and docs.schema[text_col].dataType.simpleString() == "string"
@@ -269,7 +298,10 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (),
+    found_as: tuple[str, str, str] = FOUND,
+) -> DataFrame:
     """``predict`` with a model fitted on the labelled rows of ``docs`` that are not held out."""
     sample = training_sample(docs.where(~held_out(F.col(id_col))), id_col, text_col, lang_col)
-    return predict(docs, train(sample), id_col, text_col, keep)
+    return predict(docs, train(sample), id_col, text_col, keep, found_as)

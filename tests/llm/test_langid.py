@@ -1,5 +1,8 @@
 import zlib
 
+import numpy as np
+import pytest
+
 from labelscope.llm import langid
 from labelscope.llm.queries import queries
 from tests.llm.helpers import docs, edge_rows
@@ -45,3 +48,62 @@ def test_edges(spark):
     nothing = langid.identify(docs(spark, [(1, "text"), (2, "more")]))
     assert {tuple(r) for r in nothing.collect()} == {(1, "und", 0.0, False), (2, "und", 0.0, False)}
     assert langid.identify(docs(spark, [])).collect() == []
+
+
+def test_prediction_is_a_mean_of_embeddings(spark, sf_dir):
+    """Every row against the plain mean over all its features."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(langid.training_sample(table), steps=60)
+    got = {r.doc_id: r for r in langid.predict(table, model).collect()}
+    for r in table.select("doc_id", "text").collect():
+        features = [f for w in langid.words_of(r.text) for f in langid.word_features(w)]
+        row = got[r.doc_id]
+        if not features:
+            assert (row.lang_pred, row.score, row.accepted) == ("und", 0.0, False)
+            continue
+        logits = (model.weights[features].mean(axis=0) + model.bias) / model.temperature
+        chances = np.exp(logits - logits.max())
+        chances /= chances.sum()
+        assert row.lang_pred == model.languages[int(chances.argmax())]
+        assert row.score == pytest.approx(chances.max(), abs=1e-9)
+        assert row.accepted == (row.score >= model.threshold)
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    """All texts of one language are longer than a window; those of the other are short."""
+    rng = np.random.default_rng(5)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(3, 9)))
+    text = lambda letters, n: " ".join(word(letters) for _ in range(n))
+    rows = [(i, text("abcdefgh", 5000), "xx", None) for i in range(25)] + [(100 + i, text("mnopqrst", 30), "yy", None) for i in range(60)]
+    table = docs(spark, rows)
+    sample = langid.training_sample(table, chars=2000)
+    assert {lang for lang, _ in sample} == {"xx", "yy"} and max(len(t) for _, t in sample) <= 2000
+    starts = {t[:20] for lang, t in sample if lang == "xx"}
+    assert not starts & {t[:20] for _, t, *_ in rows}  # windows, not beginnings
+    found = langid.predict(table, langid.train(sample, steps=80)).collect()
+    assert {r.doc_id < 100: r.lang_pred for r in found} == {True: "xx", False: "yy"}
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    rows = [(i, "some text here", f"l{i}", None) for i in range(4)]
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.training_sample(docs(spark, rows))
+    assert len(langid.training_sample(docs(spark, rows[:3]))) == 3
+
+
+def test_every_word_of_a_sampled_text_is_learned():
+    text = " ".join(["filler"] * 5000 + ["zyzzyva"])
+    examples = langid._examples([("xx", text)], {"xx": 0}, np.random.default_rng(1))
+    whole = dict(zip(examples[0][1].tolist(), examples[0][2].tolist(), strict=True))
+    assert set(langid.word_features("zyzzyva")) <= set(whole)
+    assert sum(whole.values()) == 5000 * len(langid.word_features("filler")) + len(langid.word_features("zyzzyva"))
+
+
+def test_kept_columns_may_have_the_results_names(spark):
+    table = docs(spark, [(1, "some words", "en", None), (2, "12", "en", None)]).withColumnRenamed("source", "score")
+    model = langid.train([("en", "some words here")] * 5, steps=5)
+    with pytest.raises(ValueError, match="score"):
+        langid.predict(table, model, keep=("score",))
+    got = langid.predict(table, model, keep=("score",), found_as=("a", "b", "c"))
+    assert got.columns == ["doc_id", "score", "a", "b", "c"] and got.count() == 2
