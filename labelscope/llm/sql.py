@@ -35,7 +35,7 @@ from told group by conv_id
 _URLS = r"""
 with places as (
   select page_id,
-    lower(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1)) as host,
+    translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) as path
   from pages
 ), ruled as (
@@ -48,10 +48,13 @@ with places as (
   from places
 ), matched as (
   select *, case when rule is null then case
-    when contains(host || path, '/adserver/') then '/adserver/'
+    when regexp_matches(host || path, '(?s)/cgi-bin/.*/login') then '/cgi-bin/*/login'
+    when regexp_matches(host || path, '(?s)/tracker/.*\.gif') then '/tracker/*.gif'
     when contains(host || path, '.doubleclick.') then '.doubleclick.'
-    when contains(host || path, '/wp-admin/') then '/wp-admin/'
+    when regexp_matches(host || path, '(?s)/banner/.*\.swf') then '/banner/*.swf'
     when contains(host || path, ';jsessionid=') then ';jsessionid='
+    when contains(host || path, '/adserver/') then '/adserver/'
+    when contains(host || path, '/wp-admin/') then '/wp-admin/'
     when contains(host || path, '/ads/') then '/ads/' end end as pattern
   from ruled
 )

@@ -65,3 +65,26 @@ def test_empty_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).collect() == []
+
+
+def test_stages_take_columns_of_any_name(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name in ("score", "accepted", "lang_pred", "fp", "id", "row", "uses", "size", "members", "_row", "_id", "component_id", "draw"):
+        docs = docs.selectExpr("*", f"doc_id * 2 AS `{name}`")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r.score == r.fp == r["_row"] == 2 * r.doc_id for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
+def test_rows_of_one_id_are_judged_by_their_text(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    one, two, three = "the first text is about one thing", "a second text that says nothing like it", "yet another story altogether here"
+    rows = [(7, two, "en", "b", 1), (7, one, "en", "a", 1), (7, one, "en", "a", 1), (7, one, "en", "c", 2), (9, two, "en", None, 3), (8, one, "en", None, 3),
+            (5, three, "en", None, 4), (5, three, "en", None, 4), (None, one, "en", None, 5), (3, None, "en", None, 6), (4, "", "en", None, 6)]
+    for order in (rows, rows[::-1]):
+        got = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(order, schema).repartition(3), "").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(
+            [(7, one, "en", "a", 1), (7, two, "en", "b", 1), (5, three, "en", None, 4), (None, one, "en", None, 5), (3, None, "en", None, 6)], key=repr)

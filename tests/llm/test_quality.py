@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+import regex
 
 from labelscope.llm import quality
 from labelscope.llm.queries import queries
@@ -74,3 +75,61 @@ def test_distance(spark, p, q):
     want = math.sqrt((kl(p) + kl(q)) / 2)
     row = spark.createDataFrame([(p, q)], "p array<double>, q array<double>").select(quality.jensen_shannon(F.col("p"), F.col("q")).alias("d"))
     assert row.first().d == pytest.approx(want, abs=1e-12)
+
+
+def quantile(values, p):
+    """The least value with a share of at least ``p`` at or below it."""
+    values = sorted(values)
+    return values[max(0, math.ceil(p * len(values)) - 1)]
+
+
+def shares(counts):
+    total = sum(counts)
+    return [c / total if total else 0.0 for c in counts]
+
+
+def distance(p, q):
+    terms = sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in zip(p, q, strict=True))
+    return math.sqrt(max(0.0, terms / 2))
+
+
+def histograms(text):
+    rest, counts = regex.sub(r"[\x20\x09-\x0D]+", "", text), []
+    for pattern in quality.CLASSES:
+        new = regex.sub(f"(?:{pattern})+", "", rest)
+        counts.append(len(rest) - len(new))
+        rest = new
+    words = WORDS.findall(text)
+    known = quality.vocabulary_of(quality.LANGUAGES)
+    met = Counter(w.lower() for w in words if w.lower() in known and w in (w.lower(), w.lower().capitalize(), w.upper()))
+    return [*counts, len(rest)], [met[w] for w in known], len(words)
+
+
+def test_distances_and_verdicts_against_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    told = {r.doc_id: (r.lang, base(r.text), *histograms(r.text or "")) for r in table}
+    refs = []
+    for lang in quality.LANGUAGES:
+        mine = [x for x in told.values() if x[0] == lang and not x[1][5] and x[4] >= quality.MIN_COMMON]
+        classes = [sum(c) / len(mine) for c in zip(*(shares(x[2]) for x in mine), strict=True)]
+        common = [sum(c) / len(mine) for c in zip(*(shares(x[3]) for x in mine), strict=True)]
+        part = [sum(x[3]) / x[4] for x in mine]
+        far = [distance(shares(x[3]), common) * math.sqrt(min(quality.MOST_COUNTED, sum(x[3]))) for x in mine if sum(x[3])]
+        mid = quantile(part, 0.5)
+        off = [(s - mid) * math.sqrt(x[4]) for s, x in zip(part, mine, strict=True)]
+        spread = lambda v: (quantile(v, 0.75) - quantile(v, 0.25)) / 1.349
+        middle = quantile(far, 0.5)
+        refs.append((classes, common, mid, max(spread(off), math.sqrt(mid * (1 - mid))), middle + quality.MAX_SPREADS * max(spread(far), middle / 10)))
+    rows = {r.doc_id: r for r in queries()["op2_quality"](spark, sf_dir).collect()}
+    for doc_id, (_, counted, classes, common, n) in told.items():
+        row, part = rows[doc_id], sum(common) / n if n else 0
+        class_far = min(distance(shares(classes), r[0]) for r in refs) if sum(classes) >= quality.MIN_CHARS else None
+        common_far = min(distance(shares(common), r[1]) for r in refs) if n >= quality.MIN_COMMON and part > 0 else None
+        assert row.class_distance == (class_far if class_far is None else pytest.approx(class_far, abs=1e-9))
+        assert row.common_distance == (common_far if common_far is None else pytest.approx(common_far, abs=1e-9))
+        scaled = None if common_far is None else common_far * math.sqrt(min(quality.MOST_COUNTED, sum(common)))
+        like = any(abs(part - r[2]) * math.sqrt(n) <= quality.MAX_SPREADS * r[3] and (scaled is None or scaled <= r[4]) for r in refs)
+        odd = n >= quality.MIN_COMMON and not like
+        assert row.kept == (not counted[5] and not odd and not (class_far is not None and class_far > quality.MAX_CLASS_DISTANCE)), doc_id
+    assert any(r.class_distance is not None and not r.kept for r in rows.values())

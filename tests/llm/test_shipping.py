@@ -6,14 +6,14 @@ import sys
 import pytest
 from pyspark import cloudpickle
 
-from labelscope.llm import bpe, common, langid, simhash, urls, warc
+from labelscope.llm import bpe, common, importance, langid, periodic, simhash, suffix_dedup, urls, warc
 
 LOAD = "import sys, pickle; print(pickle.load(sys.stdin.buffer)); assert 'labelscope' not in sys.modules"
 
 
 @pytest.mark.parametrize("thing", [
     bpe.Codec, common.by_slices(len, "text"), langid._Summer, langid.Model, simhash.fingerprint, simhash._runs_to_links(3, 8),
-    urls.Index, urls.HOST_RULES, warc._Archives, warc.frames, warc.parse, warc.record,
+    importance.Buckets, importance._median, periodic.find_runs, suffix_dedup.Block, suffix_dedup._answer(2), urls.Index, urls.HOST_RULES, warc._Archives, warc.frames, warc.parse, warc.record,
 ])
 def test_loads_without_the_package(thing, tmp_path):
     done = subprocess.run(

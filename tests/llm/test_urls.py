@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 
 from labelscope.llm import urls
@@ -76,3 +77,20 @@ def test_rarest_token_files_a_rule():
 ])
 def test_only_whole_tokens(rule, tokens):
     assert rule.tokens() == tokens
+
+
+def test_sql_knows_every_rule(spark, tmp_path):
+    """Made-up URLs for all patterns and hosts, spellings that only A-Z folding gets right among them."""
+    rng = random.Random(9)
+    hosts = ["example.com", "WWW.Example.COM", "sub.www.example.com", "a.net", "NET", "a.doubleclick.co", "ÜX.net", "ÀB.org", "x.org", ""]
+    parts = ["/ads/", "/adserver/", "/tracker/", "x.gif", "/banner/", "q.swf", "/cgi-bin/", "/login", "/wp-admin/", ";jsessionid=1",
+             "/en/", "/es/", "/fr/", "a", "?q=/ads/", "#/ads/", "\n", ".gif", ".swf"]
+    rows = [(i, rng.choice(["http://", "https://", "", "://"]) + rng.choice(hosts) + "".join(rng.choices(parts, k=rng.randint(0, 5)))) for i in range(3000)]
+    rows += [(9000, None), (9001, "x.org/tracker/x.gif"), (9002, "http://x.org/adserver/x;jsessionid=1"), (9003, "http://x.org/cgi-bin/x/login")]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/p")
+    table = spark.read.parquet(f"{tmp_path}/p")
+    got = spark_rows(urls.judge(table))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/p/*.parquet')")
+    assert got == duck_rows(con, oracle_sql()["op10_urls"])
+    assert {r.pattern for r in urls.judge(table).collect()} == {r.name for r in urls.PATTERN_RULES} | {None}
