@@ -21,35 +21,50 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; those rejected go. Columns unchanged.
 
-    The document's own ``lang`` stays as it is: the prediction only decides who stays.
+    The document's own ``lang`` stays as it is: the prediction only decides who stays. Null, empty
+    and letterless texts are rejected; repeated rows and rows without an id are judged by their
+    text; columns may have any names; an empty table gives none.
     """
-    found = langid.identify(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.where("accepted").select(*docs.columns)
+    taken, found = set(docs.columns), langid.FOUND
+    while taken & set(found):
+        found = tuple(f"{name}_" for name in found)
+    judged = langid.identify(docs, keep=tuple(c for c in docs.columns if c != "doc_id"), found_as=found)
+    return judged.where(found[2]).select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id.
+    """One document of each group of near-duplicates; see ``simhash.deduplicated`` for which.
 
-    Of repeated rows of that id one stays. Rows without an id stay, as no result can name them.
+    Null and blank texts are duplicates of each other. Rows of one id with different texts are judged
+    apart; rows without an id stay; an empty table gives none.
     """
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    chosen = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    return simhash.deduplicated(docs)
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced; ``n_chars`` follows."""
+    """Texts with personal data replaced; ``n_chars`` follows.
+
+    Every row stays, repeated ones and those without an id too. A null text stays null, with a null
+    ``n_chars``; an empty one stays empty; texts count whole; an empty table gives none.
+    """
     made = pii.pseudonymise(docs, queries.PII_KEY)
     return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document not taken goes, one taken twice comes twice."""
+    """The mix: a document not taken goes, one taken twice comes twice.
+
+    Null and wordless texts are never taken; rows of one id share a place in the order; a null source
+    is a source; an empty table gives none.
+    """
     return mixing.repeated(docs, F.array("source"))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and a digest of what they decode to."""
+    """Token ids of every text, and a digest of what they decode to.
+
+    Every row stays; null and empty texts have no ids; an empty table gives none.
+    """
     encoded = bpe.encode(docs, public_tokenizers.path(queries.VOCABULARY), decoded=True)
     return encoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
