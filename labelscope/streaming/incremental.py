@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from labelscope.operators.joins import hot_hashes, settled
-from labelscope.operators.resume import PERSON_KEY, remaining
+from labelscope.operators.resume import PERSON_KEY, outstanding, remaining
 from labelscope.sources.stores import read_results, write_results
 
 
@@ -42,7 +42,7 @@ def score_stream(
     one. A batch repeated after a failure replaces its own output and no other: batches are
     named after the source and the checkpoint, so several streams, or one with a new
     checkpoint, can share a store. Rows whose key an earlier batch of any stream has scored
-    are left out. ``prepare`` cleans a batch beforehand; ``pattern`` restricts the source to
+    are left out, but those that could not be read. ``prepare`` cleans a batch beforehand; ``pattern`` restricts the source to
     files of such names.
     """
     checkpoint = checkpoint or checkpoint_folder(spark, f"score-{model_key}-{context}")
@@ -53,7 +53,11 @@ def score_stream(
         stored = read_results(batch.sparkSession, store, model_key, context, without_batch=name)
         left = prepare(batch) if prepare else batch
         if stored is not None:
-            left = remaining(left, stored, key, hot=settled(hot_hashes(left, list(key))))
+            hot = settled(hot_hashes(left, list(key)))
+            if tuple(key) == PERSON_KEY:  # a row that could not be read comes again as its next attempt
+                left = outstanding(left, stored, [model_key], hot=hot).withColumn("attempt", F.col("needs")[0]["attempt"]).drop("needs")
+            else:
+                left = remaining(left, stored, key, hot=hot)
         run = score_rows(left).withColumns({
             "model_key": F.lit(model_key), "context": F.lit(context)
         })

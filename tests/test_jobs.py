@@ -214,5 +214,24 @@ def test_streams_share_a_store(spark, tmp_path):
     assert run(20, "a", "pc") == 30
 
 
+def test_a_stream_reads_again_what_it_could_not_read(spark, tmp_path):
+    store, schema = str(tmp_path / "store"), "row_id long, image_path string, label string, bbox_x1 long, bbox_y1 long, bbox_x2 long, bbox_y2 long"
+    for name, failing in (("a", "image_path IN ('i1', 'i2')"), ("b", "image_path = 'i2'"), ("c", "false")):
+        rows = spark.range(4).selectExpr(
+            "id AS row_id", "concat('i', id) AS image_path", "'Fear' AS label", "0L AS bbox_x1", "0L AS bbox_y1", "1L AS bbox_x2", "1L AS bbox_y2",
+        )
+        rows.coalesce(1).write.parquet(str(tmp_path / name))
+        pixels = "named_struct('height', 1, 'width', 1, 'nChannels', 3, 'mode', 16, 'data', unhex('000005'))"
+        images = rows.selectExpr("image_path", f"if({failing}, NULL, {pixels}) AS image", f"if({failing}, 'read: throttled', NULL) AS read_error")
+        query = score_stream(
+            spark, str(tmp_path / name), schema, lambda batch, images=images: score(batch, images, RedMeans, FULL), store, "qwen", FULL,
+            checkpoint=str(tmp_path / f"progress-{name}"),
+        )
+        query.awaitTermination(120)
+        assert query.exception() is None
+    rows = stores.read_results(spark, store, "qwen", FULL).collect()
+    assert sorted((r.row_id, r.attempt, r.predicted_label) for r in rows) == [(0, 1, CLASSES[5]), (1, 2, CLASSES[5]), (2, 3, CLASSES[5]), (3, 1, CLASSES[5])]
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert checkpoint_folder(spark, "x") == spark.conf.get("spark.checkpoint.dir") + "/x"

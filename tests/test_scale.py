@@ -5,7 +5,6 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import Observation
-from pyspark.sql import functions as F
 
 from labelscope.domain import CLASSES, NO_ANSWERS
 from labelscope.operators import clean, compare, crop, metrics, sample
