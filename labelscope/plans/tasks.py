@@ -98,6 +98,7 @@ def _score_runs(
     key: list[str],
     batch: str,
     tasks: int | None,
+    csv: bool = False,
 ) -> DataFrame:
     keys = select_models(model)
     hot = settled(hot_hashes(rows, ["image_key"] if key == ["image_path"] else key))
@@ -119,6 +120,8 @@ def _score_runs(
     if results is None:  # nothing to score so far, which still has metrics
         results = empty.withColumn("context", F.lit(context)).withColumn("batch", F.lit("run-"))
     _measure(spark, results, runs(spark, keys, (context,)), work, batch)
+    if csv:
+        stores.write_results_csv(results.where(F.col("model_key").isin(keys)), work.path("results_csv"))
     return results
 
 
@@ -160,19 +163,21 @@ def run_full(
     encoded: bool = False,
     decode: Callable[[bytes], Any] = decode_image,
     listing: bool = False,
+    csv: bool = False,
 ) -> DataFrame:
     """Score whole images, going on from stored results; returns all of them.
 
     All models are asked in one pass: each image that any of them needs is opened once, by the task
     that scores it. Predictors get what ``decode`` makes of the file, or with ``encoded=True`` its
     bytes. With ``listing=True`` Spark's image source lists the folder and decodes it all, for
-    sites without a Python decoder. Rows are stored under ``batch``, a new name by default. Naming
+    sites without a Python decoder. With ``csv=True`` the results of the models named are written as
+    CSV too, a folder per model and context. Rows are stored under ``batch``, a new name by default. Naming
     the batch of a run that failed replaces what that run has stored.
     """
     rows = spark.read.parquet(work.path("annotations"))
     images = read_images(spark, qualified(spark, image_root)) if listing else FileImages(None if encoded else decode)
     return _score_runs(
-        spark, work, rows, images, factories, model, FULL, ["image_path"], _name(batch), tasks
+        spark, work, rows, images, factories, model, FULL, ["image_path"], _name(batch), tasks, csv
     )
 
 
@@ -219,17 +224,19 @@ def run_face(
     tasks: int | None = None,
     decode: Callable[[bytes], Any] = decode_image,
     listing: bool = False,
+    csv: bool = False,
 ) -> DataFrame:
     """Cut and score crops, going on from stored results; returns all of them.
 
     Crops are looked up by where they are stored; the tasks that score them read their pixels.
+    ``csv`` as in ``run_full``.
     """
     batch = _name(batch)
     usable = crop.usable_crops(cut(spark, work, image_root, crop_root, batch, decode, listing))
     places = stores.crop_places(spark, work.path("crops"))
     pictures = StoredImages(places if places is not None else usable.selectExpr(*crop.CROP_KEY, "'' AS file", "0L AS at"))
     return _score_runs(
-        spark, work, usable, pictures, factories, model, FACE, crop.CROP_KEY, batch, tasks
+        spark, work, usable, pictures, factories, model, FACE, crop.CROP_KEY, batch, tasks, csv
     )
 
 

@@ -99,6 +99,14 @@ def read_results(
     return latest_attempts(stored)
 
 
+def write_results_csv(results: DataFrame, path: str) -> None:
+    """Results as CSV with headers, a folder per model and context, replacing those that occur."""
+    (
+        results.drop("batch", "attempt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .option("header", "true").option("escape", '"').partitionBy(*RUN).csv(path)
+    )
+
+
 def compact_results(spark: SparkSession, path: str) -> int:
     """Drop attempts that later ones replace; returns how many rows went.
 

@@ -101,6 +101,18 @@ def test_full_face_and_analysis(spark, study, listing):
     assert crops.count() == crops.select("cropped_path").distinct().count() == 11
 
 
+def test_results_as_csv(spark, study):
+    work, csv, images = study
+    tasks.prepare(spark, work, csv, images)
+    for models in ("qwen", "llava", "qwen"):  # the last has nothing to score
+        tasks.run_full(spark, work, images, FACTORIES, models, csv=True)
+    tasks.run_face(spark, work, images, "/crops", FACTORIES, "qwen", csv=True)
+    rows = spark.read.option("header", "true").csv(work.path("results_csv")).collect()
+    stored = stores.read_results(spark, work.path("results")).collect()
+    told = lambda r: (r.model_key, r.context, int(r.row_id), r.predicted_label, r.raw_output)
+    assert sorted(map(told, rows), key=repr) == sorted(map(told, stored), key=repr) and len(rows) == 13 + 13 + 11
+
+
 @pytest.mark.parametrize("scheme", ["", "file://", "file:"])
 def test_any_spelling_finds_the_image(spark, study, scheme):
     """Roundabout paths and a root with a scheme give what plain spelling gives."""
