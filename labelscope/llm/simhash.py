@@ -284,11 +284,15 @@ def deduplicated(
     rows_of = found.groupBy("id").agg(F.count("*").alias("n"))
     chosen = stored(first.join(rows_of.hint("merge"), "id").select("id", "fp", "n"), "chosen")
     # Rows are packed, so that their columns may have any names.
-    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    packed = docs.select(F.col(id_col).alias("id"), F.struct(*docs.columns).alias("row"))
     # Most ids have one row, which is found by the id alone.
     single = packed.join(chosen.where("n = 1").select("id").hint("merge"), "id", "left_semi").select("row")
     again = chosen.where("n > 1").select("id", "fp")
+    unnamed = packed.where("id IS NULL").select("row")
+    if again.isEmpty():  # no id repeats: texts are shuffled once
+        return single.unionByName(unnamed).select("row.*")
     several = packed.join(again.select("id").distinct().hint("merge"), "id", "left_semi")
+    several = several.select("id", F.col("row")[text_col].alias("text"), "row")
     least = fingerprints(several, "id", "text", width, ("row",)).groupBy("id", "fp").agg(F.min("row").alias("row"))
     rows = least.join(again.hint("merge"), ["id", "fp"], "left_semi").select("row")
-    return single.unionByName(rows).unionByName(packed.where("id IS NULL").select("row")).select("row.*")
+    return single.unionByName(rows).unionByName(unnamed).select("row.*")
