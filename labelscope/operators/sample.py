@@ -45,6 +45,8 @@ def _cut_at_rank(drawn: DataFrame, n: int, in_one_task: int) -> DataFrame:
     total = drawn.count()
     if n >= total:
         return drawn
+    if n <= 0:
+        return drawn.limit(0)
     place = F.conv(F.substring("_draw", 1, 15), 16, 10).cast("bigint")
     middle, spread = n / total, (n * (total - n) / total**3) ** 0.5
     low, high = (int(_HASHES * min(1.0, max(0.0, middle + side * _DEVIATIONS * spread))) for side in (-1, 1))

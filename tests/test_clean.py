@@ -132,7 +132,7 @@ def test_sample_size_and_repeatability(spark):
 def test_large_samples_are_cut_at_the_same_rows(spark, monkeypatch, n):
     rows = spark.range(5000).withColumnRenamed("id", "row_id").cache()
     plain = {r.row_id for r in sample_rows(rows, n).collect()}
-    monkeypatch.setattr(sample, "_DIGITS", 1)
+    monkeypatch.setattr(sample, "_CELLS", 3)
     cut = [r.row_id for r in sample_rows(rows, n, in_one_task=-1 if n == 0 else 0).collect()]
     assert len(cut) == len(plain) and set(cut) == plain
 
