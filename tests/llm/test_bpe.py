@@ -63,3 +63,18 @@ def test_query(spark, sf_dir):
         assert got.n_tokens == len(ids)
         assert got.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_ids_merge_as_strings_do():
+    for word in ("a", "the", "understanding", "x" * 40, "ab" * 60, "caféñß", "日本語", "\x00\x7f", "!?--..", "ontiontion"):
+        letters = "".join(CODEC.letters[b] for b in word.encode())
+        bounds = [*range(len(letters)), len(letters) + len(CODEC.suffix)]
+        parts = bpe.merge_short(letters + CODEC.suffix, bounds, CODEC.ranks)
+        data = word.encode()
+        ids = [*map(CODEC.inner.__getitem__, data[:-1]), CODEC.last[data[-1]]]
+        assert bpe.merged_ids(ids, CODEC.merges, CODEC.bits) == [CODEC.vocab[p] for p in parts] == list(CODEC.word_ids(word))
+
+
+def test_ascii_splits_alike():
+    text = "".join(map(chr, range(128))) * 2 + " it's we'll 've \x1c\x1dx\x1f 12ab'S don't"
+    assert CODEC.split(text) == CODEC.pieces.findall(text.lower())
