@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,19 +36,35 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def write_parts(df: DataFrame, path: str, parts: list[str], rows_a_file: int = 0) -> None:
+@contextmanager
+def _open_files(spark: SparkSession, most: int) -> Iterator[None]:
+    """Tasks keep up to ``most`` partitions open instead of sorting their rows by partition; 0 as is."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    if most:
+        spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        if most:
+            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def write_parts(df: DataFrame, path: str, parts: list[str], rows_a_file: int = 0, open_files: int = 0) -> None:
     """Write the partitions occurring in ``df`` and leave all others alone.
 
     Writing the same partitions again replaces them, so a repeated or restarted
-    write leaves every row once.
+    write leaves every row once. Spark sorts a task's rows by partition first, which holds them
+    in memory; with ``open_files`` it writes up to that many partitions side by side, as rows come.
     """
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", rows_a_file)
-        .partitionBy(*parts)
-        .parquet(path)
-    )
+    with _open_files(df.sparkSession, open_files):
+        (
+            df.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("maxRecordsPerFile", rows_a_file)
+            .partitionBy(*parts)
+            .parquet(path)
+        )
 
 
 _CROPS_A_FILE = 4000  # some tens of megabytes, which one task reads
@@ -141,7 +160,8 @@ def write_crops(cuts: DataFrame, path: str, batch: str) -> None:
     """Add crops to the store; failures go to a partition of their own."""
     outcome = F.when(F.col("crop_fail_reason").isNull(), "cut").otherwise("failed")
     labelled = cuts.withColumns({"outcome": outcome, "batch": F.lit(_batch(batch))})
-    write_parts(labelled, path, ["outcome", "batch"], rows_a_file=_CROPS_A_FILE)
+    # Two partitions a task; sorting would hold all its pixels.
+    write_parts(labelled, path, ["outcome", "batch"], rows_a_file=_CROPS_A_FILE, open_files=2)
 
 
 def crop_places(spark: SparkSession, path: str) -> DataFrame | None:

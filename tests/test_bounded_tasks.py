@@ -1,0 +1,44 @@
+"""What a task holds does not grow with the rows it is given."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
+from labelscope.operators import crop
+from labelscope.plans import fixtures as fx
+from labelscope.plans import queries as registered
+from labelscope.sources import stores
+from labelscope.sources.images import StoredImages
+
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+def _cuts(spark):
+    rows = [(f"/data/img/{i % 4}.jpg", i, i, i + 5, i + 5, "bad" if i % 2 else None) for i in range(40)]
+    made = spark.createDataFrame(rows, "image_path string, bbox_x1 bigint, bbox_y1 bigint, bbox_x2 bigint, bbox_y2 bigint, crop_fail_reason string")
+    return made.withColumn("cropped_path", F.lit("/crops/a.jpg")).withColumn("image", F.lit(None).cast(crop.PIXELS))
+
+
+def test_crops_are_not_sorted_to_be_stored(spark, tmp_path, monkeypatch):
+    seen = []
+    before, write = spark.conf.get(WRITERS), stores.write_parts.__globals__["_open_files"]
+
+    class Watched:
+        def __init__(self, session, most):
+            self.session, self.inner = session, write(session, most)
+
+        def __enter__(self):
+            self.inner.__enter__()
+            seen.append(int(self.session.conf.get(WRITERS)))
+
+        def __exit__(self, *told):
+            return self.inner.__exit__(*told)
+
+    monkeypatch.setattr(stores, "_open_files", Watched)
+    stores.write_crops(_cuts(spark), str(tmp_path / "crops"), "one")
+    assert seen == [2] and spark.conf.get(WRITERS) == before
+    assert stores.read_crops(spark, str(tmp_path / "crops")).count() == 20
+    assert stores.read_outcomes(spark, str(tmp_path / "crops"), "one").count() == 40
