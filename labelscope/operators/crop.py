@@ -172,7 +172,7 @@ _CUT_SCHEMA = (
     "image_path string, bbox_x1 bigint, bbox_y1 bigint, bbox_x2 bigint, bbox_y2 bigint, "
     f"cropped_path string, crop_fail_reason string, image {PIXELS}"
 )
-_CUT_BYTES = 32 * 2**20  # pixels handed on at once
+_CUT_BYTES = 4 * 2**20  # pixels handed on at once
 
 
 def _opened(image_of: Callable[[dict], Any], key: str) -> tuple[dict | None, str | None]:
@@ -195,29 +195,49 @@ def _inside(image: dict, box: list[int]) -> tuple[list[int], str | None]:
     return part, f"Bbox clamped to empty region ({part[0]},{part[1]},{part[2]},{part[3]})" if empty else None
 
 
+def _part(image: dict, box: list[int]) -> np.ndarray:
+    """A copy of the bytes ``_cut`` gives, without a whole image in other channels on the way."""
+    pixels = np.frombuffer(image["data"], dtype=np.uint8).reshape(image["height"], image["width"], image["nChannels"])
+    part = pixels[box[1]:box[3], box[0]:box[2]]
+    return np.repeat(part, 3, axis=2).ravel() if image["nChannels"] == 1 else part[:, :, :3].flatten()
+
+
+def _pixel_rows(parts: list[np.ndarray | None], boxes: list[list[int]]) -> pa.StructArray:
+    """Image structs of the parts; a missing one is null."""
+    offsets = np.cumsum([0, *[0 if p is None else len(p) for p in parts]], dtype=np.int32)
+    held = np.concatenate([np.zeros(0, np.uint8), *[p for p in parts if p is not None]])
+    data = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(offsets), pa.py_buffer(held)])
+    sides = np.array([(0, 0) if p is None else (b[3] - b[1], b[2] - b[0]) for p, b in zip(parts, boxes, strict=True)], np.int32)
+    height, width = sides.reshape(-1, 2).T
+    same = [np.full(len(parts), value, np.int32) for value in (3, _BGR_MODE)]
+    columns = [*[pa.array(np.ascontiguousarray(c)) for c in (height, width, *same)], data]
+    return pa.StructArray.from_arrays(columns, fields=list(_PIXELS_ARROW), mask=pa.array([p is None for p in parts], pa.bool_()))
+
+
 def _cut_runs(images: Images) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow: boxes sorted by image to crops; an image is opened once for a run of its boxes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         image_of, key, image, missing = images.reader(), None, None, None
         for batch in batches:
-            cuts, reasons, size, first = [], [], 0, 0
+            parts, regions, reasons, size, first = [], [], [], 0, 0
             kept = batch.select([*CROP_KEY, "cropped_path"])
             boxes = zip(*(batch[c].to_pylist() for c in BOX), strict=True)
             for n, (of, box) in enumerate(zip(batch["image_key"].to_pylist(), boxes, strict=True), 1):
                 if of != key:
                     key, (image, missing) = of, _opened(image_of, of)
-                part, reason = (None, missing) if missing else _inside(image, list(box))
-                cuts.append(None if reason else _cut(image, part))
+                region, reason = (None, missing) if missing else _inside(image, list(box))
+                parts.append(None if reason else _part(image, region))
+                regions.append(region)
                 reasons.append(reason)
-                size += len(cuts[-1]["data"]) if cuts[-1] else 0
+                size += 0 if reason else len(parts[-1])
                 if size >= _CUT_BYTES or n == batch.num_rows:
                     rows = kept.slice(first, n - first)
                     yield pa.RecordBatch.from_arrays(
-                        [*rows.columns, pa.array(reasons, pa.string()), pa.array(cuts, _PIXELS_ARROW)],
+                        [*rows.columns, pa.array(reasons, pa.string()), _pixel_rows(parts, regions)],
                         [*rows.schema.names, "crop_fail_reason", "image"],
                     )
-                    cuts, reasons, size, first = [], [], 0, n
+                    parts, regions, reasons, size, first = [], [], [], 0, n
 
     return run
 

@@ -42,3 +42,37 @@ def test_crops_are_not_sorted_to_be_stored(spark, tmp_path, monkeypatch):
     assert seen == [2] and spark.conf.get(WRITERS) == before
     assert stores.read_crops(spark, str(tmp_path / "crops")).count() == 20
     assert stores.read_outcomes(spark, str(tmp_path / "crops"), "one").count() == 40
+
+
+class _Given:
+    def __init__(self, images):
+        self.images = images
+
+    def reader(self):
+        return lambda row: self.images.get(row["image_key"])
+
+
+def _batch(boxes):
+    keys, *sides = zip(*boxes, strict=True)
+    columns = [pa.array(keys), *[pa.array(s, pa.int64()) for s in sides], pa.array(keys), pa.array(["/crops/x"] * len(keys))]
+    return pa.RecordBatch.from_arrays(columns, [*crop.CROP_KEY, "image_key", "cropped_path"])
+
+
+def test_cut_pixels_are_handed_on_in_small_parts():
+    side, rng = 400, np.random.default_rng(3)
+    images = {
+        str(n): {"height": side, "width": side, "nChannels": n, "mode": 0, "data": rng.integers(0, 256, side * side * n, np.uint8).tobytes()}
+        for n in (1, 3, 4)
+    }
+    boxes = [(str(n), x, 0, side + 9, side) for n in (1, 3, 4) for x in range(-4, 20)] + [("none", 0, 0, 9, 9), ("3", 500, 0, 510, 9)]
+    parts = list(crop._cut_runs(_Given(images))(iter([_batch(boxes)])))
+    rows = pa.Table.from_batches(parts).to_pylist()
+    for (key, *box), row in zip(boxes, rows, strict=True):
+        if key == "none" or box[0] == 500:
+            assert row["image"] is None and row["crop_fail_reason"]
+        else:
+            assert row["crop_fail_reason"] is None
+            assert row["image"] == crop._cut(images[key], [max(0, box[0]), 0, side, side])
+    one = side * side * 3
+    sizes = [sum(len(r["data"] or b"") for r in p["image"].to_pylist() if r) for p in parts]
+    assert max(sizes) <= 4 * 2**20 + one and len(parts) > 5
