@@ -207,12 +207,15 @@ class FileImages:
         return image
 
 
+_ROWS_HELD = 64  # of a row group, decoded at once
+
+
 class StoredImages:
     """Images kept in rows of Parquet files, read by the task that wants them.
 
     ``places`` has the key columns, the ``file`` and the row number ``at``. Only places are
     joined and shuffled: a task gets the wanted rows of whole files and reads each row group
-    that has any once.
+    that has any once, a few rows at a time.
     """
 
     def __init__(self, places: DataFrame, column: str = "image") -> None:
@@ -224,22 +227,26 @@ class StoredImages:
         return dealt.sortWithinPartitions("file", "at")
 
     def reader(self) -> Callable[[dict], Any]:
-        column, files, held = self.column, _Files(), {"path": None, "file": None, "first": 0, "rows": None}
+        column, files = self.column, _Files()
+        held = {"path": None, "file": None, "group": -1, "next": 0, "batches": iter(()), "first": 0, "rows": ()}
 
         def image(row: dict) -> Any:
+            at = row["at"]
             if row["file"] != held["path"]:
                 system, inside = files.locate(row["file"])
                 opened = pq.ParquetFile(files.systems[system].open_input_file(inside))
-                held.update(path=row["file"], file=opened, first=0, rows=None, group=-1)
-            while held["rows"] is None or row["at"] >= held["first"] + len(held["rows"]):
-                held["first"] += 0 if held["rows"] is None else len(held["rows"])
+                held.update(path=row["file"], file=opened, group=-1, next=0, batches=iter(()), first=0, rows=())
+            while at >= held["first"] + len(held["rows"]):
+                if at < held["next"]:  # in the row group being read
+                    held["first"] += len(held["rows"])
+                    held["rows"] = next(held["batches"])[column]
+                    continue
                 held["group"] += 1
-                size = held["file"].metadata.row_group(held["group"]).num_rows
-                if row["at"] >= held["first"] + size:  # nothing wanted in this one
-                    held["rows"] = range(size)
-                else:
-                    held["rows"] = held["file"].read_row_group(held["group"], columns=[column])[column].combine_chunks()
-            return held["rows"][row["at"] - held["first"]].as_py()
+                held.update(first=held["next"], rows=())
+                held["next"] += held["file"].metadata.row_group(held["group"]).num_rows
+                if at < held["next"]:  # else nothing is wanted in this one
+                    held["batches"] = held["file"].iter_batches(_ROWS_HELD, [held["group"]], [column])
+            return held["rows"][at - held["first"]].as_py()
 
         return image
 

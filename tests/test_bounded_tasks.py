@@ -76,3 +76,18 @@ def test_cut_pixels_are_handed_on_in_small_parts():
     one = side * side * 3
     sizes = [sum(len(r["data"] or b"") for r in p["image"].to_pylist() if r) for p in parts]
     assert max(sizes) <= 4 * 2**20 + one and len(parts) > 5
+
+
+def test_images_made_by_a_task_are_not_copied():
+    image = fx.RampImages().reader()({"image_key": "/data/img/7.jpg"})
+    assert isinstance(image["data"], memoryview)
+    assert len(image["data"]) == image["height"] * image["width"] * 3 and image["data"][0] == 7
+
+
+def test_stored_images_are_read_a_few_rows_at_a_time(tmp_path, monkeypatch):
+    path, given = str(tmp_path / "x.parquet"), [bytes([i % 251]) * 9 for i in range(1000)]
+    pq.write_table(pa.table({"image": given}), path, row_group_size=300)
+    monkeypatch.setattr(pq.ParquetFile, "read_row_group", lambda *a, **k: 1 / 0)
+    for wanted in (range(1000), [0, 299, 300, 640, 999], [950], [5, 5, 70]):
+        image = StoredImages(None).reader()
+        assert [image({"file": path, "at": at}) for at in wanted] == [given[at] for at in wanted]
