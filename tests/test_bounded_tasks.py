@@ -91,3 +91,19 @@ def test_stored_images_are_read_a_few_rows_at_a_time(tmp_path, monkeypatch):
     for wanted in (range(1000), [0, 299, 300, 640, 999], [950], [5, 5, 70]):
         image = StoredImages(None).reader()
         assert [image({"file": path, "at": at}) for at in wanted] == [given[at] for at in wanted]
+
+
+def test_files_in_order_are_not_made_by_one_task(spark, tmp_path, monkeypatch):
+    events = spark.range(3000).selectExpr("id AS event_id", "id AS user_id", "'view' AS event_type", "'' AS props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    folder = str(tmp_path / "csv")
+    monkeypatch.setattr(registered, "shared_folder", lambda *_: folder)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = registered.queries()["csv_order"](spark, str(tmp_path)).orderBy("row_id").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    parts = [[n for n in range(3000) if n % 10 == 0], [n for n in range(3000) if 1 <= n % 10 <= 8], [n for n in range(3000) if n % 10 == 9]]
+    assert [tuple(r) for r in rows] == list(enumerate(sum(parts, [])))
+    assert len(list((tmp_path / "csv" / "part=b").glob("*.csv"))) > 1
