@@ -67,6 +67,7 @@ def write_parts(df: DataFrame, path: str, parts: list[str], rows_a_file: int = 0
         )
 
 
+_RESULT_FILES = 16  # a task has a few models and attempts
 _CROPS_A_FILE = 4000  # some tens of megabytes, which one task reads
 _CROP_COLUMNS = {"cropped_path": "string", "crop_failed": "boolean", "crop_fail_reason": "string"}
 
@@ -89,7 +90,9 @@ def write_results(results: DataFrame, path: str, batch: str) -> None:
     results = results.withColumns({n: F.lit(None).cast(kind) for n, kind in empty.items()})
     if "attempt" not in results.columns:
         results = results.withColumn("attempt", F.lit(1))
-    write_parts(results.withColumn("batch", F.lit(_batch(batch))), path, [*RUN, "attempt", "batch"])
+    write_parts(
+        results.withColumn("batch", F.lit(_batch(batch))), path, [*RUN, "attempt", "batch"], open_files=_RESULT_FILES
+    )
 
 
 def read_results(
@@ -145,7 +148,7 @@ def compact_results(spark: SparkSession, path: str) -> int:
     names = spark.createDataFrame([tuple(r[c] for c in part) for r in changed], every.select(*part).schema)
     copy = shared_folder(spark, "compacted")
     kept.join(F.broadcast(names), part, "left_semi").write.parquet(copy)
-    write_parts(spark.read.schema(every.schema).parquet(copy), path, part)
+    write_parts(spark.read.schema(every.schema).parquet(copy), path, part, open_files=_RESULT_FILES)
     for row in changed:
         if not row["kept"]:
             removed(spark, f"{path}/" + "/".join(f"{c}={row[c]}" for c in part))

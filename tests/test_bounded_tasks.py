@@ -107,3 +107,14 @@ def test_files_in_order_are_not_made_by_one_task(spark, tmp_path, monkeypatch):
     parts = [[n for n in range(3000) if n % 10 == 0], [n for n in range(3000) if 1 <= n % 10 <= 8], [n for n in range(3000) if n % 10 == 9]]
     assert [tuple(r) for r in rows] == list(enumerate(sum(parts, [])))
     assert len(list((tmp_path / "csv" / "part=b").glob("*.csv"))) > 1
+
+
+def test_a_run_reads_rows_and_needs_from_tables(spark, tmp_path, monkeypatch):
+    events = spark.range(120).selectExpr(
+        "id AS event_id", "id AS user_id", "if(id % 3 = 0, 'click', 'view') AS event_type", "concat('n', id) AS props"
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    kept = []
+    monkeypatch.setattr(registered, "_kept", lambda t, path, made=registered._kept: kept.append(path.rsplit("/", 1)[1]) or made(t, path))
+    assert registered.queries()["resume_retry"](spark, str(tmp_path)).count() > 0
+    assert kept == ["rows", "contents", "needs-first", "needs-second", "needs-third"]
